@@ -23,7 +23,7 @@ def test_patterns_hold_the_histogram(histogram):
 
 
 def test_encoders_agree():
-    texts = ["Ünï text <|endoftext|> a  b\n\n x's 12", "", "😀 \x00 \t", "word " * 50]
+    texts = ["Ünï text <|endoftext|> a  b\n\n x's 12", "", "😀 \x00 \t", "word " * 50, " " * 1_000_000 + "x"]
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert P.encoder()(texts) == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 

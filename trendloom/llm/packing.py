@@ -39,20 +39,34 @@ def encoder(path: str | None = None):
 
     path = path or default_tokenizer()
     ranks = path.removesuffix(".json") + ".tiktoken"
-    if os.path.exists(ranks):
-        import public_tokenizers
-        import tiktoken
-
-        with open(path) as f:
-            special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        enc = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special)
-        return lambda texts: [enc.encode(t, allowed_special="all") for t in texts]
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    return lambda texts: [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    tok = None
+
+    def slow(texts: list[str]) -> list[list[int]]:
+        nonlocal tok
+        if tok is None:
+            from tokenizers import Tokenizer
+
+            tok = Tokenizer.from_file(path)
+        return [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+    if not os.path.exists(ranks):
+        return slow
+    import public_tokenizers
+    import tiktoken
+
+    with open(path) as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    with open(ranks, "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special)
+
+    def one(text: str) -> list[int]:
+        try:
+            return enc.encode(text, allowed_special="all")
+        except ValueError:  # its pattern engine gives up on a very long run of blanks
+            return slow([text])[0]
+
+    return lambda texts: [one(t) for t in texts]
 
 
 def pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, tokenizer: str | None = None, text_col: str = "text") -> DataFrame:
