@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from . import decontaminate, langid, licenses, media, packing, pii, secrets, simhash, suffix
+from . import decontaminate, langid, licenses, media, mixing, packing, pii, secrets, simhash, suffix
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op4_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(table(spark, sf_dir, "documents"))
+
+
 def op6_pii_bootstrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.per_document(table(spark, sf_dir, "documents"))
 
