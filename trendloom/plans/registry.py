@@ -64,6 +64,8 @@ def with_views(sql: str) -> str:
     if not views:
         return sql
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {views}, {body[5:]}"
     return f"WITH {views} {body}"
