@@ -13,6 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -236,6 +237,19 @@ def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.mapInArrow(run, "th binary, a long, ctx long, lo int, hi int")
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(th, body): every different text once, compressed, since it is dealt out by its id."""
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(t) for t in batch.column(1).to_pylist()], pa.binary())], ["th", "body"])
+
+    rows = docs.select(text_id().alias("th"), utf8("text").alias("body")).mapInArrow(run, "th binary, body binary")
+    # the filter keeps both uses of this table alike, so that it is dealt out once
+    return rows.where("th is not null").groupBy("th").agg(F.first("body").alias("body"))
+
+
 def cut_out(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of wanted stretches: (a, ctx, k, once, th, lo, bytes)."""
     schema = "a long, ctx long, k long, once boolean, th binary, lo int, bytes binary"
@@ -243,12 +257,14 @@ def cut_out(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches):
+        unsqueeze = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
+                bodies = [unsqueeze(b) for b in part.column(1).to_pylist()]
                 out = [
                     (w["a"], w["ctx"], w["k"], w["once"], th, w["lo"], body[w["lo"] : w["hi"] + length])
-                    for th, body, want in zip(*(part.column(i).to_pylist() for i in range(3)))
+                    for th, body, want in zip(part.column(0).to_pylist(), bodies, part.column(2).to_pylist())
                     for w in want
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 7, types)], names)
@@ -323,9 +339,11 @@ def removal(text: bytes, marks: list, length: int) -> np.ndarray:
 def digests(texts: DataFrame, length: int) -> DataFrame:
     def run(batches):
         names, types = [x.split()[0] for x in DIGEST.split(", ")], [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        unsqueeze = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for th, text, marks in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for th, body, marks in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                text = unsqueeze(body)
                 if not marks:
                     out.append((th, len(text), 0, 0, hashlib.sha256(text).hexdigest()))
                     continue
@@ -339,12 +357,14 @@ def digests(texts: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """The distinct texts (th, body), and (th, lo, hi): runs of starts of windows that also begin elsewhere."""
-    seen = keep(occurrences(docs, length, gram))
+    found = keep(occurrences(docs, length, gram))
+    again = found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    seen = keep(found.join(again, "a", "left_semi"))  # most anchors occur once: nothing else moves their stretches
     whole = seen.groupBy("a", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("th", "lo", "hi")).alias("rep"))
     copied = seen.join(whole.where("n > 1").select("a", "ctx"), ["a", "ctx"]).select("th", "lo", "hi").distinct()
     mixed = whole.join(whole.groupBy("a").agg(F.count("*").alias("k")).where("k > 1"), "a")
     wanted = mixed.select("a", "ctx", "k", (F.col("n") == 1).alias("once"), "rep.th", "rep.lo", "rep.hi")
-    texts = docs.select(text_id().alias("th"), utf8("text").alias("body")).groupBy("th").agg(F.first("body").alias("body"))
+    texts = distinct_texts(docs)
     return texts, copied.unionByName(shard_marks(cut_out(texts, wanted, length), length, shard))
 
 
