@@ -9,6 +9,9 @@ import duckdb
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
 def plain(x):
     import datetime
     import decimal
@@ -33,11 +36,14 @@ def differ(spark, sf_dir, f, sql):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
+    kinds = {d[0]: str(d[1]).upper() for d in cur.description}
     order = sorted(range(len(names)), key=lambda i: names[i])
     want = sorted([plain(r[i]) for i in order] for r in cur.fetchall())
     df = f(spark, sf_dir)
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} against {sorted(names)}"
+    if odd := [f"{n} {t} against {kinds[n]}" for n, t in df.dtypes if KINDS.get(t, t) != kinds[n]]:
+        return f"types: {odd}"
     got = sorted([plain(r[c]) for c in sorted(names)] for r in df.collect())
     if got == want:
         return "" if got else "no rows"

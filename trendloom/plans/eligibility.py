@@ -243,7 +243,7 @@ def j05_leakage_anti_join(v: Views):
 n AS (SELECT item_id, count(*) AS n FROM g GROUP BY 1), d AS (SELECT dataset_id, unnest(list_distinct(list_transform(range(1, length(text) - 10), lambda i: substr(text, i, 12)))) AS gram FROM transcripts WHERE length(text) >= 100)
 SELECT dataset_id, item_id, count(*) / any_value(n)::DOUBLE AS containment FROM d JOIN g USING (gram) JOIN n USING (item_id) GROUP BY 1, 2 HAVING count(*) >= 0.8 * any_value(n)""")
 def j10_overlap_audit(v: Views):
-    grams = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 11), lambda i: F.substring(t, i, F.lit(12))))
+    grams = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit("(?s)(?=(.{12}))"), F.lit(1)))  # noqa: E731  one pass over the text
     items = v.table("benchmark").where("length(text) >= 100").select("item_id", F.explode(grams(c("text"))).alias("gram"))
     sizes = items.groupBy("item_id").agg(F.count("*").alias("n"))
     docs = v.transcripts.where("length(text) >= 100").select("dataset_id", F.explode(grams(c("text"))).alias("gram"))

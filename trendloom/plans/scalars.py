@@ -213,7 +213,7 @@ def f27_title_topics(v: Views):
     rows = v.table("part").select(F.col("p_partkey").alias("dataset_id"), F.split("p_name", " ").alias("ws"))
     found = rows.select("dataset_id", "ws", F.explode(F.array_distinct("ws")).alias("topic_id")).join(v.topics, "topic_id", "left_semi")
     return found.select(
-        "dataset_id", "topic_id", (F.array_position("ws", F.col("topic_id")) - 1).alias("place"), (~F.array_contains("ws", "hot")).alias("in_context")
+        "dataset_id", "topic_id", (F.array_position("ws", F.col("topic_id")) - 1).cast("int").alias("place"), (~F.array_contains("ws", "hot")).alias("in_context")
     )
 
 
