@@ -93,8 +93,7 @@ def m07_weighted_pooling(v: Views):
 SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, vec_id) <= 5""")
 def m08_nearest_vectors(v: Views):
     queries = v.vectors.where("vec_id % 20 = 0").select(c("vec_id").alias("q_id"), c("vec").alias("q"))  # the stated query set, against all rows
-    pairs = v.vectors.join(queries, c("vec_id") != c("q_id")).select("q_id", "vec_id", F.round(X.dot(c("q"), c("vec")), 6).alias("sim"))
-    return X.top_per(pairs, ["q_id"], [F.desc("sim"), "vec_id"], 5).drop("place")
+    return X.nearest(v.vectors, queries, 5)
 
 
 @query("""WITH p AS (SELECT leaf, term, sum(tf)::DOUBLE AS w FROM terms GROUP BY 1, 2), pn AS (SELECT leaf, sqrt(sum(w * w)) AS norm FROM p GROUP BY 1), dn AS (SELECT dataset_id, sqrt(sum(tf::DOUBLE * tf)) AS norm FROM terms GROUP BY 1),
