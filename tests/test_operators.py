@@ -93,6 +93,23 @@ def test_weighted_median_balances_channels(spark):
     assert B.weighted_median(df.limit(0), ["cell"]).count() == 0
 
 
+def test_weighted_median_against_a_plain_loop(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = [(rnd.choice("gh"), rnd.choice("abcde"), i, rnd.randint(0, 50) ** 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "cell string, channel string, dataset_id int, views long")
+    for r in B.weighted_median(df, ["cell"]).collect():
+        own = sorted((x[3], x[2], x[1]) for x in rows if x[0] == r.cell)
+        n = {k: sum(x[2] == k for x in own) for k in "abcde"}
+        cum, half = 0.0, sum(k > 0 for k in n.values()) / 2
+        for value, _, ch in own:
+            cum += 1 / n[ch]
+            if cum + 1e-9 >= half:
+                break
+        assert r.threshold == value
+
+
 def test_auc(spark):
     df = spark.createDataFrame([("x", 1, 0.9), ("x", 0, 0.1), ("x", 1, 0.5), ("x", 0, 0.5), ("y", 1, 0.3)], "s string, label int, score double")
     assert {r.s: r.auc for r in B.area_under_roc(df, ["s"]).collect()} == {"x": 0.875, "y": None}

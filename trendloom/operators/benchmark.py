@@ -6,17 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BINS = 1024
+
+
 def weighted_median(rows: DataFrame, by: list[str], value: str = "views", channel: str = "channel", id_col: str = "dataset_id") -> DataFrame:
     """(by, threshold): the first value whose cumulative weight reaches half, every channel weighing one in all.
 
-    A row of a channel with n rows weighs 1/n; the tolerance of 1e-9 keeps rounding from deciding a tie.
+    A row of a channel with n rows weighs 1/n; the tolerance of 1e-9 keeps rounding from deciding a tie. Weights are
+    first summed by ``BINS`` ranges of the value, so that only the rows of the range in which half is reached are sorted,
+    however many rows a group has.
     """
-    weight = F.lit(1.0) / F.count("*").over(Window.partitionBy(*by, channel))
-    w = rows.withColumn("_w", weight)
-    order = Window.partitionBy(*by).orderBy(value, id_col)
-    running = F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    totals = rows.groupBy(*by).agg(F.count_distinct(channel).alias("_total"))
-    reached = w.withColumn("_cum", running).join(totals, by).where(F.col("_cum") + 1e-9 >= F.col("_total") / 2)
+    sizes = rows.groupBy(*by, channel).agg(F.count("*").alias("_n"))
+    lim = rows.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    total = sizes.groupBy(*by).agg(F.count("*").alias("_total"))
+    share = (F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0))
+    w = rows.join(sizes, [*by, channel]).join(lim.join(total, by), by).select(
+        *by, value, id_col, "_total", (F.lit(1.0) / F.col("_n")).alias("_w"), F.floor(F.coalesce(share, F.lit(0.0)) * (BINS - 1)).alias("_bin")
+    )
+    mass = w.groupBy(*by, "_bin", "_total").agg(F.sum("_w").alias("_m"))
+    order = Window.partitionBy(*by).orderBy("_bin")
+    cum = mass.withColumn("_cum", F.sum("_m").over(order)).where(F.col("_cum") + 1e-9 >= F.col("_total") / 2)
+    middle = cum.groupBy(*by).agg(F.min_by(F.struct("_bin", (F.col("_cum") - F.col("_m")).alias("_before")), "_bin").alias("_b")).select(*by, "_b.*")
+    inside = w.join(middle, [*by, "_bin"])
+    running = F.sum("_w").over(Window.partitionBy(*by).orderBy(value, id_col).rowsBetween(Window.unboundedPreceding, 0))
+    reached = inside.withColumn("_cum", running + F.col("_before")).where(F.col("_cum") + 1e-9 >= F.col("_total") / 2)
     return reached.groupBy(*by).agg(F.min(F.struct(value, id_col))[value].alias("threshold"))
 
 

@@ -37,12 +37,13 @@ def bca_interval(values: DataFrame, by: str, n_resamples: int = 200, confidence:
     point = v.groupBy("grp").agg(F.count("*").alias("n"), F.percentile("value", 0.5).alias("point"), (F.max("value") > F.min("value")).alias("varied"))
     stats = resampled(values, by, n_resamples, seed)
     bias = stats.join(point, "grp").groupBy("grp").agg((F.sum(F.when(F.col("stat") < F.col("point"), 1.0).when(F.col("stat") == F.col("point"), 0.5).otherwise(0.0)) / F.count("*")).alias("below"))
-    # leave-one-out medians from the sorted values: dropping place i leaves the middle of the other n - 1
+    # a leave-one-out median depends only on the values next to the middle and the side that the left-out value is on
     w = Window.partitionBy("grp").orderBy("value", "id")
-    ranked = v.withColumn("i", F.row_number().over(w)).withColumn("all", F.array_sort(F.collect_list("value").over(Window.partitionBy("grp")))).withColumn("n", F.size("all"))
-    rest = F.concat(F.slice("all", F.lit(1), F.col("i") - 1), F.slice("all", F.col("i") + 1, F.col("n") - F.col("i")))
-    m = F.size("rest")
-    loo = ranked.where("n > 1").withColumn("rest", rest).select("grp", ((F.get("rest", F.floor((m - 1) / 2).cast("int")) + F.get("rest", F.floor(m / 2).cast("int"))) / 2).alias("loo"))
+    ranked = v.withColumn("i", F.row_number().over(w) - 1).join(point.select("grp", "n"), "grp").where("n > 1").withColumn("h", F.floor(F.col("n") / 2))
+    near = ranked.groupBy("grp").agg(*[F.max(F.when(F.col("i") == F.col("h") + d, F.col("value"))).alias(name) for d, name in ((-1, "x0"), (0, "x1"), (1, "x2"))])
+    odd = F.when(F.col("i") < F.col("h"), F.col("x1") + F.col("x2")).when(F.col("i") == F.col("h"), F.col("x0") + F.col("x2")).otherwise(F.col("x0") + F.col("x1")) / 2
+    even = F.when(F.col("i") < F.col("h"), F.col("x1")).otherwise(F.col("x0"))
+    loo = ranked.join(near, "grp").select("grp", F.when(F.col("n") % 2 == 1, odd).otherwise(even).alias("loo"))
     mean = loo.groupBy("grp").agg(F.avg("loo").alias("mean"))
     d = F.col("mean") - F.col("loo")
     accel = loo.join(mean, "grp").groupBy("grp").agg(F.sum(d * d * d).alias("cube"), F.sum(d * d).alias("square"))
