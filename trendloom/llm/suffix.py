@@ -358,11 +358,12 @@ def digests(texts: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """The distinct texts (th, body), and (th, lo, hi): runs of starts of windows that also begin elsewhere."""
     found = keep(occurrences(docs, length, gram))
-    again = found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    # the sums are kept as tables, so that a join with them can split the rows of a frequent anchor or stretch
+    again = keep(found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
     seen = keep(found.join(again, "a", "left_semi"))  # most anchors occur once: nothing else moves their stretches
-    whole = seen.groupBy("a", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("th", "lo", "hi")).alias("rep"))
+    whole = keep(seen.groupBy("a", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("th", "lo", "hi")).alias("rep")))
     copied = seen.join(whole.where("n > 1").select("a", "ctx"), ["a", "ctx"]).select("th", "lo", "hi").distinct()
-    mixed = whole.join(whole.groupBy("a").agg(F.count("*").alias("k")).where("k > 1"), "a")
+    mixed = whole.join(keep(whole.groupBy("a").agg(F.count("*").alias("k")).where("k > 1")), "a")
     wanted = mixed.select("a", "ctx", "k", (F.col("n") == 1).alias("once"), "rep.th", "rep.lo", "rep.hi")
     texts = distinct_texts(docs)
     return texts, copied.unionByName(shard_marks(cut_out(texts, wanted, length), length, shard))
