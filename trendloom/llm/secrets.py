@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep
 from .spans import places, spans
 
 FOUND = "array<struct<start:int,end:int>>"
@@ -85,7 +86,8 @@ def findings(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
     """(blob, one array of spans for each rule) of the blobs in which a rule found something; each blob is scanned once."""
     blobs = docs.select(blob_id(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates(["blob"])
     found = blobs.select("blob", *[r.find(F.col("text")).alias(r.name) for r in rules])
-    return found.where(reduce(lambda a, b: a | b, [F.size(r.name) > 0 for r in rules]))
+    # kept as a table: a join with it can split the many paths of one blob
+    return keep(found.where(reduce(lambda a, b: a | b, [F.size(r.name) > 0 for r in rules])))
 
 
 def tagged(found: Column, kind: int) -> Column:
