@@ -74,10 +74,11 @@ def test_pii_base_matches_plain_regexes(spark):
 def test_pii_patterns_discover(spark):
     data = [(i, f"my card number {4000 + i} foo please call phone +1 (626) 555-{1000 + i} today", "", 0, "") for i in range(8)]
     data.append((100, "so please call phone 626.555.12345 today ok", "", 0, ""))
+    data += [(200 + i, f"word{i} mail: user{i}@host.example.com end{i}", "", 0, "") for i in range(5)] + [(300, "other mail: someone@localhost yes", "", 0, "")]
     data.append((101, "the year was 1234567890 then", "", 0, ""))
     got = {r.doc_id: r.spans for r in pii.per_document(spark.createDataFrame(data, SCHEMA)).collect()}
     assert got[100] == "phone:21:34"
-    assert got[101] == ""
+    assert got[101] == "" and got[300] == "email:12:29"
 
 
 def test_secrets_match_plain_regexes(spark):

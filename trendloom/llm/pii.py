@@ -89,7 +89,7 @@ def extract(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def instances(extracted: DataFrame) -> DataFrame:
-    """(row, start, end, token, instance, pattern, seed): up to two patterns for a candidate.
+    """(row, start, end, token, instance, pattern, seed): up to three patterns for a candidate.
 
     seed: the kind of the base span that begins in the token, whose whole text then is the instance. Tokens further
     inside a base span are left out.
@@ -102,6 +102,7 @@ def instances(extracted: DataFrame) -> DataFrame:
     patterns = F.filter(
         F.array(
             F.when(F.col("left").rlike(r"\s"), F.concat(F.lit("l:"), F.regexp_replace("left", r"\s+", " "))),
+            F.when(F.col("left").rlike("[:=#]$"), F.concat(F.lit("k:"), F.regexp_extract("left", r"(\S+)$", 1))),  # a label such as tel:
             F.when((F.col("left") != "") & (F.col("right") != ""), F.concat(F.lit("m:"), F.regexp_extract("left", r"(\S+)$", 1), F.lit(" _ "), "right")),
         ),
         lambda p: p.isNotNull(),
