@@ -110,6 +110,18 @@ def test_weighted_median_against_a_plain_loop(spark):
         assert r.threshold == value
 
 
+def test_ranks_with_ties_and_equal_groups(spark):
+    from trendloom.operators.ranking import rank_within
+
+    rows = [("a", i, float(i % 4)) for i in range(20)] + [("b", i, 1.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "g string, id int, x double")
+    want = {}
+    for g in "ab":
+        for k, (x, i) in enumerate(sorted((-x, i) for h, i, x in rows if h == g)):
+            want[g, i] = k + 1
+    assert {(r.g, r.id): r["rank"] for r in rank_within(df, ["g"], "x", "id", bins=3).collect()} == want
+
+
 def test_auc(spark):
     df = spark.createDataFrame([("x", 1, 0.9), ("x", 0, 0.1), ("x", 1, 0.5), ("x", 0, 0.5), ("y", 1, 0.3)], "s string, label int, score double")
     assert {r.s: r.auc for r in B.area_under_roc(df, ["s"]).collect()} == {"x": 0.875, "y": None}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from trendloom.functions.reasons import all_reasons
 from trendloom.functions.splits import bucket, channel_split
 from trendloom.operators import benchmark as B
+from trendloom.operators.ranking import rank_within
 from trendloom.plans.eligibility import reasons_sql
 from trendloom.plans.registry import bucket_sql, query
 from trendloom.sources.views import Views
@@ -348,8 +349,8 @@ def a53_keyword_counts(v: Views):
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY views DESC, dataset_id) AS k, count(*) OVER (PARTITION BY leaf) AS n FROM content WHERE metric_version = 'v2'),
 t AS (SELECT * FROM r WHERE k <= ceil(0.4::DOUBLE * n)) SELECT leaf, count(*) AS n, quantile_cont(duration, 0.5) AS median_duration, count(DISTINCT channel) AS channels, mode(format ORDER BY format) AS format_any FROM t GROUP BY 1""")
 def a55_domain_profile(v: Views):
-    w = Window.partitionBy("leaf")
-    rows = v.content.where("metric_version = 'v2'").withColumn("k", F.row_number().over(w.orderBy(F.desc("views"), "dataset_id"))).withColumn("n", F.count("*").over(w)).where(c("k") <= F.ceil(0.4 * c("n")))
+    ranked = rank_within(v.content.where("metric_version = 'v2'"), ["leaf"], "views", "dataset_id")
+    rows = ranked.where(c("rank") <= F.ceil(0.4 * c("n")))
     return rows.groupBy("leaf").agg(F.count("*").alias("n"), F.percentile("duration", 0.5).alias("median_duration"), F.count_distinct("channel").alias("channels"), F.mode("format", True).alias("format_any"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from trendloom.functions.splits import bucket
 from trendloom.operators import benchmark as B
 from trendloom.operators import sketches, trend
+from trendloom.operators.ranking import rank_within
 from trendloom.operators.trend import first_per
 from trendloom.plans.aggregates import MEDIAN, PRED, predicted, scored, SCORED
 from trendloom.plans.registry import bucket_sql, query
@@ -164,9 +165,9 @@ def k02_priority_topics(v: Views):
 
 @query("SELECT leaf, dataset_id, k FROM (SELECT leaf, dataset_id, row_number() OVER w AS k, count(*) OVER (PARTITION BY leaf) AS n FROM content WINDOW w AS (PARTITION BY leaf ORDER BY views DESC, dataset_id)) WHERE k <= least(200, greatest(10, CAST(ceil(0.4::DOUBLE * n) AS BIGINT)))")
 def k03_high_performing(v: Views):
-    w = Window.partitionBy("leaf")
-    rows = v.content.select("leaf", "dataset_id", F.row_number().over(w.orderBy(F.desc("views"), "dataset_id")).cast("long").alias("k"), F.count("*").over(w).alias("n"))
-    return rows.where(c("k") <= F.least(F.lit(200), F.greatest(F.lit(10), F.ceil(0.4 * c("n"))))).select("leaf", "dataset_id", "k")
+    rows = rank_within(v.content.select("leaf", "dataset_id", "views"), ["leaf"], "views", "dataset_id")
+    kept = c("rank") <= F.least(F.lit(200), F.greatest(F.lit(10), F.ceil(0.4 * c("n"))))
+    return rows.where(kept).select("leaf", "dataset_id", c("rank").alias("k"))
 
 
 @query("SELECT term, count(*) AS n FROM terms WHERE leaf = 'en' AND term NOT IN (SELECT term FROM terms WHERE leaf = 'de') GROUP BY 1 ORDER BY n DESC, term LIMIT 20")

@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 
 from trendloom.functions import metrics as M
 from trendloom.operators import trend as T
+from trendloom.operators.ranking import rank_within
 from trendloom.plans.registry import query
 from trendloom.sources.views import Views
 
 HOUR = 3_600_000_000
+c = F.col
 CHANGES = """WITH pr AS (SELECT platform, run_at, lag(run_at) OVER (PARTITION BY platform ORDER BY run_at) AS prev_at FROM runs WHERE status = 'ok'),
 ch AS (SELECT i.platform, i.run_at, i.key, i.rank, p.rank AS prev_rank, p.rank - i.rank AS rank_change, i.score - p.score AS delta,
 CASE WHEN pr.prev_at IS NULL THEN 'first_run' WHEN p.rank IS NULL THEN 'new' WHEN p.rank > i.rank THEN 'up' WHEN p.rank < i.rank THEN 'down' ELSE 'same' END AS change_kind
@@ -88,9 +90,8 @@ views / greatest((epoch_us(captured) - epoch_us(published)) / 86400000000.0::DOU
 def w04_performance_rank(v: Views):
     day = M.views_per_day(F.col("views"), M.days_between(F.col("published"), F.col("captured")))
     rows = v.content.select("dataset_id", "leaf", "metric_version", day.alias("per_day"))
-    group = Window.partitionBy("leaf", "metric_version")
-    rank, n = F.row_number().over(group.orderBy(F.desc("per_day"), "dataset_id")), F.count("*").over(group)
-    return rows.select("dataset_id", "leaf", "metric_version", rank.cast("long").alias("rank"), (F.lit(100.0) * (n - rank + 1) / n).alias("percentile"))
+    ranked = rank_within(rows, ["leaf", "metric_version"], "per_day", "dataset_id")
+    return ranked.select("dataset_id", "leaf", "metric_version", "rank", (F.lit(100.0) * (c("n") - c("rank") + 1) / c("n")).alias("percentile"))
 
 
 @query(CHANGES + """, m AS (SELECT *, coalesce(delta, 0) > 0 AS pos, coalesce(delta, 0) < 0 AS neg FROM ch),
