@@ -167,7 +167,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST, limit: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` whose text covers no test item, with all their columns."""
+    """The rows of ``docs`` whose text covers no test item, with all their columns.
+
+    Null and empty texts cover nothing and stay; repeated rows stay or go together; without test items all rows stay.
+    """
     for block in blocks(benchmark, limit):
 
         def clean(texts, block=block, made=[]):  # noqa: B006  the index is made once for each task

@@ -189,7 +189,11 @@ def per_document(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with their columns as they were."""
+    """The rows of ``docs`` that are not rejected, with their columns as they were.
+
+    Null texts and texts without a letter go; repeated rows stay or go together; without a labelled training row there is
+    no model and nothing is accepted. An empty table gives an empty result.
+    """
     model = train(docs, sample)
     if model is None:
         return docs.limit(0)
