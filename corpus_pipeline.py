@@ -37,7 +37,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, secrets replaced by the name of their kind; n_chars follows a changed text."""
-    clean = secrets.redact(docs)
+    clean = secrets.redact(docs, ledger=secrets.ledger_of(spark, sf_dir))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
     return clean.select(docs.columns)

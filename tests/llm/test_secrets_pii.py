@@ -1,10 +1,11 @@
 import hashlib
 import random
 import re
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from trendloom.llm import pii, secrets
+from trendloom.llm import pii, queries, secrets
 
 SCHEMA = "doc_id long, text string, hits string, row int, blob string"
 
@@ -111,3 +112,32 @@ def test_redact(spark):
     got = secrets.redact(spark.createDataFrame(data, SCHEMA))
     assert got.columns == ["doc_id", "text", "hits", "row", "blob"]
     assert {r.doc_id: r.text for r in got.collect()} == {1: "é [assign]! [hex]", 2: None, 3: "clean"}
+
+
+def test_queries_extend_one_ledger(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    a = spark.createDataFrame([(1, "token=abcdefghijklmnop"), (2, "clean")], "doc_id long, text string")
+    b = a.union(spark.createDataFrame([(3, "token=abcdefghijklmnop"), (4, "deadbeefdeadbeef")], "doc_id long, text string"))
+    rows = lambda: sorted((r.blob, r.rule, r.version) for r in spark.read.parquet(ledger).collect())
+    n = len(secrets.RULES)
+    first = secrets.per_document(a, ledger=ledger).collect()
+    assert len(rows()) == 2 * n
+    assert secrets.per_document(a, ledger=ledger).collect() == first and len(rows()) == 2 * n  # nothing is scanned again
+    got = {r.doc_id: r.text for r in secrets.redact(b, ledger=ledger).collect()}
+    assert got == {1: "[assign]", 2: "clean", 3: "[assign]", 4: "[hex]"} and len(set(rows())) == len(rows()) == 3 * n
+    raised = (replace(secrets.RULES[0], version=2, pattern="cle(an)", group=0, least=0), *secrets.RULES[1:])
+    spans = {r.doc_id: r.spans for r in secrets.per_document(b, raised, ledger=ledger).collect()}
+    assert spans == {1: "", 2: "assign:0:5", 3: "", 4: "hex:0:16"} and len(rows()) == 3 * n + 3
+
+
+def test_query_keeps_the_ledger_of_a_corpus(spark):
+    sf = "/root/testdata/sf0.001"
+    want = sorted(queries.op10_secret_ledger(spark, sf).collect())
+    path = secrets.ledger_of(spark, sf)
+    kept = spark.read.parquet(path)
+    blobs = spark.read.parquet(f"{sf}/documents.parquet").select(secrets.blob_id(F.col("text"))).distinct().count()
+    assert kept.count() >= blobs * len(secrets.RULES)
+    files = len(kept.inputFiles())
+    assert sorted(queries.op10_secret_ledger(spark, sf).collect()) == want
+    again = spark.read.parquet(path)
+    assert again.count() == kept.count() and len(again.inputFiles()) >= files

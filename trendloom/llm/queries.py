@@ -45,7 +45,7 @@ def op9_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.per_document(table(spark, sf_dir, "documents"))
+    return secrets.per_document(table(spark, sf_dir, "documents"), ledger=secrets.ledger_of(spark, sf_dir))
 
 
 def queries() -> dict:

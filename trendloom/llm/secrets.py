@@ -6,16 +6,19 @@ scanned, each blob once however many paths hold it, and the findings are joined
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, shared_folder
 from .spans import places, spans
 
 FOUND = "array<struct<start:int,end:int>>"
+LEDGER = f"blob string, rule string, version int, found {FOUND}"
 
 
 @dataclass(frozen=True)
@@ -65,6 +68,12 @@ def scan(docs: DataFrame, rules=RULES, ledger: DataFrame | None = None, text_col
 
     ``ledger``: rows of earlier runs, which are kept and not scanned again. Null texts are the empty blob.
     """
+    new = unseen(docs, rules, ledger, text_col)
+    return new if ledger is None else ledger.select("blob", "rule", "version", "found").unionByName(new)
+
+
+def unseen(docs: DataFrame, rules=RULES, ledger: DataFrame | None = None, text_col: str = "text") -> DataFrame:
+    """(blob, rule, version, found) of the pairs of blob and rule version that ``ledger`` lacks."""
     blobs = docs.select(blob_id(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates(["blob"])
     if ledger is None:
         blobs = blobs.withColumn("seen", F.array().cast("array<string>"))
@@ -78,16 +87,40 @@ def scan(docs: DataFrame, rules=RULES, ledger: DataFrame | None = None, text_col
         )
         for r in rules
     ]
-    new = blobs.select("blob", F.inline(F.array(*each))).where("found is not null")
-    return new if ledger is None else ledger.select("blob", "rule", "version", "found").unionByName(new)
+    return blobs.select("blob", F.inline(F.array(*each))).where("found is not null")
 
 
-def findings(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
-    """(blob, one array of spans for each rule) of the blobs in which a rule found something; each blob is scanned once."""
-    blobs = docs.select(blob_id(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates(["blob"])
-    found = blobs.select("blob", *[r.find(F.col("text")).alias(r.name) for r in rules])
+def ledger_of(spark: SparkSession, corpus: str) -> str:
+    """Where the ledger of a corpus is: at ``spark.trendloom.ledger`` if set, else in the shared folder, one for each corpus path.
+
+    The shared folder lives as long as the application; a ledger for later applications needs the setting.
+    """
+    return spark.conf.get("spark.trendloom.ledger", None) or f"{shared_folder(spark)}/ledger-{hashlib.sha256(corpus.encode()).hexdigest()}"
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger at ``path``; none before its first run."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(LEDGER).parquet(path) if there else None
+
+
+def findings(docs: DataFrame, rules=RULES, text_col: str = "text", ledger: str | None = None) -> DataFrame:
+    """(blob, one array of spans for each rule) of the blobs in which a rule found something.
+
+    ``ledger``: path of the ledger table. Pairs it lacks are scanned and added to it; without a path, the ledger is new.
+    """
+    spark = docs.sparkSession
+    path = ledger or f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
+    unseen(docs, rules, stored(spark, path), text_col).write.mode("append").option("compression", "zstd").parquet(path)
+    hits = stored(spark, path).where(F.size("found") > 0)
+    now = {r.name: (F.col("rule") == r.name) & (F.col("version") == r.version) for r in rules}
+    empty = F.array().cast(FOUND)
+    found = hits.where(reduce(lambda a, b: a | b, now.values())).groupBy("blob").agg(
+        *[F.coalesce(F.first(F.when(now[r.name], F.col("found")), ignorenulls=True), empty).alias(r.name) for r in rules]
+    )
     # kept as a table: a join with it can split the many paths of one blob
-    return keep(found.where(reduce(lambda a, b: a | b, [F.size(r.name) > 0 for r in rules])))
+    return keep(found)
 
 
 def tagged(found: Column, kind: int) -> Column:
@@ -103,7 +136,7 @@ def joined(rules, columns: dict[str, Column]) -> Column:
     )
 
 
-def per_document(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
+def per_document(docs: DataFrame, rules=RULES, text_col: str = "text", ledger: str | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, counts, digest and list of spans.
 
     Null and empty texts have no findings; repeated rows and copies repeat the findings of their one blob; the match
@@ -111,7 +144,7 @@ def per_document(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFr
     are ignored.
     """
     paths = docs.select("doc_id", blob_id(F.col(text_col)).alias("blob"))
-    rows = paths.join(findings(docs, rules, text_col), "blob", "left")
+    rows = paths.join(findings(docs, rules, text_col, ledger), "blob", "left")
     arrays = {r.name: F.coalesce(F.col(r.name), F.array().cast(FOUND)) for r in rules}
     base = [r for r in rules if r.base]
     return rows.select(
@@ -122,12 +155,12 @@ def per_document(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFr
     )
 
 
-def redact(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, rules=RULES, text_col: str = "text", ledger: str | None = None) -> DataFrame:
     """``docs`` with every found span replaced by its kind in brackets, in all rows that hold the blob; same columns.
 
     Overlapping spans become one, named after the rule that comes first. Other columns and rows stay as they are.
     """
-    found = findings(docs, rules, text_col)
+    found = findings(docs, rules, text_col, ledger)
     every = F.array_sort(F.concat(*[tagged(F.col(r.name), i) for i, r in enumerate(rules)]))
     names = F.array(*[F.lit(f"[{r.name}]") for r in rules])
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
