@@ -45,3 +45,13 @@ def test_empty_and_null_rows(spark):
         for _, stage in P.STAGES:
             data = stage(spark, data, sf)
         data.count()
+
+
+def test_near_dedup_knows_rows_by_id_and_text(spark):
+    base = " ".join(f"word{i}" for i in range(300))
+    near = base.replace(" ", "  ").upper()  # another text of equal fingerprint
+    other = " ".join(f"other{i}" for i in range(300))
+    data = [(1, base), (1, other), (1, base), (2, near), (None, near), (None, base), (None, "only here"), (None, "ONLY  here"), (None, "only here")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text.lower().split()) for r in P.one_of_each_group(spark, docs, "").collect())
+    assert got == [(0, ["only", "here"]), (1, other.split()), (1, base.split())]
