@@ -38,14 +38,14 @@ def m02_kmeans_texts(v: Views):
 def m03_density_groups(v: Views):
     """Documents are neighbours if they share a rare term; those with two or more neighbours form groups, others are noise (-1).
 
-    A document keeps the two rare terms that sort first and last, so that the graph has two edges a document at most.
+    A term of three documents gives each of them two neighbours; those of a term of two are each other's only one by it.
     """
-    rare = v.terms.where("length(term) >= 14").groupBy("term").agg(F.count("*").alias("df")).where("df >= 2")
-    links = v.terms.join(rare, "term").select("dataset_id", "term", "df")
-    core = links.groupBy("dataset_id").agg(F.sum(c("df") - 1).alias("degree"), F.min("term").alias("low"), F.max("term").alias("high")).where("degree >= 2")
-    ends = core.select("dataset_id", F.inline(F.array(F.struct(c("low").alias("t")), F.struct(c("high").alias("t"))))).distinct()
-    both = ends.groupBy("dataset_id").agg(F.min("t").alias("t1"), F.max("t").alias("t2"))
-    same = both.select("dataset_id", "t1").unionByName(both.select("dataset_id", c("t2").alias("t1")))
+    words = v.terms.where("length(term) >= 14").select("dataset_id", "term").distinct()
+    rare = words.groupBy("term").agg(F.count("*").alias("df"), (F.min("dataset_id") + F.max("dataset_id")).alias("ends")).where("df >= 2")
+    links = words.join(rare, "term").select("dataset_id", "term", "df", (c("ends") - c("dataset_id")).alias("other"))
+    other = F.when(c("df") == 2, c("other"))
+    core = links.groupBy("dataset_id").agg(F.max("df").alias("df"), F.min(other).alias("low"), F.max(other).alias("high")).where("df > 2 or low <> high")
+    same = links.join(core.select("dataset_id"), "dataset_id").select("dataset_id", c("term").alias("t1"))
     groups = identity_components(same, "dataset_id", ["t1"])
     return v.transcripts.select("dataset_id").join(groups.withColumnRenamed("id", "dataset_id"), "dataset_id", "left").select("dataset_id", F.coalesce("component", F.lit(-1)).alias("cluster"))
 
