@@ -38,7 +38,7 @@ def materialize(df: DataFrame) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder: for larger intermediate tables of few columns."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)  # small row groups: readers can split files
     return df.sparkSession.read.parquet(path)
 
 
