@@ -30,3 +30,13 @@ def test_held_out_accuracy_and_cases(spark):
     assert (none.lang_pred, none.score) == ("und", 0.0)
     kept = L.keep_known(docs)
     assert kept.columns == docs.columns and kept.count() > 0.97 * docs.count()
+
+
+def test_sample_is_bounded_and_passes_over_texts_that_do_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE_BYTES", 4000)
+    data = [(1, "le chat noir et la maison " * 9, "fr")] * 50 + [(i, f"the cat and the house {i} of that", "en") for i in range(2, 40)] + [(99, "x" * 3000, "en")]
+    seen = []
+    monkeypatch.setattr(L, "fit", lambda texts, langs, **k: seen.append((texts, langs)))
+    L.train(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    texts, langs = seen[0]
+    assert sum(map(len, texts)) <= 4000 and len(set(texts)) == len(texts) and b"x" * 3000 not in texts and langs.count("fr") == 1 and len(texts) > 20

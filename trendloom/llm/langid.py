@@ -130,16 +130,24 @@ def is_training_row(modulus: int = 4, held_out: int = 2):
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """The model of a bounded sample, in the order of a hash of the id; None without a labelled training row."""
+    """The model of a bounded sample, in the order of a hash of id and text; None without a labelled training row.
+
+    At most ``sample`` different rows and SAMPLE_BYTES; texts above an eighth of that don't take part.
+    """
     rows = (
         docs.where(is_training_row() & F.col("lang").isNotNull() & F.col("text").isNotNull())
         .select(F.xxhash64("doc_id", "text").alias("at"), "doc_id", "lang", utf8().alias("text"))
     )
-    ids = rows.select("at", "lang", F.length("text").alias("size")).orderBy("at", "lang").limit(sample).collect()  # a top-k of hashes, without texts
-    fits = [r["at"] for r, total in zip(ids, np.cumsum([r["size"] for r in ids])) if total <= SAMPLE_BYTES]
-    if not fits:
+    # repeated rows are one; no text reaches the driver before its size is known
+    each = rows.groupBy("at").agg(F.min("lang").alias("lang"), F.min(F.length("text")).alias("size")).where(F.col("size") <= SAMPLE_BYTES // 8)
+    chosen, total = [], 0
+    for r in each.orderBy("at").limit(sample).collect():
+        if total + r["size"] <= SAMPLE_BYTES:  # a text that does not fit is passed over
+            total += r["size"]
+            chosen.append(r["at"])
+    if not chosen:
         return None
-    picked = rows.where(F.col("at") <= fits[-1]).select("lang", "text", "at").toArrow().sort_by([("at", "ascending"), ("lang", "ascending")]).slice(0, sample)
+    picked = rows.where(F.col("at").isin(chosen)).groupBy("at").agg(F.min("lang").alias("lang"), F.first("text").alias("text")).toArrow().sort_by("at")
     return fit(picked["text"].to_pylist(), picked["lang"].to_pylist())
 
 
