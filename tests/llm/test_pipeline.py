@@ -3,7 +3,7 @@ import re
 import corpus_pipeline as P
 from tests.llm.test_licenses_decontaminate import lower
 from tests.llm.test_secrets_pii import base_secrets
-from tests.llm.test_simhash import brute
+from tests.llm.test_similar import brute
 from trendloom.llm import decontaminate as D
 from trendloom.llm import langid
 
@@ -23,8 +23,11 @@ def test_stages_against_brute_force(spark):
     # language: what the operator rejects goes, all else stays as it is
     bad = {r.doc_id for r in langid.per_document(docs).where("rejected").collect()}
     assert sorted(rows[1]) == sorted(r for r in rows[0] if r.doc_id not in bad) and len(bad) < 10
-    comp = {i: c for i, _, c in brute([(r.doc_id, r.text) for r in rows[1]])}
-    assert sorted(rows[2]) == sorted(r for r in rows[1] if comp[r.doc_id] == r.doc_id)
+    first = {}
+    ordered = sorted(rows[1], key=lambda r: r.doc_id)
+    for r, c in zip(ordered, brute([(r.doc_id, r.text) for r in ordered])):
+        first.setdefault(c, r)
+    assert sorted(rows[2]) == sorted(first.values())
     items = D.Items(benchmark)
     assert sorted(rows[3]) == sorted(r for r in rows[2] if not list(D.covered(items, r.text.encode())))
     before = {r.doc_id: r for r in rows[3]}

@@ -164,7 +164,9 @@ def redact(docs: DataFrame, rules=RULES, text_col: str = "text", ledger: str | N
     every = F.array_sort(F.concat(*[tagged(F.col(r.name), i) for i, r in enumerate(rules)]))
     names = F.array(*[F.lit(f"[{r.name}]") for r in rules])
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(whole.alias("row"), blob_id(F.col(text_col)).alias("blob")).join(found.select("blob", every.alias("spans")), "blob", "left")
+    # one plan at every size: the findings grow with the corpus, so they are merged and never broadcast
+    hits = found.select("blob", every.alias("spans")).hint("merge")
+    rows = docs.select(whole.alias("row"), blob_id(F.col(text_col)).alias("blob")).join(hits, "blob", "left")
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
