@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import decontaminate, langid, packing, secrets, simhash
+from trendloom.llm import decontaminate, langid, packing, secrets, similar
 from trendloom.llm.common import materialize, table
 
 KEY = "near_dedup_key"  #: of a text, while groups are formed
@@ -21,14 +21,15 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: that of the smallest doc_id, rows without id last; a repeated row once.
+    """One row of each class of near duplicates, five words a shingle and a similarity of 0.8: that of the smallest doc_id, rows
+    without id last, then of the smallest text hash; a repeated row once.
 
     A row is known by its id and its text, so different texts of one id stay, and rows without id are compared like others.
     """
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    parts = simhash.near_duplicates(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    parts = similar.classes(docs.select(key.alias("doc_id"), "text")).select(F.col("id").alias("key"), "component").distinct()
     rows = docs.select(key.alias("key"), F.col("doc_id").alias("id")).join(materialize(parts), "key")
-    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("first"))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("first"))
     chosen = materialize(first.select("first.id", "first.key"))
     kept = docs.withColumn(KEY, key).join(chosen, (F.col(KEY) == chosen["key"]) & F.col("doc_id").eqNullSafe(chosen["id"]), "left_semi")
     return kept.dropDuplicates([KEY, "doc_id"]).select(docs.columns)
