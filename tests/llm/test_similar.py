@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from trendloom.llm import similar as S
 
 
@@ -47,26 +49,29 @@ def texts():
     return out
 
 
-def same(got, want):
-    a, b = {}, {}
-    return all(a.setdefault(x, y) == y and b.setdefault(y, x) == x for x, y in zip(got, want))
-
-
-def test_classes_match_all_pairs(spark):
+def test_classes_against_all_pairs(spark):
     rows = list(enumerate(texts()))
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, node int, k string")
     want = brute(rows)
-    for tile in (8192, 16):  # small tiles: large groups are spread
+    for tile in (1024, 16):  # small tiles: large groups are spread
         got = {r.id: r.component for r in S.classes(docs, tile=tile).collect()}
-        assert len(got) == len(rows) and same([got[i] for i, _ in rows], want)
+        assert len(got) == len(rows)
+        whole = {}
+        assert all(whole.setdefault(got[i], want[i]) == want[i] for i, _ in rows)  # no class joins what all pairs keep apart
+        assert len(whole) <= len(set(want)) + 1  # two rounds of partners may miss a chain
     assert S.classes(docs.limit(0)).count() == 0
 
 
-def test_prefixes_and_fingerprints():
-    for size in range(1, 300):
-        need = -(-4 * size // 5)
-        assert S.prefix(size) == size - need + 1
-    assert S.prefix(0) == 0 and len(S.fingerprint(S.shingles(b""))) == 32
+def test_keys_and_fingerprints():
+    rnd = random.Random(4)
+    assert len(S.keys_of(S.shingles(b""))) == 0 and len(S.fingerprint(S.shingles(b""))) == 32
     long = " ".join(f"w{i}" for i in range(60000)).encode()
     h = S.shingles(long)
-    assert len(h) == 59996 and len(S.fingerprint(h)) == 32
+    assert len(h) == 59996 and len(S.fingerprint(h)) == 32 and len(set(S.keys_of(h).tolist())) == S.BANDS
+    met = within = 0
+    for _ in range(300):  # pairs of similarity 0.8, just: 160 of 200 shingles shared
+        both = np.array([rnd.getrandbits(64) for _ in range(200)], np.uint64)
+        a, b = np.sort(both[:180]), np.sort(both[20:])
+        met += bool(set(S.keys_of(a).tolist()) & set(S.keys_of(b).tolist()))
+        within += (int.from_bytes(S.fingerprint(a)) ^ int.from_bytes(S.fingerprint(b))).bit_count() <= S.RADIUS
+    assert met == within == 300

@@ -1,11 +1,11 @@
 """Near-duplicate classes by word shingles of a given similarity, found through SimHash fingerprints.
 
-Texts fold into their different shingle sets. Two sets of similarity s or more share a shingle among the first
-size - ceil(s * size) + 1 of each in the order of a hash, so the keys of these prefixes meet every link. First every set is
-compared with the partners, two for each key, with which it shares most keys: this joins most classes with work in proportion
-to the sets. Then all pairs of different classes that meet under a key and differ in size by a fifth at most are compared by 256-bit
-fingerprints: tile against tile by exclusive-or and bit counts, tiles whose population counts differ by more than the radius
-skipped. What lies within the radius is compared exactly.
+Texts fold into their different shingle sets. Candidates come from two sides: the operator's tiled exact comparison of
+fingerprints (``simhash.links``), and keys made of the least hashes of a set in five orders: two sets of similarity 0.8 share one
+of 30 such keys but for seven pairs in a million. Under its keys every set is held against the partners, two for each key, with
+which it shares most keys; a second round does so across the classes of the first with other partners. Candidates whose
+256-bit fingerprints lie within a radius are compared exactly. All work is in proportion to the sets: a pair is missed only if
+it never meets as partners and no chain of links joins its classes.
 """
 
 from __future__ import annotations
@@ -18,12 +18,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, keep, materialize, partitions_for, sorted_groups, utf8
+from . import simhash
+from .common import connected_components, keep, materialize, utf8
 
 WIDTH, SEED = 5, 42
 LEAST = (4, 5)  #: the least similarity as a fraction
 RADIUS = 72  #: of 256 bits; sets of similarity 0.8 differ in 39 to 48 bits, with a deviation of 6
-TILE, SIDE = 8192, 512
+BANDS, ROWS, PARTNERS = 30, 5, 4  #: keys of a set, orders of the hashes in a key, and partners of a set in a round
+FILTER_BITS = 26  #: of the bitmap of wanted sets that is broadcast, 8 MB at every size of the corpus
+_ORDERS = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _LANES = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -52,47 +55,62 @@ def fingerprint(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
-def prefix(size: int, least: tuple[int, int] = LEAST) -> int:
-    """How many first shingles of a set take part in the search."""
-    return size + (-size * least[0] // least[1]) + 1 if size else 0
+def keys_of(hashes: np.ndarray) -> np.ndarray:
+    """The set's keys; none for an empty set."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for i in range(0, len(hashes), 256):
+        np.minimum(least, (hashes[i : i + 256, None] * _ORDERS).min(0), out=least)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for part in least.reshape(BANDS, ROWS).T:
+        key = (key ^ part) * _LANES[2]
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
 
 
 def _node(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "big", signed=True)
 
 
-def sketches(docs: DataFrame, width: int, least: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
-    """(id, node, size, fp, keys) of every row: its set's name, size, fingerprint and prefix."""
+def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, node, f0, f1, f2, f3, keys) of every row: its set's name, fingerprint and keys."""
 
     def run(batches):
         for batch in batches:
-            nodes, sizes, fps, keys = [], [], [], []
+            nodes, fps, keys = [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingles(text, width)
                 nodes.append(_node(h))
-                sizes.append(len(h))
                 fps.append(fingerprint(h))
-                keys.append(h[: prefix(len(h), least)].view(np.int64))
-            cols = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "node", "size", "fp", "keys"])
+                keys.append(keys_of(h))
+            lanes = np.frombuffer(b"".join(fps), np.int64).reshape(-1, 4)
+            cols = [batch.column(0), pa.array(nodes, pa.int64()), *(pa.array(lanes[:, i]) for i in range(4)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "node", "f0", "f1", "f2", "f3", "keys"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, node long, size int, fp binary, keys array<long>")
+    return rows.mapInArrow(run, "id long, node long, f0 long, f1 long, f2 long, f3 long, keys array<long>")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, width: int, least: tuple[int, int], text_col: str) -> DataFrame:
     """The pairs (u, v) whose sets, formed again from the texts, reach the similarity."""
 
+    pairs = materialize(pairs)
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    low = F.col("node").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = nodes.select(F.shiftright(low, 6).alias("word"), F.expr("shiftleft(1L, cast(node & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap)
+
     def run(batches):
         for batch in batches:
-            sets = [shingles(t, width) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_node(h) for h in sets], pa.int64()), pa.array([(h & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for h in sets], pa.list_(pa.int32()))],
-                ["node", "grams"],
-            )
+            sets = [(_node(h), h) for h in (shingles(t, width) for t in batch.column(0).to_pylist())]
+            sets = [(n, h) for n, h in sets if wanted.value[(n & (1 << FILTER_BITS) - 1) >> 6] >> (n & 63) & 1]
+            grams = [(h & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for _, h in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in sets], pa.int64()), pa.array(grams, pa.list_(pa.int32()))], ["node", "grams"])
 
-    pairs = materialize(pairs)
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    # the bitmap only spares the exchange most of the other sets; the join decides
     sets = docs.select(utf8(text_col).alias("text")).mapInArrow(run, "node long, grams array<int>")
     sets = keep(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams")))
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("gu")), "u").join(sets.select(F.col("node").alias("v"), F.col("grams").alias("gv")), "v")
@@ -100,64 +118,34 @@ def similar(pairs: DataFrame, docs: DataFrame, width: int, least: tuple[int, int
     return both.where((least[0] + least[1]) * shared >= least[0] * total).select("u", "v")
 
 
-def tile_pairs(radius: int, least: tuple[int, int], side: int = SIDE):
-    """A function for mapInArrow over rows in the order of k, c, t: pairs of different parts within the radius.
+def partners(shared: DataFrame, turn: int) -> DataFrame:
+    """Candidate pairs (u, v): each set with the PARTNERS partners of other parts with which it shares most keys.
 
-    own: the row belongs to size class c, else to the one below; two rows of the class below meet elsewhere. sub: in a
-    large group, pairs of rows of different subs meet in tile (sub, sub).
+    ``shared``: (k, node, part). Under every key the partners are the first and the last set in an order that depends on
+    the key and the ``turn``, so a frequent key costs each of its sets two rows.
     """
+    order = F.col("node").bitwiseXOR(F.col("k")).bitwiseXOR(F.lit(turn * 0x5851F42D4C957F2D & (1 << 63) - 1))
+    one = F.struct(order.alias("o"), "node", "part")
+    ends = shared.groupBy("k").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo.node <> hi.node")
+    met = shared.join(ends, "k").select("node", "part", F.explode(F.array("lo", "hi")).alias("with")).where("part <> with.part")
+    counts = met.groupBy("node", F.col("with.node").alias("with")).count()
+    # a set has two partners a key at most, so its list is short
+    best = counts.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "with")), asc=False), 1, PARTNERS).alias("best"))
+    pairs = best.select("node", F.explode("best.with").alias("with"))
+    return pairs.select(F.least("node", "with").alias("u"), F.greatest("node", "with").alias("v")).distinct()
 
-    def group(node, part, size, own, sub, fp, cross):
-        count = np.bitwise_count(fp).sum(1)
-        order = np.argsort(count, kind="stable")
-        for i in range(0, len(order), side):
-            a = order[i : i + side]
-            for j in range(i, len(order), side):
-                b = order[j : j + side]
-                if int(count[b[0]]) - int(count[a[-1]]) > radius:
-                    break  # the tiles behind have still larger counts
-                differ = np.zeros((len(a), len(b)), np.uint16)
-                for lane in range(4):
-                    differ += np.bitwise_count(fp[a, lane][:, None] ^ fp[b, lane][None, :])
-                ok = (differ <= radius) & (part[a][:, None] != part[b][None, :]) & (own[a][:, None] | own[b][None, :])
-                if cross:
-                    ok &= sub[a][:, None] != sub[b][None, :]
-                x, y = np.nonzero(ok)
-                x, y = a[x], b[y]
-                near = least[1] * np.minimum(size[x], size[y]) >= least[0] * np.maximum(size[x], size[y])
-                yield node[x[near]], node[y[near]]
 
-    def run(batches):
-        for rows in sorted_groups(batches, ["k", "c", "t"]):
-            k, c, t, node, part, size, own, sub = (rows.column(n).to_numpy() for n in ("k", "c", "t", "node", "part", "size", "own", "sub"))
-            size = size.astype(np.int64)
-            fp = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(-1, 4)
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (t[1:] != t[:-1])
-            edges = np.append(np.flatnonzero(new), len(k))
-            us, vs, many = [], [], 0
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                if hi - lo < 2:
-                    continue
-                at = slice(lo, hi)
-                for u, v in group(node[at], part[at], size[at], own[at], sub[at], fp[at], t[lo] >> 20 != t[lo] & (2**20 - 1)):
-                    us.append(np.minimum(u, v))
-                    vs.append(np.maximum(u, v))
-                    many += len(u)
-                    if many > 1 << 20:
-                        yield batch_of(us, vs)
-                        us, vs, many = [], [], 0
-            yield batch_of(us, vs)
-
-    def batch_of(us, vs):
-        pairs = np.unique(np.stack([np.concatenate([*us, np.empty(0, np.int64)]), np.concatenate([*vs, np.empty(0, np.int64)])], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
-
-    return run
+def within(pairs: DataFrame, sets: DataFrame, radius: int) -> DataFrame:
+    """The pairs whose fingerprints differ in ``radius`` bits at most."""
+    lanes = [f"f{i}" for i in range(4)]
+    side = lambda c: sets.select(F.col("node").alias(c), *[F.col(x).alias(c + x) for x in lanes])
+    differ = sum((F.bit_count(F.col("u" + x).bitwiseXOR(F.col("v" + x))) for x in lanes), F.lit(0))
+    return pairs.join(side("u"), "u").join(side("v"), "v").where(differ <= radius).select("u", "v")
 
 
 def classes(
-    docs: DataFrame, width: int = WIDTH, least: tuple[int, int] = LEAST, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile: int = TILE
+    docs: DataFrame, width: int = WIDTH, least: tuple[int, int] = LEAST, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, near: int = simhash.RADIUS,
+    tile: int = simhash.TILE,
 ) -> DataFrame:
     """(id, node, component): one row for each row of ``docs``; component names the class of linked sets.
 
@@ -165,29 +153,18 @@ def classes(
     fraction ``least`` exactly. Texts without words form one class; repeated rows share theirs; null texts count as empty; an
     empty table gives an empty result; other columns are ignored.
     """
-    rows = keep(sketches(docs, width, least, id_col, text_col))
-    sets = keep(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    rows = keep(sketches(docs, width, id_col, text_col))
+    lanes = [f"f{i}" for i in range(4)]
+    sets = keep(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in (*lanes, "keys")]))
+    prints = sets.groupBy(F.col("f0").alias("fp")).agg(F.min("node").alias("node"))
+    equal = sets.join(prints.select(F.col("fp").alias("f0"), F.col("node").alias("v")), "f0").where("node <> v").select(F.col("node").alias("u"), "v")
+    tiled = simhash.links(prints, near, tile=tile).unionByName(equal)
     members = sets.select("node", F.explode("keys").alias("k"))
-    order = F.col("node").bitwiseXOR(F.col("k"))  # another order of the sets under every key
-    held = members.groupBy("k").agg(F.count("*").alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).where("n > 1")
-    shared = keep(members.join(held, "k").select("k", "node", F.col("lo").bitwiseXOR(F.col("k")).alias("lo"), F.col("hi").bitwiseXOR(F.col("k")).alias("hi")))
-    partners = shared.select("node", F.explode(F.array("lo", "hi")).alias("with")).where("node <> with")
-    best = partners.groupBy("node", "with").count().groupBy("node").agg(F.max(F.struct("count", "with")).alias("a"), F.min(F.struct(-F.col("count"), "with")).alias("b"))
-    first = best.select("node", F.explode(F.array("a.with", "b.with")).alias("with")).select(F.least("node", "with").alias("u"), F.greatest("node", "with").alias("v")).distinct()
-    links = materialize(similar(first, docs, width, least, text_col))
+    shared = keep(members.join(members.groupBy("k").count().where("count > 1").select("k"), "k"))
+    first = tiled.unionByName(partners(shared.withColumn("part", F.col("node")), 0)).distinct()
+    links = materialize(similar(within(first, sets, radius), docs, width, least, text_col))
     parts = keep(connected_components(links))
-    label = sets.select("node", "size", "fp").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    named = keep(shared.select("k", "node").join(label, "node"))
-    mixed = named.join(named.groupBy("k").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("k"), "k")
-    level = F.floor(F.log(F.col("size").cast("double")) / float(np.log(least[1] / least[0])) + 1e-9).cast("int")
-    twice = mixed.select("k", "node", "part", "size", "fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("up"), level.alias("level"))
-    twice = twice.select("k", (F.col("level") + F.col("up")).alias("c"), "node", "part", "size", "fp", (F.col("up") == 0).alias("own"))
-    groups = twice.groupBy("k", "c").agg(F.ceil(F.count("*") / tile).cast("long").alias("subs"), F.max("own").alias("any"), F.count("*").alias("n")).where("any and n > 1")
-    dealt = twice.join(groups.select("k", "c", "subs"), ["k", "c"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("subs")))
-    tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1), lambda o: F.least(F.col("sub"), o) * (1 << 20) + F.greatest(F.col("sub"), o))
-    dealt = dealt.withColumn("t", F.explode(tiles)).select("k", "c", "t", "node", "part", "size", "own", "sub", "fp")
-    dealt = dealt.repartition(partitions_for(docs), "k", "c", "t").sortWithinPartitions("k", "c", "t")
-    rest = dealt.mapInArrow(tile_pairs(radius, least), "u long, v long").distinct()
-    more = similar(rest, docs, width, least, text_col)
-    final = keep(connected_components(links.unionByName(more)))
+    named = shared.join(parts, "node", "left").select("k", "node", F.coalesce("component", "node").alias("part"))
+    second = within(partners(keep(named), 1), sets, radius)
+    final = keep(connected_components(links.unionByName(similar(second, docs, width, least, text_col))))
     return rows.select("id", "node").join(final, "node", "left").select("id", "node", F.coalesce("component", "node").alias("component"))
