@@ -56,4 +56,6 @@ def test_digests(spark):
         pay = raw + b" " * (-len(raw) % 192 if raw else 192)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-16:]))
     info = M.probe(M.store(docs)).where("doc_id = 5").first()
+    whole = next(r for r in got if r.doc_id == 5)
+    assert (whole.duration_num, whole.duration_den) == (info.duration_num, info.duration_den) and whole.seek == ",".join(map(str, info.seek))
     assert info.payload.rstrip(b" ") == ("long " * 60000).strip().encode() and info.duration_num * 48000 == info.frames * 1152 * info.duration_den

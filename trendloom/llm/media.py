@@ -292,7 +292,7 @@ def probe(media: DataFrame) -> DataFrame:
 
 DIGEST = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-    "feature string, frames long, duration_us long"
+    "feature string, frames long, duration_num long, duration_den long, seek string"
 )
 
 
@@ -300,8 +300,9 @@ def digests(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: sizes and digests of the stored stream and of the payload read back from it.
 
     feature: frames, checksum failures, duration as a fraction of a second, the table's frame count, and a digest of the
-    frame offsets. Null and empty texts are one unit of blanks; repeated rows get equal values; an empty table gives an
-    empty result; other columns are ignored.
+    frame offsets. duration_num / duration_den is the exact duration in seconds, seek the offset of every frame, comma-joined.
+    Null and empty texts are one unit of blanks; repeated rows get equal values; an empty table gives an empty result; other
+    columns are ignored.
     """
 
     def run(batches):
@@ -318,10 +319,10 @@ def digests(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 rows.append(
                     (
                         i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(),
-                        feature, len(seek), int(s * 1_000_000),
+                        feature, len(seek), s.numerator, s.denominator, ",".join(map(str, got["offsets"])),
                     )
                 )
-            types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+            types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 3, pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names)
 
     return store(docs, text_col).mapInArrow(run, DIGEST)
