@@ -202,3 +202,18 @@ def test_density_groups_against_brute_force(spark):
     terms = spark.createDataFrame([(i, t) for i, ts in docs.items() for t in ts], "dataset_id long, term string")
     views = SimpleNamespace(terms=terms, transcripts=spark.createDataFrame([(i,) for i in docs], "dataset_id long"))
     assert {r.dataset_id: r.cluster for r in m03_density_groups(views).collect()} == want
+
+
+def test_text_functions_read_every_script(spark):
+    from trendloom.functions import text as T
+
+    data = [(1, "รีวิว โทรศัพท์ รีวิว 2024"), (2, "Москва — МОСКВА город"), (3, "!!! ..."), (4, ""), (5, None), (6, "Review, review; the phone!")]
+    rows = spark.createDataFrame(data, "i int, t string")
+    t = F.col("t")
+    got = {r.i: r for r in rows.select("i", T.tokens(t).alias("w"), T.identity(t).alias("d"), T.clean(t).alias("c"), T.phrase_count(t, "город").alias("n")).collect()}
+    assert got[1].w == ["รีวิว", "โทรศัพท์", "รีวิว"] and got[2].w == ["москва", "москва", "город"] and got[6].w == ["review", "review", "phone"]
+    assert got[3].d is None and got[4].d is None and got[5].d is None and len({got[i].d for i in (1, 2, 6)}) == 3
+    assert got[2].c == "москва москва город" and got[2].n == 1
+    counts = {r.i: r for r in rows.select("i", T.counted(T.tokens(t)).alias("k"), T.grams(T.tokens(t), 2).alias("g")).collect()}
+    assert {x.value: x.n for x in counts[1].k} == {"รีวิว": 2, "โทรศัพท์": 1} and counts[2].g == ["москва москва", "москва город"]
+    assert counts[3].k is None and counts[3].g == []

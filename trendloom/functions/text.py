@@ -10,13 +10,13 @@ STOPWORDS = ("the", "and", "of", "to", "in", "is", "for", "that", "der", "die",
 
 
 def clean(text: Column) -> Column:
-    """Lower case, with anything but letters, digits and hyphens as one blank."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9à-ÿ-]+", " "))
+    """Lower case, with anything but letters, marks and digits of any script and hyphens as one blank."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}-]+", " "))
 
 
 def words(text: Column) -> Column:
-    """Runs of letters and digits in lower case."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9à-ÿ]+"), F.lit(0))
+    """Runs of letters, marks and digits of any script, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
 
 
 def tokens(text: Column) -> Column:
@@ -24,6 +24,32 @@ def tokens(text: Column) -> Column:
     return F.filter(words(text), lambda w: (F.length(w) > 1) & ~w.isin(*STOPWORDS) & ~w.rlike("^[0-9]+$"))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once although a lambda inside ``body`` uses it for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def counted(values: Column) -> Column:
+    """array<struct<value, n>>: every different value of an array and how often it occurs, without a shuffle."""
+
+    def of_sorted(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        run = lambda at: F.transform(at, lambda i, j: F.struct(F.get(s, i).alias("value"), (F.coalesce(F.get(at, j + 1), F.size(s)) - i).cast("long").alias("n")))
+        return F.when(F.size(s) > 0, let(starts, run))
+
+    return let(F.array_sort(values), of_sorted)
+
+
+def grams(values: Column, n: int) -> Column:
+    """Runs of ``n`` neighbours of an array of words, joined by blanks."""
+    return let(
+        values,
+        lambda ws: F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(0), F.size(ws) - n), lambda i: F.concat_ws(" ", *[F.get(ws, i + j) for j in range(n)]))).otherwise(
+            F.array().cast("array<string>")
+        ),
+    )
+
+
 def normal(text: Column) -> Column:
     """Entities decoded and white space collapsed."""
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
@@ -32,13 +58,13 @@ def normal(text: Column) -> Column:
 
 
 def identity(text: Column) -> Column:
-    """A digest that ignores case and everything but letters and digits."""
-    return F.sha2(F.regexp_replace(F.lower(text), "[^a-z0-9]", ""), 256)
+    """A digest that ignores case and everything but letters, marks and digits of any script; null if nothing is left."""
+    return F.sha2(F.nullif(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]", ""), F.lit("")), 256)
 
 
 def phrase_count(text: Column, phrase: str) -> Column:
     """How often ``phrase`` stands in a text as whole words."""
-    return F.size(F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![a-z0-9]){phrase}(?![a-z0-9])"), F.lit(0)))
+    return F.size(F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{M}\p{N}])" + phrase + r"(?![\p{L}\p{M}\p{N}])"), F.lit(0)))
 
 
 def csv_safe(value: Column) -> Column:

@@ -8,6 +8,7 @@ from trendloom.functions.splits import bucket, channel_split
 from trendloom.operators import benchmark as B
 from trendloom.operators.ranking import rank_within
 from trendloom.plans.eligibility import reasons_sql
+from trendloom.functions.text import counted, tokens
 from trendloom.plans.registry import bucket_sql, query
 from trendloom.sources.views import Views
 
@@ -44,15 +45,23 @@ def a05_taxonomy_coverage(v: Views):
     return leaves.join(good, "leaf", "left").select("leaf", F.coalesce("n", F.lit(0)).cast("long").alias("verified"), (F.coalesce("n", F.lit(0)) >= 20).alias("ready"))
 
 
-@query("""WITH e AS (SELECT leaf, term, count(*) AS support, CAST(sum(tf) AS BIGINT) AS freq, count(DISTINCT channel) AS channels FROM terms GROUP BY 1, 2),
-d AS (SELECT leaf, count(*) AS docs FROM transcripts GROUP BY 1), m AS (SELECT leaf, max(freq) AS top FROM e GROUP BY 1)
-SELECT leaf, term, support, freq, channels, 0.45::DOUBLE * support / docs + 0.25::DOUBLE * freq / top AS score FROM e JOIN d USING (leaf) JOIN m USING (leaf) WHERE support >= CASE WHEN docs < 4 THEN 1 ELSE 2 END""")
+@query(r"""WITH r AS (SELECT t.leaf, t.term, t.tf, t.channel, t.dataset_id, 1.0::DOUBLE + coalesce(quality, 0) AS w FROM terms t JOIN transcripts USING (dataset_id)),
+e AS (SELECT leaf, term, count(*) AS support, CAST(sum(tf) AS BIGINT) AS freq, sum(ln(1.0::DOUBLE + tf)) AS signal, sum(w) AS weight, count(DISTINCT channel) AS channels, arg_max(dataset_id, (tf, -dataset_id)) AS example FROM r GROUP BY 1, 2),
+d AS (SELECT leaf, count(*) AS docs, sum(1.0::DOUBLE + coalesce(quality, 0)) AS total FROM transcripts GROUP BY 1), m AS (SELECT leaf, max(signal) AS top FROM e GROUP BY 1)
+SELECT leaf, term, support, freq, channels, example, round(0.45::DOUBLE * support / docs + 0.25::DOUBLE * signal / top + 0.30::DOUBLE * weight / total, 6) AS score FROM e JOIN d USING (leaf) JOIN m USING (leaf) WHERE support >= CASE WHEN docs < 4 THEN 1 ELSE 2 END""")
 def a06_keyword_evidence(v: Views):
-    e = v.terms.groupBy("leaf", "term").agg(F.count("*").alias("support"), F.sum("tf").alias("freq"), F.count_distinct("channel").alias("channels"))
-    docs = v.transcripts.groupBy("leaf").agg(F.count("*").alias("docs"))
-    top = e.groupBy("leaf").agg(F.max("freq").alias("top"))
-    rows = e.join(docs, "leaf").join(top, "leaf").where(c("support") >= F.when(c("docs") < 4, 1).otherwise(2))
-    return rows.select("leaf", "term", "support", "freq", "channels", (F.lit(0.45) * c("support") / c("docs") + F.lit(0.25) * c("freq") / c("top")).alias("score"))
+    """Document share, damped frequency and share of the rows' weight (a reviewed good row counts twice), with the best example."""
+    weight = F.lit(1.0) + F.coalesce("quality", F.lit(0))
+    rows = v.transcripts.select("dataset_id", "channel", "leaf", weight.alias("w"), F.inline(counted(tokens(c("text")))).alias("term", "tf"))
+    e = rows.groupBy("leaf", "term").agg(
+        F.count("*").alias("support"), F.sum("tf").alias("freq"), F.sum(F.log1p("tf")).alias("signal"), F.sum("w").alias("weight"), F.count_distinct("channel").alias("channels"),
+        F.max_by("dataset_id", F.struct("tf", -c("dataset_id"))).alias("example"),
+    )
+    docs = v.transcripts.groupBy("leaf").agg(F.count("*").alias("docs"), F.sum(weight).alias("total"))
+    top = e.groupBy("leaf").agg(F.max("signal").alias("top"))
+    out = e.join(docs, "leaf").join(top, "leaf").where(c("support") >= F.when(c("docs") < 4, 1).otherwise(2))
+    score = F.lit(0.45) * c("support") / c("docs") + F.lit(0.25) * c("signal") / c("top") + F.lit(0.30) * c("weight") / c("total")
+    return out.select("leaf", "term", "support", "freq", "channels", "example", F.round(score, 6).alias("score"))
 
 
 @query("""SELECT leaf, count(*) AS n, CASE WHEN count(*) >= 10 THEN quantile_cont(duration, 0.25) END AS p25, CASE WHEN count(*) >= 10 THEN quantile_cont(duration, 0.5) END AS p50, CASE WHEN count(*) >= 10 THEN quantile_cont(duration, 0.75) END AS p75 FROM content GROUP BY 1""")

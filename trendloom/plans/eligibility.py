@@ -19,13 +19,27 @@ def reasons_sql(*rules: tuple[str, str]) -> str:
     return REASON_SQL.format(", ".join(f"CASE WHEN {cond} THEN '{code}' END" for cond, code in rules))
 
 
-@query("""SELECT dataset_id, leaf, split FROM transcripts WHERE text IS NOT NULL AND length(trim(text)) >= 80 AND leaf IN ('en', 'de', 'fr') AND quality = 1 AND toxic = 0 AND length(sha256(text)) = 64 AND n_chars > 0""")
+#: The production contract: code of a failure, and the condition that a row must meet, in words that both engines read.
+CONTRACT = (
+    ("id_missing", "dataset_id IS NOT NULL"), ("text_missing", "text IS NOT NULL"), ("text_blank", "length(trim(text)) > 0"), ("text_short", "length(trim(text)) >= 80"),
+    ("channel_missing", "channel IS NOT NULL"), ("channel_blank", "length(trim(channel)) > 0"), ("leaf_missing", "leaf IS NOT NULL"), ("leaf_blank", "length(trim(leaf)) > 0"),
+    ("leaf_inactive", "leaf IN ('en', 'de', 'fr')"), ("size_missing", "n_chars IS NOT NULL"), ("size_zero", "n_chars > 0"), ("window_beyond_size", "length(text) <= n_chars"),
+    ("digest_missing", "digest IS NOT NULL"), ("digest_length", "length(digest) = 64"), ("creator_key_missing", "creator_key IS NOT NULL"), ("creator_key_length", "length(creator_key) = 64"),
+    ("batch_key_missing", "batch_key IS NOT NULL"), ("batch_key_length", "length(batch_key) = 64"), ("split_missing", "split IS NOT NULL"), ("split_unknown", "split IN ('train', 'validation', 'test')"),
+    ("unreviewed", "quality IS NOT NULL"), ("not_eligible", "quality = 1"), ("toxicity_unknown", "toxic IS NOT NULL"), ("toxic", "toxic = 0"),
+)
+RECORDS_SQL = "(SELECT *, sha256(text) AS digest, sha256(channel) AS creator_key, sha256(channel || '|' || leaf) AS batch_key FROM transcripts)"
+
+
+def records(v: Views):
+    key = lambda *cols: F.sha2(F.concat(*cols), 256)
+    return v.transcripts.withColumns({"digest": F.sha2("text", 256), "creator_key": F.sha2("channel", 256), "batch_key": key(c("channel"), F.lit("|"), c("leaf"))})
+
+
+@query("SELECT dataset_id, leaf, split FROM " + RECORDS_SQL + " WHERE " + " AND ".join(rule for _, rule in CONTRACT))
 def p01_production_contract(v: Views):
-    rules = [c("text").isNotNull(), F.length(F.trim("text")) >= 80, c("leaf").isin("en", "de", "fr"), c("quality") == 1, c("toxic") == 0, F.length(F.sha2("text", 256)) == 64, c("n_chars") > 0]
-    rows = v.transcripts
-    for rule in rules:
-        rows = rows.where(rule)
-    return rows.select("dataset_id", "leaf", "split")
+    """Rows that meet every condition of the contract."""
+    return records(v).where(" AND ".join(rule for _, rule in CONTRACT)).select("dataset_id", "leaf", "split")
 
 
 @query("SELECT dataset_id, channel FROM transcripts WHERE leaf NOT IN ('en', 'de') AND split = 'test' AND length(trim(text)) >= 80 AND coalesce(toxic, 0) = 0")
@@ -33,12 +47,10 @@ def p02_out_of_scope_set(v: Views):
     return v.transcripts.where(~c("leaf").isin("en", "de") & (c("split") == "test") & (F.length(F.trim("text")) >= 80) & (F.coalesce("toxic", F.lit(0)) == 0)).select("dataset_id", "channel")
 
 
-@query("SELECT dataset_id, " + reasons_sql(("length(text) < 200", "short_text"), ("quality IS NULL", "unreviewed"), ("quality = 0", "low_quality"), ("toxic = 1", "toxic"), ("leaf = 'es'", "leaf_not_ready")) + " AS failing FROM transcripts")
+@query("SELECT dataset_id, " + reasons_sql(*[(f"NOT coalesce({rule}, false)", code) for code, rule in CONTRACT]) + " AS failing FROM " + RECORDS_SQL)
 def p03_failing_fields(v: Views):
-    return v.transcripts.select(
-        "dataset_id",
-        all_reasons((F.length("text") < 200, "short_text"), (c("quality").isNull(), "unreviewed"), (c("quality") == 0, "low_quality"), (c("toxic") == 1, "toxic"), (c("leaf") == "es", "leaf_not_ready")).alias("failing"),
-    )
+    """Every condition of the contract that a row fails; an unknown result is a failure."""
+    return records(v).select("dataset_id", all_reasons(*[(~F.coalesce(F.expr(rule), F.lit(False)), code) for code, rule in CONTRACT]).alias("failing"))
 
 
 @query("SELECT dataset_id, views FROM content WHERE captured > published AND views >= 0 AND likes >= 0 AND comments >= 0 AND metric_version = 'v2' AND format = 'short' AND title NOT IN (SELECT title FROM content WHERE channel = 'Brand#1')")
@@ -207,11 +219,11 @@ def p24_cohort_records(v: Views):
     return v.content.join(last, c("dataset_id") == c("entity"), "left").select("dataset_id", "observed_views", reason.alias("excluded"))
 
 
-@query("WITH k AS (SELECT dataset_id, unnest(['digest=' || sha256(text), 'identity=' || sha256(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'))]) AS ident FROM transcripts), r AS (SELECT DISTINCT ident FROM k JOIN transcripts USING (dataset_id) WHERE split = 'train') SELECT dataset_id, count(*) AS reused_keys FROM k SEMI JOIN r USING (ident) JOIN transcripts USING (dataset_id) WHERE split <> 'train' GROUP BY 1")
+@query(r"WITH k AS (SELECT dataset_id, unnest(['digest=' || sha256(text), 'identity=' || sha256(nullif(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]', '', 'g'), ''))]) AS ident FROM transcripts), r AS (SELECT DISTINCT ident FROM k JOIN transcripts USING (dataset_id) WHERE split = 'train') SELECT dataset_id, count(*) AS reused_keys FROM k SEMI JOIN r USING (ident) JOIN transcripts USING (dataset_id) WHERE split <> 'train' GROUP BY 1")
 def p25_identity_registry(v: Views):
     from trendloom.functions.text import identity
 
-    keys = v.transcripts.select("dataset_id", "split", F.explode(F.array(F.concat(F.lit("digest="), F.sha2("text", 256)), F.concat(F.lit("identity="), identity(c("text"))))).alias("ident"))
+    keys = v.transcripts.select("dataset_id", "split", F.explode(F.array(F.concat(F.lit("digest="), F.sha2("text", 256)), F.concat(F.lit("identity="), identity(c("text"))))).alias("ident")).where("ident is not null")
     registry = keys.where("split = 'train'").select("ident").distinct()
     return keys.where("split <> 'train'").join(registry, "ident", "left_semi").groupBy("dataset_id").agg(F.count("*").alias("reused_keys"))
 
@@ -232,21 +244,21 @@ def p27_text_observation(v: Views):
     return whole.select("conv_id", state(body).alias("whole"), state(hook).alias("hook"))
 
 
-@query("""WITH r AS (SELECT *, sha256(text) AS digest, CASE WHEN n_chars > 3000 THEN n_chars::VARCHAR END AS grp FROM transcripts), h AS (SELECT * FROM r WHERE split <> 'train')
+@query("""WITH r AS (SELECT *, sha256(text) AS digest, leaf || ':' || n_chars::VARCHAR AS grp FROM transcripts), h AS (SELECT * FROM r WHERE split <> 'train')
 SELECT dataset_id, channel, leaf FROM r WHERE split = 'train' AND channel NOT IN (SELECT channel FROM h) AND (grp IS NULL OR grp NOT IN (SELECT grp FROM h WHERE grp IS NOT NULL)) AND digest NOT IN (SELECT digest FROM h)""")
 def j05_leakage_anti_join(v: Views):
-    rows = v.transcripts.withColumn("digest", F.sha2("text", 256)).withColumn("grp", F.when(c("n_chars") > 3000, c("n_chars").cast("string")))
+    rows = v.transcripts.withColumn("digest", F.sha2("text", 256)).withColumn("grp", F.concat("leaf", F.lit(":"), c("n_chars").cast("string")))
     return without_leaks(rows.where("split = 'train'"), rows.where("split <> 'train'"), ["channel", "grp", "digest"]).select("dataset_id", "channel", "leaf")
 
 
-@query("""WITH g AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, length(text) - 10), lambda i: substr(text, i, 12)))) AS gram FROM benchmark WHERE length(text) >= 100),
-n AS (SELECT item_id, count(*) AS n FROM g GROUP BY 1), d AS (SELECT dataset_id, unnest(list_distinct(list_transform(range(1, length(text) - 10), lambda i: substr(text, i, 12)))) AS gram FROM transcripts WHERE length(text) >= 100)
+@query("""WITH g AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, length(text) - 10), lambda i: substr(text, i, 12)))) AS gram FROM benchmark WHERE length(text) >= 200),
+n AS (SELECT item_id, count(*) AS n FROM g GROUP BY 1), d AS (SELECT dataset_id, unnest(list_distinct(list_transform(range(1, length(text) - 10), lambda i: substr(text, i, 12)))) AS gram FROM transcripts WHERE length(text) >= 200)
 SELECT dataset_id, item_id, count(*) / any_value(n)::DOUBLE AS containment FROM d JOIN g USING (gram) JOIN n USING (item_id) GROUP BY 1, 2 HAVING count(*) >= 0.8 * any_value(n)""")
 def j10_overlap_audit(v: Views):
     grams = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit("(?s)(?=(.{12}))"), F.lit(1)))  # noqa: E731  one pass over the text
-    items = v.table("benchmark").where("length(text) >= 100").select("item_id", F.explode(grams(c("text"))).alias("gram"))
+    items = v.table("benchmark").where("length(text) >= 200").select("item_id", F.explode(grams(c("text"))).alias("gram"))
     sizes = items.groupBy("item_id").agg(F.count("*").alias("n"))
-    docs = v.transcripts.where("length(text) >= 100").select("dataset_id", F.explode(grams(c("text"))).alias("gram"))
+    docs = v.transcripts.where("length(text) >= 200").select("dataset_id", F.explode(grams(c("text"))).alias("gram"))
     shared = docs.join(items, "gram").groupBy("dataset_id", "item_id").agg(F.count("*").alias("k")).join(sizes, "item_id")
     return shared.where(c("k") >= 0.8 * c("n")).select("dataset_id", "item_id", (c("k") / c("n")).alias("containment"))
 
@@ -260,7 +272,7 @@ def j18_prior_roles(v: Views):
     return rows.select("dataset_id", F.array_join(F.array_sort(F.array_union(F.coalesce("a", none), F.coalesce("b", none))), ",").alias("roles"))
 
 
-@query("""WITH RECURSIVE k AS (SELECT dataset_id AS id, unnest(['d' || sha256(text), 'i' || sha256(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'))]) AS ident FROM transcripts),
+@query(r"""WITH RECURSIVE k AS (SELECT dataset_id AS id, unnest(['d' || sha256(text), 'i' || sha256(nullif(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]', '', 'g'), ''))]) AS ident FROM transcripts),
 e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM k a JOIN k b USING (ident)), cc AS (SELECT id, id AS low FROM k UNION SELECT e.a, cc.low FROM cc JOIN e ON e.b = cc.id WHERE cc.low < e.a)
 SELECT id, min(low) AS component FROM cc GROUP BY 1""")
 def j19_identity_components(v: Views):

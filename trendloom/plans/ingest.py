@@ -39,9 +39,9 @@ def s03_review_rows(v: Views):
     return r.withColumn("notes", F.lit(""))
 
 
-@query(r"SELECT dataset_id, CASE WHEN regexp_matches(substr(text, 1, 1), '[-=+@]') THEN '''' || substr(text, 1, 20) ELSE substr(text, 1, 20) END AS cell FROM transcripts")
+@query(r"SELECT dataset_id, CASE WHEN regexp_matches(text, '^\s*[-=+@]') THEN '''' || text ELSE text END AS cell FROM transcripts")
 def s04_spreadsheet_cells(v: Views):
-    return v.transcripts.select("dataset_id", csv_safe(F.substring("text", 1, 20)).alias("cell"))
+    return v.transcripts.select("dataset_id", csv_safe(c("text")).alias("cell"))
 
 
 @query("WITH o AS (SELECT dataset_id, metric_version, views FROM content WHERE dataset_id % 3 <> 0), n AS (SELECT dataset_id, metric_version, views + 1 AS views FROM content WHERE dataset_id % 2 = 0) SELECT coalesce(o.dataset_id, n.dataset_id) AS dataset_id, coalesce(o.metric_version, n.metric_version) AS metric_version, coalesce(n.views, o.views) AS views, CASE WHEN o.dataset_id IS NULL THEN 'created' WHEN n.dataset_id IS NULL THEN 'kept' ELSE 'updated' END AS state FROM o FULL JOIN n ON o.dataset_id = n.dataset_id AND o.metric_version = n.metric_version")
@@ -105,9 +105,9 @@ def s12_review_import(v: Views):
     return v.transcripts.join(done, "dataset_id", "left_anti").select("dataset_id", route.alias("route"))
 
 
-@query("WITH n AS (SELECT doc_id - doc_id % 2 AS target, doc_id, text AS new_text FROM documents WHERE doc_id % 3 <> 0), m AS (SELECT target, count(*) AS k, min(doc_id) AS doc_id, min(new_text) AS new_text FROM n GROUP BY 1) SELECT target, CASE WHEN t.dataset_id IS NULL THEN 'blocked:no_row' WHEN k > 1 THEN 'blocked:duplicate_in_batch' WHEN t.text = new_text THEN 'unchanged' ELSE 'replace' END AS plan FROM m LEFT JOIN transcripts t ON t.dataset_id = m.target")
+@query("WITH n AS (SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id + 1 ELSE doc_id - doc_id % 2 END AS target, doc_id, text AS new_text FROM documents), m AS (SELECT target, count(*) AS k, min(doc_id) AS doc_id, min(new_text) AS new_text FROM n GROUP BY 1) SELECT target, CASE WHEN t.dataset_id IS NULL THEN 'blocked:no_row' WHEN k > 1 THEN 'blocked:duplicate_in_batch' WHEN t.text = new_text THEN 'unchanged' ELSE 'replace' END AS plan FROM m LEFT JOIN transcripts t ON t.dataset_id = m.target")
 def s13_replacement_plan(v: Views):
-    new = v.table("documents").where("doc_id % 3 <> 0").select((c("doc_id") - c("doc_id") % 2).alias("target"), "text")
+    new = v.table("documents").select(F.when(c("doc_id") % 3 == 0, c("doc_id") + 1).otherwise(c("doc_id") - c("doc_id") % 2).alias("target"), "text")
     m = new.groupBy("target").agg(F.count("*").alias("k"), F.min("text").alias("new_text"))
     rows = m.join(v.transcripts.select(c("dataset_id").alias("target"), "text"), "target", "left")
     plan = F.when(c("text").isNull(), "blocked:no_row").when(c("k") > 1, "blocked:duplicate_in_batch").when(c("text") == c("new_text"), "unchanged").otherwise("replace")
@@ -161,11 +161,11 @@ def s19_bundle_validation(v: Views):
     return rows.join(d, "h").select("dataset_id", all_reasons((c("k") > 1, "across_splits"), (c("quality").isNull(), "label_missing"), (~c("text").contains("."), "quote_missing")).alias("issues"))
 
 
-@query("WITH h AS (SELECT sha256(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS f FROM transcripts WHERE split = 'test'), r AS (SELECT dataset_id, channel, sha256(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS f FROM transcripts WHERE split <> 'test') SELECT f, max(dataset_id) AS dataset_id FROM r ANTI JOIN h USING (f) GROUP BY 1")
+@query(r"WITH h AS (SELECT sha256(nullif(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]', '', 'g'), '')) AS f FROM transcripts WHERE split = 'test'), r AS (SELECT dataset_id, channel, sha256(nullif(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]', '', 'g'), '')) AS f FROM transcripts WHERE split <> 'test') SELECT f, max(dataset_id) AS dataset_id FROM r ANTI JOIN h USING (f) WHERE f IS NOT NULL GROUP BY 1")
 def s20_discovery_corpus(v: Views):
     from trendloom.functions.text import identity
 
-    rows = v.transcripts.select("dataset_id", "split", identity(c("text")).alias("f"))
+    rows = v.transcripts.select("dataset_id", "split", identity(c("text")).alias("f")).where("f is not null")
     held = rows.where("split = 'test'").select("f").distinct()
     return rows.where("split <> 'test'").join(held, "f", "left_anti").groupBy("f").agg(F.max("dataset_id").alias("dataset_id"))
 
@@ -176,15 +176,14 @@ def s21_retarget_languages(v: Views):
     return v.transcripts.select("dataset_id", ok.alias("kept"), F.when(~ok, F.concat(F.lit("language:"), "leaf")).alias("reason"))
 
 
-@query("WITH m AS (SELECT l_partkey AS dataset_id, count(*) AS n FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1) SELECT c.dataset_id, m.n IS NULL AS missing, CAST(ceil(coalesce(m.n, 0) / 50.0::DOUBLE) AS BIGINT) AS calls FROM content c LEFT JOIN m USING (dataset_id)")
+@query("WITH m AS (SELECT l_partkey AS dataset_id, count(*) AS n FROM lineitem GROUP BY 1) SELECT c.dataset_id, m.n IS NULL AS missing, CAST(ceil(coalesce(m.n, 0) / 50.0::DOUBLE) AS BIGINT) AS calls FROM content c LEFT JOIN m USING (dataset_id)")
 def s22_manifest_check(v: Views):
-    m = v.table("lineitem").where("l_linenumber <= 2").groupBy(c("l_partkey").alias("dataset_id")).agg(F.count("*").alias("n"))
+    m = v.table("lineitem").groupBy(c("l_partkey").alias("dataset_id")).agg(F.count("*").alias("n"))
     return v.content.join(m, "dataset_id", "left").select("dataset_id", c("n").isNull().alias("missing"), F.ceil(F.coalesce("n", F.lit(0)) / 50).alias("calls"))
 
 
-@query("WITH k AS (SELECT DISTINCT term FROM terms WHERE length(term) >= 12), old AS (SELECT DISTINCT term FROM terms WHERE length(term) >= 12 AND dataset_id % 2 = 0) SELECT md5(k.term) AS keyword_id, k.term, old.term IS NULL AS created, count(*) AS links FROM k LEFT JOIN old USING (term) JOIN terms t ON t.term = k.term GROUP BY ALL")
+@query("WITH k AS (SELECT DISTINCT term FROM terms), old AS (SELECT DISTINCT term FROM terms WHERE dataset_id % 2 = 0) SELECT md5(k.term) AS keyword_id, k.term, old.term IS NULL AS created, count(*) AS links FROM k LEFT JOIN old USING (term) JOIN terms t ON t.term = k.term GROUP BY ALL")
 def s23_keyword_dimension(v: Views):
-    long = v.terms.where("length(term) >= 12")
-    old = long.where("dataset_id % 2 = 0").select("term").distinct().withColumn("old", F.lit(True))
-    links = long.groupBy("term").agg(F.count("*").alias("links"))
+    old = v.terms.where("dataset_id % 2 = 0").select("term").distinct().withColumn("old", F.lit(True))
+    links = v.terms.groupBy("term").agg(F.count("*").alias("links"))
     return links.join(old, "term", "left").select(F.md5("term").alias("keyword_id"), "term", c("old").isNull().alias("created"), "links")

@@ -32,10 +32,10 @@ def j08_topic_matching(v: Views):
     return grid.join(hits, ["dataset_id", "topic_id"], "left").select("dataset_id", "topic_id", state.alias("state"))
 
 
-@query("""WITH f AS (SELECT user_id, role AS kind, CASE WHEN user_id % 3 = 0 THEN 'error' END AS platform, region FROM customers WHERE balance > 9000)
+@query("""WITH f AS (SELECT user_id, role AS kind, CASE WHEN user_id % 3 = 0 THEN 'error' END AS platform, region FROM customers)
 SELECT DISTINCT f.user_id, i.platform, i.key FROM f JOIN items i ON (f.region = i.key OR (f.platform = i.platform AND i.rank = 1)) WHERE i.rank <= 3""")
 def j09_follow_interests(v: Views):
-    follows = v.customers.where("balance > 9000").select("user_id", "region", F.when(c("user_id") % 3 == 0, "error").alias("platform"))
+    follows = v.customers.select("user_id", "region", F.when(c("user_id") % 3 == 0, "error").alias("platform"))
     top = v.items.where("rank <= 3").select("platform", "key", "rank")
     by_region = follows.select("user_id", c("region").alias("key")).join(top, "key").select("user_id", "platform", "key")
     by_platform = follows.where("platform is not null").select("user_id", "platform").join(top.where("rank = 1"), "platform").select("user_id", "platform", "key")
@@ -86,17 +86,17 @@ def j16_keyword_gap(v: Views):
     return gap.withColumn("k", F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("support"), "term"))).where("k <= 6").drop("k")
 
 
-@query("WITH a AS (SELECT leaf, term, count(*) AS n FROM terms WHERE dataset_id % 2 = 0 AND length(term) > 9 GROUP BY 1, 2), b AS (SELECT leaf, term, count(*) AS n FROM terms WHERE dataset_id % 2 = 1 AND length(term) > 9 GROUP BY 1, 2) SELECT coalesce(a.leaf, b.leaf) AS leaf, coalesce(a.term, b.term) AS term, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' WHEN a.n = b.n THEN 'kept' ELSE 'changed' END AS message FROM a FULL JOIN b ON a.leaf = b.leaf AND a.term = b.term")
+@query("WITH a AS (SELECT leaf, term, count(*) AS n FROM terms WHERE dataset_id % 2 = 0 GROUP BY 1, 2), b AS (SELECT leaf, term, count(*) AS n FROM terms WHERE dataset_id % 2 = 1 GROUP BY 1, 2) SELECT coalesce(a.leaf, b.leaf) AS leaf, coalesce(a.term, b.term) AS term, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' WHEN a.n = b.n THEN 'kept' ELSE 'changed' END AS message FROM a FULL JOIN b ON a.leaf = b.leaf AND a.term = b.term")
 def j17_revision_pairs(v: Views):
-    side = lambda i, name: v.terms.where((c("dataset_id") % 2 == i) & (F.length("term") > 9)).groupBy("leaf", "term").agg(F.count("*").alias(name))
+    side = lambda i, name: v.terms.where(c("dataset_id") % 2 == i).groupBy("leaf", "term").agg(F.count("*").alias(name))
     both = side(0, "a").join(side(1, "b"), ["leaf", "term"], "full")
     return both.select("leaf", "term", F.when(c("a").isNull(), "added").when(c("b").isNull(), "removed").when(c("a") == c("b"), "kept").otherwise("changed").alias("message"))
 
 
-@query("WITH l AS (SELECT * FROM analyses QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, analysis_id DESC) = 1) SELECT u.user_id, u.role, coalesce(l.status, 'pending') AS state, l.analysis_id FROM customers u LEFT JOIN l USING (user_id) WHERE u.name LIKE '%7%'")
+@query("WITH l AS (SELECT * FROM analyses QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, analysis_id DESC) = 1) SELECT u.user_id, u.role, coalesce(l.status, 'pending') AS state, l.analysis_id FROM customers u LEFT JOIN l USING (user_id)")
 def j20_review_queue(v: Views):
     last = v.analyses.groupBy("user_id").agg(F.max_by(F.struct("analysis_id", "status"), F.struct("created_at", "analysis_id")).alias("l"))
-    return v.customers.where("name like '%7%'").join(last, "user_id", "left").select("user_id", "role", F.coalesce("l.status", F.lit("pending")).alias("state"), "l.analysis_id")
+    return v.customers.join(last, "user_id", "left").select("user_id", "role", F.coalesce("l.status", F.lit("pending")).alias("state"), "l.analysis_id")
 
 
 @query("WITH " + MEDIAN + ", a AS (SELECT leaf, format, dataset_id FROM content JOIN med USING (leaf, format) WHERE views > threshold), b AS (SELECT leaf, format, dataset_id FROM content WHERE views > 1700000) SELECT leaf, format, count(*) FILTER (x AND NOT y) AS only_derived, count(*) FILTER (y AND NOT x) AS only_saved, count(*) FILTER (x IS NULL OR y IS NULL OR NOT (x AND y)) = 0 AS accepted FROM (SELECT coalesce(a.leaf, b.leaf) AS leaf, coalesce(a.format, b.format) AS format, a.dataset_id IS NOT NULL AS x, b.dataset_id IS NOT NULL AS y FROM a FULL JOIN b ON a.dataset_id = b.dataset_id) GROUP BY 1, 2")
@@ -108,10 +108,10 @@ def j21_saved_group(v: Views):
     return g.withColumn("accepted", (c("only_derived") + c("only_saved")) == 0)
 
 
-@query("WITH e AS (SELECT leaf, term, count(*) AS support, array_to_string(list_slice(list_sort(list(DISTINCT channel)), 1, 3), ',') AS channels FROM terms WHERE length(term) >= 8 GROUP BY 1, 2 HAVING count(*) >= 2), u AS (SELECT DISTINCT term FROM terms WHERE dataset_id % 50 = 1) SELECT leaf, term, support, channels, u.term IS NULL AS gap FROM e LEFT JOIN u USING (term)")
+@query("WITH e AS (SELECT leaf, term, count(*) AS support, array_to_string(list_slice(list_sort(list(DISTINCT channel)), 1, 3), ',') AS channels FROM terms GROUP BY 1, 2 HAVING count(*) >= 2), u AS (SELECT DISTINCT term FROM terms WHERE channel = 'src1') SELECT leaf, term, support, channels, u.term IS NULL AS gap FROM e LEFT JOIN u USING (term)")
 def j23_evidence_assembly(v: Views):
-    e = v.terms.where("length(term) >= 8").groupBy("leaf", "term").agg(F.count("*").alias("support"), F.array_join(F.slice(F.array_sort(F.collect_set("channel")), 1, 3), ",").alias("channels")).where("support >= 2")
-    own = v.terms.where("dataset_id % 50 = 1").select("term").distinct().withColumn("own", F.lit(True))
+    e = v.terms.groupBy("leaf", "term").agg(F.count("*").alias("support"), F.array_join(F.slice(F.array_sort(F.collect_set("channel")), 1, 3), ",").alias("channels")).where("support >= 2")
+    own = v.terms.where("channel = 'src1'").select("term").distinct().withColumn("own", F.lit(True))
     return e.join(own, "term", "left").select("leaf", "term", "support", "channels", c("own").isNull().alias("gap"))
 
 
@@ -146,12 +146,17 @@ def j27_variant_parity(v: Views):
     return a.join(b, ["conv_id", "place"], "full").where(~c("r1").eqNullSafe(c("r2"))).select("conv_id", "place")
 
 
-@query("""WITH h AS (SELECT term, count(*) AS n FROM terms WHERE dataset_id % 2 = 0 GROUP BY 1), d AS (SELECT dataset_id, count(*) FILTER (n IS NULL) AS fresh, count(*) AS k FROM terms LEFT JOIN h USING (term) WHERE dataset_id % 2 = 1 GROUP BY 1)
-SELECT dataset_id, 120.0::DOUBLE * fresh / k AS score FROM d ORDER BY score DESC, dataset_id LIMIT 100""")
+@query("""WITH h AS (SELECT w, count(*) AS n FROM (SELECT unnest(string_split(title, ' ')) AS w FROM content WHERE metric_version = 'v1') GROUP BY 1),
+t AS (SELECT dataset_id, likes, views, unnest(list_distinct(string_split(title, ' '))) AS w FROM content WHERE metric_version = 'v2')
+SELECT dataset_id, round(any_value(likes) / 100.0::DOUBLE + 120.0::DOUBLE * sum(1.0::DOUBLE / (1 + coalesce(n, 0))) + least(any_value(views) / 20000.0::DOUBLE, 10.0::DOUBLE), 6) AS score FROM t LEFT JOIN h USING (w) GROUP BY 1 ORDER BY score DESC, dataset_id LIMIT 100""")
 def k01_priority_items(v: Views):
-    history = v.terms.where("dataset_id % 2 = 0").groupBy("term").agg(F.count("*").alias("n"))
-    d = v.terms.where("dataset_id % 2 = 1").join(history, "term", "left").groupBy("dataset_id").agg(F.count_if(c("n").isNull()).alias("fresh"), F.count("*").alias("k"))
-    return d.select("dataset_id", (F.lit(120.0) * c("fresh") / c("k")).alias("score")).orderBy(F.desc("score"), "dataset_id").limit(100)
+    """Top items of the current version: score, 120 for every unit of novelty against the words of older titles, and up to 10 for views."""
+    words = lambda version: v.content.where(c("metric_version") == version)
+    history = words("v1").select(F.explode(F.split("title", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    rows = words("v2").select("dataset_id", "likes", "views", F.explode(F.array_distinct(F.split("title", " "))).alias("w")).join(history, "w", "left")
+    novelty = F.sum(F.lit(1.0) / (1 + F.coalesce("n", F.lit(0))))
+    scored = rows.groupBy("dataset_id").agg((F.first("likes") / 100.0 + F.lit(120.0) * novelty + F.least(F.first("views") / 20000.0, F.lit(10.0))).alias("score"))
+    return scored.select("dataset_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "dataset_id").limit(100)
 
 
 @query("WITH l AS (SELECT topic, CAST(sum(views) AS BIGINT) // 1000 AS s FROM (SELECT unnest(string_split(title, ' ')) AS topic, views FROM content WHERE metric_version = 'v2') GROUP BY 1), h AS (SELECT topic, count(*) AS h FROM (SELECT unnest(string_split(title, ' ')) AS topic FROM content WHERE metric_version = 'v1') GROUP BY 1) SELECT topic, s + 0.05::DOUBLE * coalesce(h, 0) AS priority, s * 2.0::DOUBLE / (1 + coalesce(h, 0)) AS emerging FROM l LEFT JOIN h USING (topic)")

@@ -13,7 +13,7 @@ _SQL: dict[str, str] = {}
 
 # The views of trendloom.sources.views in SQL, for the twins.
 _BUCKET = "(('0x' || substr(sha256('split-v1|' || {}), 1, 8))::BIGINT % {})"
-_STOP = "'the','and','of','to','in','is','for','that','der','die','das','und','les','des','que','los','las','con'"
+STOP_SQL = "'the','and','of','to','in','is','for','that','der','die','das','und','les','des','que','los','las','con'"
 VIEWS = {
     "content": """SELECT p_partkey AS dataset_id, p_name AS title, p_brand AS channel, p_type AS leaf, CAST(p_size AS BIGINT) AS duration,
         CAST(floor(sum(CAST(l_extendedprice AS DECIMAL(18,2)))) AS BIGINT) AS views, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS likes,
@@ -30,8 +30,8 @@ VIEWS = {
     "transcripts": f"""SELECT d.doc_id AS dataset_id, text, source AS channel, lang AS leaf, n_chars, CAST(quality AS BIGINT) AS quality, CAST(toxic AS BIGINT) AS toxic,
         CASE WHEN {_BUCKET.format('source', 100)} < 70 THEN 'train' WHEN {_BUCKET.format('source', 100)} < 85 THEN 'validation' ELSE 'test' END AS split
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
-    "terms": f"""SELECT dataset_id, channel, leaf, term, count(*) AS tf FROM (SELECT dataset_id, channel, leaf, unnest(regexp_extract_all(lower(text), '[a-z0-9à-ÿ]+')) AS term FROM transcripts)
-        WHERE length(term) > 1 AND term NOT IN ({_STOP}) AND NOT regexp_full_match(term, '[0-9]+') GROUP BY 1, 2, 3, 4""",
+    "terms": f"""SELECT dataset_id, channel, leaf, term, count(*) AS tf FROM (SELECT dataset_id, channel, leaf, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')) AS term FROM transcripts)
+        WHERE length(term) > 1 AND term NOT IN ({STOP_SQL}) AND NOT regexp_full_match(term, '[0-9]+') GROUP BY 1, 2, 3, 4""",
     "topics": "SELECT topic_id, count(*) AS n_titles FROM (SELECT unnest(string_split(p_name, ' ')) AS topic_id FROM part) GROUP BY 1",
     "vectors": "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec, CAST(label AS BIGINT) AS label FROM embeddings",
     "segments": "SELECT conv_id, turn AS segment_index, role, text, turn * 10 AS start, turn * 10 + 10 AS \"end\" FROM conversations",

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from trendloom.functions import metrics as M
 from trendloom.functions import text as T
-from trendloom.plans.registry import query
+from trendloom.plans.registry import STOP_SQL, query
 from trendloom.sources.views import Views
 
 
@@ -92,12 +92,12 @@ def f12_normal_text(v: Views):
     return v.table("pages").select("page_id", F.length(t).cast("long").alias("n_chars"), F.md5(t).alias("digest"), (F.length(t) >= 80).alias("usable"))
 
 
-@query("SELECT dataset_id, sha256(text) AS raw_sha256, sha256(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS identity_sha256 FROM transcripts")
+@query(r"SELECT dataset_id, sha256(text) AS raw_sha256, sha256(nullif(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]', '', 'g'), '')) AS identity_sha256 FROM transcripts")
 def f13_identity_hashes(v: Views):
     return v.transcripts.select("dataset_id", F.sha2("text", 256).alias("raw_sha256"), T.identity(F.col("text")).alias("identity_sha256"))
 
 
-@query("SELECT dataset_id, md5(t) AS digest, length(t) AS n_chars FROM (SELECT dataset_id, trim(regexp_replace(lower(text), '[^a-z0-9à-ÿ-]+', ' ', 'g')) AS t FROM transcripts)")
+@query(r"SELECT dataset_id, md5(t) AS digest, length(t) AS n_chars FROM (SELECT dataset_id, trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}-]+', ' ', 'g')) AS t FROM transcripts)")
 def f14_clean_text(v: Views):
     t = T.clean(F.col("text"))
     return v.transcripts.select("dataset_id", F.md5(t).alias("digest"), F.length(t).cast("long").alias("n_chars"))
@@ -118,22 +118,23 @@ def f16_tokens(v: Views):
     return rows.where("n_tokens > 0")
 
 
-@query("""WITH w AS (SELECT dataset_id, regexp_extract_all(lower(text), '[a-z0-9à-ÿ]+') AS ws FROM transcripts),
-g AS (SELECT dataset_id, unnest(list_transform(generate_series(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1])) AS gram FROM w WHERE len(ws) > 1),
-c AS (SELECT dataset_id, gram, count(*) * 1.8::DOUBLE + 0.3::DOUBLE AS score FROM g GROUP BY 1, 2)
-SELECT dataset_id, gram, score FROM c QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY score DESC, gram) <= 3""")
+@query(rf"""WITH w AS (SELECT dataset_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+'), lambda w: length(w) > 1 AND w NOT IN ({STOP_SQL}) AND NOT regexp_full_match(w, '[0-9]+')) AS ws FROM transcripts),
+g AS (SELECT dataset_id, 1 AS k, unnest(ws) AS gram FROM w UNION ALL SELECT dataset_id, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+UNION ALL SELECT dataset_id, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w)
+SELECT dataset_id, gram, count(*) AS frequency, round(CASE k WHEN 1 THEN count(*) + CASE WHEN length(gram) >= 6 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END WHEN 2 THEN count(*) * 1.8::DOUBLE + 0.3::DOUBLE ELSE count(*) * 2.2::DOUBLE + 0.4::DOUBLE END, 3) AS score
+FROM g GROUP BY dataset_id, k, gram HAVING k = 1 OR count(*) >= 2""")
 def f17_bigram_candidates(v: Views):
-    from pyspark.sql import Window
-
-    grams = v.transcripts.select("dataset_id", T.words(F.col("text")).alias("ws")).where("size(ws) > 1").select(
-        "dataset_id", F.explode(F.expr("transform(sequence(1, size(ws) - 1), i -> concat(ws[i - 1], ' ', ws[i]))")).alias("gram")
-    )
-    scored = grams.groupBy("dataset_id", "gram").agg((F.count("*") * 1.8 + 0.3).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("dataset_id").orderBy(F.desc("score"), "gram"))
-    return scored.withColumn("r", rank).where("r <= 3").drop("r")
+    """Single words, and pairs and triples of words that occur twice, counted row by row."""
+    ws = v.transcripts.select("dataset_id", T.tokens(F.col("text")).alias("ws"))
+    g, n = F.col("value"), F.col("n")
+    parts = [
+        ws.select("dataset_id", F.inline(T.counted(T.grams(F.col("ws"), k) if k > 1 else F.col("ws")))).where(n >= least).select("dataset_id", g.alias("gram"), n.alias("frequency"), F.round(score, 3).alias("score"))
+        for k, least, score in ((1, 1, n + F.when(F.length(g) >= 6, 0.2).otherwise(0.0)), (2, 2, n * 1.8 + 0.3), (3, 2, n * 2.2 + 0.4))
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("""SELECT dataset_id, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w = 'the')) AS n_the FROM transcripts""")
+@query(r"""SELECT dataset_id, len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+'), lambda w: w = 'the')) AS n_the FROM transcripts""")
 def f18_phrase_count(v: Views):
     return v.transcripts.select("dataset_id", T.phrase_count(F.col("text"), "the").cast("long").alias("n_the"))
 
@@ -264,13 +265,13 @@ def f36_local_keywords(v: Views):
     return v.terms.select("dataset_id", "term", "tf", place.cast("long").alias("place")).where("place <= 5")
 
 
-@query("""WITH h AS (SELECT conv_id, string_agg(text, ' ' ORDER BY segment_index) AS body, string_agg(text, ' ' ORDER BY segment_index) FILTER (start < 30) AS hook FROM segments GROUP BY 1),
-w AS (SELECT conv_id, unnest(regexp_extract_all(lower(body), '[a-z0-9à-ÿ]+')) AS term, 1.0::DOUBLE AS weight FROM h UNION ALL SELECT conv_id, unnest(regexp_extract_all(lower(hook), '[a-z0-9à-ÿ]+')), 0.5::DOUBLE FROM h)
-SELECT conv_id, term, sum(weight) AS score FROM w WHERE length(term) >= 6 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY sum(weight) DESC, term) <= 5""")
+@query(r"""WITH h AS (SELECT conv_id, string_agg(text, ' ' ORDER BY segment_index) AS body, string_agg(text, ' ' ORDER BY segment_index) FILTER (start < 30) AS hook FROM segments GROUP BY 1),
+w AS (SELECT conv_id, unnest(regexp_extract_all(lower(body), '[\p{L}\p{M}\p{N}]+')) AS term, 1.0::DOUBLE AS weight FROM h UNION ALL SELECT conv_id, unnest(regexp_extract_all(lower(hook), '[\p{L}\p{M}\p{N}]+')), 0.5::DOUBLE FROM h)
+SELECT conv_id, term, sum(weight) AS score FROM w GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY sum(weight) DESC, term) <= 5""")
 def f35_hook_keywords(v: Views):
     from pyspark.sql import Window
 
-    term = v.segments.select("conv_id", "start", F.explode(T.words(F.col("text"))).alias("term")).where("length(term) >= 6")
+    term = v.segments.select("conv_id", "start", F.explode(T.words(F.col("text"))).alias("term"))
     scored = term.groupBy("conv_id", "term").agg(F.sum(F.when(F.col("start") < 30, 1.5).otherwise(1.0)).alias("score"))
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "term"))
     return scored.withColumn("place", place).where("place <= 5").drop("place")

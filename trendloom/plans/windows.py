@@ -48,20 +48,32 @@ def j07_growth_pair(v: Views):
     return T.growth_pairs(v.readings)
 
 
-@query("""WITH m AS (SELECT platform, max(run_at) AS at FROM runs WHERE status = 'ok' GROUP BY 1), b AS (SELECT r.platform, max(r.run_at) AS bt FROM runs r JOIN m USING (platform) WHERE status = 'ok' AND r.run_at < m.at GROUP BY 1),
-n AS (SELECT i.* FROM items i JOIN m ON i.platform = m.platform AND i.run_at = m.at), p AS (SELECT i.* FROM items i JOIN b ON i.platform = b.platform AND i.run_at = b.bt)
-SELECT coalesce(n.platform, p.platform) AS platform, coalesce(n.key, p.key) AS key, n.rank AS rank, p.rank AS prev_rank, CASE WHEN p.rank IS NULL THEN 'new_entry' WHEN n.rank IS NULL THEN 'not_in_latest'
-WHEN n.rank < p.rank THEN 'up' WHEN n.rank > p.rank THEN 'down' ELSE 'same' END AS movement FROM n FULL JOIN p ON n.platform = p.platform AND n.key = p.key""")
+@query("""WITH ok AS (SELECT platform, run_at, row_number() OVER (PARTITION BY platform ORDER BY run_at DESC) AS place FROM runs WHERE status = 'ok'),
+st AS (SELECT platform, max(run_at) FILTER (place = 1) AS last_at, max(run_at) FILTER (place = 2) AS prev_at FROM ok WHERE place <= 2 GROUP BY 1), s AS (SELECT platform, max(run_at) AS any_at FROM runs GROUP BY 1),
+x AS (SELECT platform, last_at, prev_at, CASE WHEN any_at > last_at THEN 'latest_unavailable' WHEN last_at < (SELECT max(run_at) FROM runs) - INTERVAL 2 DAY THEN 'stale' WHEN prev_at IS NULL THEN 'insufficient' WHEN last_at > prev_at + INTERVAL 1 DAY THEN 'collection_gap' END AS state FROM st JOIN s USING (platform)),
+n AS (SELECT i.* FROM items i JOIN x ON i.platform = x.platform AND i.run_at = x.last_at), p AS (SELECT i.* FROM items i JOIN x ON i.platform = x.platform AND i.run_at = x.prev_at),
+f AS (SELECT coalesce(n.platform, p.platform) AS platform, coalesce(n.key, p.key) AS key, n.rank AS rank, p.rank AS prev_rank FROM n FULL JOIN p ON n.platform = p.platform AND n.key = p.key)
+SELECT platform, key, rank, prev_rank, coalesce(state, CASE WHEN prev_rank IS NULL THEN 'new_entry' WHEN rank IS NULL THEN 'not_in_latest' WHEN rank < prev_rank THEN 'up' WHEN rank > prev_rank THEN 'down' ELSE 'unchanged' END) AS movement,
+CASE WHEN state IS NULL THEN prev_rank - rank END AS change FROM f JOIN x USING (platform)""")
 def w01_rank_movement(v: Views):
+    """Movement between the last two good runs; a failed latest run, an old one, a single one or a gap takes the place of the movement."""
     two = T.latest_runs(v.runs.where("status = 'ok'"), ["platform"], "run_at", 2).select("platform", "run_at", "place")
+    at = lambda i: F.max(F.when(F.col("place") == i, F.col("run_at")))
+    points = two.groupBy("platform").agg(at(1).alias("at"), at(2).alias("bt")).join(v.runs.groupBy("platform").agg(F.max("run_at").alias("any_at")), "platform")
+    points = points.join(F.broadcast(v.runs.agg(F.max("run_at").alias("now"))), F.lit(True))  # one row
+    state = (
+        F.when(F.col("any_at") > F.col("at"), "latest_unavailable").when(F.expr("at < now - interval 2 days"), "stale").when(F.col("bt").isNull(), "insufficient")
+        .when(F.expr("at > bt + interval 1 day"), "collection_gap")
+    )
     rows = v.items.join(two, ["platform", "run_at"])
     now, old = (rows.where(F.col("place") == i).select("platform", "key", F.col("rank").alias(name)) for i, name in ((1, "rank"), (2, "prev_rank")))
-    both = now.join(old, ["platform", "key"], "full")
+    both = now.join(old, ["platform", "key"], "full").join(points.select("platform", state.alias("state")), "platform")
     kind = (
         F.when(F.col("prev_rank").isNull(), "new_entry").when(F.col("rank").isNull(), "not_in_latest").when(F.col("rank") < F.col("prev_rank"), "up")
-        .when(F.col("rank") > F.col("prev_rank"), "down").otherwise("same")
+        .when(F.col("rank") > F.col("prev_rank"), "down").otherwise("unchanged")
     )
-    return both.withColumn("movement", kind)
+    change = F.when(F.col("state").isNull(), F.col("prev_rank") - F.col("rank"))
+    return both.select("platform", "key", "rank", "prev_rank", F.coalesce("state", kind).alias("movement"), change.alias("change"))
 
 
 INTERVALS = """WITH p AS (SELECT *, lag(us) OVER w AS b_us, lag(status) OVER w AS b_status, lag(counter) OVER w AS b_counter, lag(metric_version) OVER w AS b_version FROM observations WINDOW w AS (PARTITION BY entity ORDER BY us, obs_id)),
