@@ -3,9 +3,10 @@
 Texts fold into their different shingle sets. Candidates come from two sides: the operator's tiled exact comparison of
 fingerprints (``simhash.links``), and keys made of the least hashes of a set in five orders: two sets of similarity 0.8 share one
 of 30 such keys but for seven pairs in a million. Under its keys every set is held against the partners, two for each key, with
-which it shares most keys; a second round does so across the classes of the first with other partners. Candidates whose
-256-bit fingerprints lie within a radius are compared exactly. All work is in proportion to the sets: a pair is missed only if
-it never meets as partners and no chain of links joins its classes.
+which it shares most keys, which joins most of a class by few comparisons. A last round takes the rest: under every key that
+still holds sets of different classes, all pairs across classes, tile against tile. Candidates whose 256-bit fingerprints lie
+within a radius are compared exactly. So a pair of the least similarity stays apart only if it shares no key or differs beyond
+the radius.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import connected_components, keep, materialize, utf8
+from .common import connected_components, keep, materialize, partitions_for, sorted_groups, utf8
 
 WIDTH, SEED = 5, 42
 LEAST = (4, 5)  #: the least similarity as a fraction
@@ -118,23 +119,81 @@ def similar(pairs: DataFrame, docs: DataFrame, width: int, least: tuple[int, int
     return both.where((least[0] + least[1]) * shared >= least[0] * total).select("u", "v")
 
 
-def partners(shared: DataFrame, turn: int) -> DataFrame:
-    """Candidate pairs (u, v): each set with the PARTNERS partners of other parts with which it shares most keys.
+def partners(shared: DataFrame) -> DataFrame:
+    """Candidate pairs (u, v): each set with the PARTNERS others with which it shares most keys.
 
-    ``shared``: (k, node, part). Under every key the partners are the first and the last set in an order that depends on
-    the key and the ``turn``, so a frequent key costs each of its sets two rows.
+    ``shared``: (k, node). Under every key the partners are the first and the last set in an order that depends on the key, so
+    a frequent key costs each of its sets two rows.
     """
-    order = F.col("node").bitwiseXOR(F.col("k")).bitwiseXOR(F.lit(turn * 0x5851F42D4C957F2D & (1 << 63) - 1))
-    one = F.struct(order.alias("o"), "node", "part")
+    one = F.struct(F.col("node").bitwiseXOR(F.col("k")).alias("o"), "node")
     ends = shared.groupBy("k").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo.node <> hi.node")
-    met = shared.join(ends, "k").select("node", "part", F.explode(F.array("lo", "hi")).alias("with")).where("part <> with.part")
-    counts = met.groupBy("node", F.col("with.node").alias("with")).count()
+    met = shared.join(ends, "k").select("node", F.explode(F.array("lo.node", "hi.node")).alias("with")).where("node <> with")
+    counts = met.groupBy("node", "with").count()
     # a set has two partners a key at most, so its list is short
     best = counts.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "with")), asc=False), 1, PARTNERS).alias("best"))
     pairs = best.select("node", F.explode("best.with").alias("with"))
     return pairs.select(F.least("node", "with").alias("u"), F.greatest("node", "with").alias("v")).distinct()
 
 
+def across_pairs(radius: int, small: int = 32, side: int = 256):
+    """A function for mapInArrow: the pairs of different parts within the radius in each (k, t) group of rows."""
+
+    def near(lanes, part, left, right):
+        """Pairs out of two lists of rows, in blocks of ``side``."""
+        for i in range(0, len(left), side):
+            a = left[i : i + side]
+            for j in range(0, len(right), side):
+                b = right[j : j + side]
+                open_ = part[a][:, None] != part[b][None, :]
+                if open_.any():
+                    x, y = np.nonzero(open_ & (np.bitwise_count(lanes[a][:, None] ^ lanes[b][None, :]).sum(2, dtype=np.int64) <= radius))
+                    yield a[x], b[y]
+
+    def run(batches):
+        for rows in sorted_groups(batches, ["k", "t"]):
+            k, t, node, part, right = (rows.column(n).to_numpy() for n in ("k", "t", "node", "part", "side"))
+            lanes = np.stack([rows.column(f"f{i}").to_numpy() for i in range(4)], 1).view(np.uint64)
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
+            group, starts = np.cumsum(new) - 1, np.append(np.flatnonzero(new), len(k))
+            sizes = np.diff(starts)
+            two = t // (1 << 31) != t % (1 << 31)  # rows of two different tiles
+            found = []
+            few = np.flatnonzero(sizes[group] <= small)
+            for d in range(1, int(sizes[sizes <= small].max(initial=1))):
+                a, b = few[:-d], few[d:]
+                fit = (group[a] == group[b]) & (part[a] != part[b]) & (~two[a] | (right[a] != right[b]))
+                a, b = a[fit], b[fit]
+                fit = np.bitwise_count(lanes[a] ^ lanes[b]).sum(1, dtype=np.int64) <= radius
+                found.append((a[fit], b[fit]))
+            for g in np.flatnonzero(sizes > small):
+                at = np.arange(starts[g], starts[g + 1])
+                found.extend(near(lanes, part, at[~right[at]], at[right[at]] if two[at[0]] else at))
+            u, v = (node[np.concatenate([*(f[i] for f in found), np.empty(0, np.int64)])] for i in (0, 1))
+            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+            for i in range(0, len(pairs), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + (1 << 16), c]) for c in (0, 1)], ["u", "v"])
+
+    return run
+
+
+def across(named: DataFrame, sets: DataFrame, radius: int, tile: int) -> DataFrame:
+    """All candidate pairs (u, v) of different parts that share a key and whose fingerprints lie within the radius.
+
+    ``named``: (k, node, part). Keys all in one part are done and cost nothing. A key of more than 8 tiles of sets goes to
+    tasks as pairs of parts of that size.
+    """
+    held = named.groupBy("k").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    held = held.select("k", F.ceil(F.col("n") / (8 * tile)).cast("long").alias("subs"))
+    rows = named.join(held, "k").withColumn("own", F.pmod(F.xxhash64("node"), "subs"))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)))
+    tiles = dealt.select(
+        "k", (F.least("own", "other") * (1 << 31) + F.greatest("own", "other")).alias("t"), "node", "part", (F.col("own") > F.col("other")).alias("side")
+    )
+    tiles = tiles.join(sets.select("node", *[f"f{i}" for i in range(4)]), "node").repartition(partitions_for(sets), "k", "t").sortWithinPartitions("k", "t")
+    return tiles.mapInArrow(across_pairs(radius), "u long, v long").distinct()
+
+
 def within(pairs: DataFrame, sets: DataFrame, radius: int) -> DataFrame:
     """The pairs whose fingerprints differ in ``radius`` bits at most."""
     lanes = [f"f{i}" for i in range(4)]
@@ -161,10 +220,10 @@ def classes(
     tiled = simhash.links(prints, near, tile=tile).unionByName(equal)
     members = sets.select("node", F.explode("keys").alias("k"))
     shared = keep(members.join(members.groupBy("k").count().where("count > 1").select("k"), "k"))
-    first = tiled.unionByName(partners(shared.withColumn("part", F.col("node")), 0)).distinct()
-    links = materialize(similar(within(first, sets, radius), docs, width, least, text_col))
+    first = keep(within(tiled.unionByName(partners(shared)).distinct(), sets, radius))
+    links = materialize(similar(first, docs, width, least, text_col))
     parts = keep(connected_components(links))
-    named = shared.join(parts, "node", "left").select("k", "node", F.coalesce("component", "node").alias("part"))
-    second = within(partners(keep(named), 1), sets, radius)
-    final = keep(connected_components(links.unionByName(similar(second, docs, width, least, text_col))))
+    named = keep(shared.join(parts, "node", "left").select("k", "node", F.coalesce("component", "node").alias("part")))
+    rest = across(named, sets, radius, tile).join(first, ["u", "v"], "left_anti")
+    final = keep(connected_components(links.unionByName(similar(rest, docs, width, least, text_col))))
     return rows.select("id", "node").join(final, "node", "left").select("id", "node", F.coalesce("component", "node").alias("component"))
