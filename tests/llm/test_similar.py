@@ -75,3 +75,24 @@ def test_keys_and_fingerprints():
         met += bool(set(S.keys_of(a).tolist()) & set(S.keys_of(b).tolist()))
         within += (int.from_bytes(S.fingerprint(a)) ^ int.from_bytes(S.fingerprint(b))).bit_count() <= S.RADIUS
     assert met == within == 300
+
+
+def test_blocks_against_all_pairs(spark):
+    """The last round alone, on sets that are all apart: tiles of any size give the links of all pairs, as spanning edges."""
+    rows = {S._node(S.shingles((t or "").encode())): t for t in texts() if t and t.split()}
+    docs = spark.createDataFrame(list(enumerate(rows.values())), "doc_id long, text string")
+    named = spark.createDataFrame([(1, n, n) for n in rows], "k long, node long, part long")
+    want, nodes = brute(list(enumerate(rows.values()))), list(rows)
+    for tile in (2048, 7):
+        links = [(r.u, r.v) for r in S.across(named, docs, S.WIDTH, S.LEAST, "text", tile).collect()]
+        u, v = (np.array(x, np.int64) for x in zip(*links))
+        label = dict(zip(nodes, nodes)) | dict(zip(*(x.tolist() for x in S.min_labels(u, v))))
+        got = [label[n] for n in nodes]
+        assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+
+def test_shared_counts():
+    rnd = random.Random(5)
+    sets = [np.array(sorted(rnd.sample(range(500), rnd.randint(0, 300))), np.int32) for _ in range(30)]
+    got = S.shared_counts(sets[:12], sets[12:], chunk=64)
+    assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[12:]] for a in sets[:12]]

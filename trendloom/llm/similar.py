@@ -3,10 +3,10 @@
 Texts fold into their different shingle sets. Candidates come from two sides: the operator's tiled exact comparison of
 fingerprints (``simhash.links``), and keys made of the least hashes of a set in five orders: two sets of similarity 0.8 share one
 of 30 such keys but for seven pairs in a million. Under its keys every set is held against the partners, two for each key, with
-which it shares most keys, which joins most of a class by few comparisons. A last round takes the rest: under every key that
-still holds sets of different classes, all pairs across classes, tile against tile. Candidates whose 256-bit fingerprints lie
-within a radius are compared exactly. So a pair of the least similarity stays apart only if it shares no key or differs beyond
-the radius.
+which it shares most keys, which joins most of a class by few comparisons; of these candidates, those whose 256-bit
+fingerprints lie within a radius are compared exactly. A last round takes the rest: sets connected by keys that still hold sets
+of different classes form blocks, in which all sets of different classes are compared exactly, tile against tile, and only
+spanning links go on. So a pair of the least similarity stays apart only if it shares no key.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import connected_components, keep, materialize, partitions_for, sorted_groups, utf8
+from .common import connected_components, keep, materialize, min_labels, partitions_for, sorted_groups, utf8
 
 WIDTH, SEED = 5, 42
 LEAST = (4, 5)  #: the least similarity as a fraction
@@ -93,11 +93,8 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
     return rows.mapInArrow(run, "id long, node long, f0 long, f1 long, f2 long, f3 long, keys array<long>")
 
 
-def similar(pairs: DataFrame, docs: DataFrame, width: int, least: tuple[int, int], text_col: str) -> DataFrame:
-    """The pairs (u, v) whose sets, formed again from the texts, reach the similarity."""
-
-    pairs = materialize(pairs)
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+def grams_of(nodes: DataFrame, docs: DataFrame, width: int, text_col: str) -> DataFrame:
+    """(node, grams) of the given distinct sets, formed again from the texts."""
     low = F.col("node").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     words = nodes.select(F.shiftright(low, 6).alias("word"), F.expr("shiftleft(1L, cast(node & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     bitmap = np.zeros(1 << FILTER_BITS - 6, np.int64)
@@ -113,7 +110,14 @@ def similar(pairs: DataFrame, docs: DataFrame, width: int, least: tuple[int, int
 
     # the bitmap only spares the exchange most of the other sets; the join decides
     sets = docs.select(utf8(text_col).alias("text")).mapInArrow(run, "node long, grams array<int>")
-    sets = keep(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams")))
+    return keep(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams")))
+
+
+def similar(pairs: DataFrame, docs: DataFrame, width: int, least: tuple[int, int], text_col: str) -> DataFrame:
+    """The pairs (u, v) whose sets reach the similarity."""
+    pairs = materialize(pairs)
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    sets = grams_of(nodes, docs, width, text_col)
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("gu")), "u").join(sets.select(F.col("node").alias("v"), F.col("grams").alias("gv")), "v")
     shared, total = F.size(F.array_intersect("gu", "gv")), F.size("gu") + F.size("gv")
     return both.where((least[0] + least[1]) * shared >= least[0] * total).select("u", "v")
@@ -135,63 +139,82 @@ def partners(shared: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "with").alias("u"), F.greatest("node", "with").alias("v")).distinct()
 
 
-def across_pairs(radius: int, small: int = 32, side: int = 256):
-    """A function for mapInArrow: the pairs of different parts within the radius in each (k, t) group of rows."""
-
-    def near(lanes, part, left, right):
-        """Pairs out of two lists of rows, in blocks of ``side``."""
-        for i in range(0, len(left), side):
-            a = left[i : i + side]
-            for j in range(0, len(right), side):
-                b = right[j : j + side]
-                open_ = part[a][:, None] != part[b][None, :]
-                if open_.any():
-                    x, y = np.nonzero(open_ & (np.bitwise_count(lanes[a][:, None] ^ lanes[b][None, :]).sum(2, dtype=np.int64) <= radius))
-                    yield a[x], b[y]
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], chunk: int = 8192) -> np.ndarray:
+    """How many elements each set on the left shares with each on the right, by products of membership matrices."""
+    sets = [*left, *right]
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.cumsum(n > 1) - 1  # what only one set holds is shared by none
+    some = n[at] > 1
+    owner, at = owner[some], rank[at[some]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((len(left), len(right)), np.float64)
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, chunk):
+        i, j = np.searchsorted(at, [lo, lo + chunk])
+        member = np.zeros((len(sets), chunk), np.float32)
+        member[owner[i:j], at[i:j] - lo] = 1
+        out += member[: len(left)] @ member[len(left) :].T
+    return out
+
+
+def block_links(least: tuple[int, int], side: int = 256):
+    """A function for mapInArrow: spanning links of different parts in each (block, t) group of rows."""
+    num, den = least[0], least[0] + least[1]
 
     def run(batches):
-        for rows in sorted_groups(batches, ["k", "t"]):
-            k, t, node, part, right = (rows.column(n).to_numpy() for n in ("k", "t", "node", "part", "side"))
-            lanes = np.stack([rows.column(f"f{i}").to_numpy() for i in range(4)], 1).view(np.uint64)
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
-            group, starts = np.cumsum(new) - 1, np.append(np.flatnonzero(new), len(k))
-            sizes = np.diff(starts)
-            two = t // (1 << 31) != t % (1 << 31)  # rows of two different tiles
-            found = []
-            few = np.flatnonzero(sizes[group] <= small)
-            for d in range(1, int(sizes[sizes <= small].max(initial=1))):
-                a, b = few[:-d], few[d:]
-                fit = (group[a] == group[b]) & (part[a] != part[b]) & (~two[a] | (right[a] != right[b]))
-                a, b = a[fit], b[fit]
-                fit = np.bitwise_count(lanes[a] ^ lanes[b]).sum(1, dtype=np.int64) <= radius
-                found.append((a[fit], b[fit]))
-            for g in np.flatnonzero(sizes > small):
-                at = np.arange(starts[g], starts[g + 1])
-                found.extend(near(lanes, part, at[~right[at]], at[right[at]] if two[at[0]] else at))
-            u, v = (node[np.concatenate([*(f[i] for f in found), np.empty(0, np.int64)])] for i in (0, 1))
-            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
-            for i in range(0, len(pairs), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + (1 << 16), c]) for c in (0, 1)], ["u", "v"])
+        for rows in sorted_groups(batches, ["block", "t"]):
+            block, t, node, part, right = (rows.column(n).to_numpy() for n in ("block", "t", "node", "part", "side"))
+            grams = rows.column("grams").combine_chunks()
+            values, ends = grams.values.to_numpy(), grams.offsets.to_numpy()
+            size = np.diff(ends)
+            new = np.ones(len(block), bool)
+            new[1:] = (block[1:] != block[:-1]) | (t[1:] != t[:-1])
+            starts = np.append(np.flatnonzero(new), len(block))
+            us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for lo, hi in zip(starts, starts[1:]):
+                at = lo + np.argsort(size[lo:hi], kind="stable")  # sets of like size lie in one tile
+                two = t[lo] // (1 << 31) != t[lo] % (1 << 31)  # rows of two different tiles
+                a, b = (at[~right[at]], at[right[at]]) if two else (at, at)
+                for i in range(0, len(a), side):
+                    x = a[i : i + side]
+                    for j in range(0 if two else i, len(b), side):
+                        y = b[j : j + side]
+                        total = size[x][:, None] + size[y][None, :]
+                        open_ = (part[x][:, None] != part[y][None, :]) & (den * np.minimum(size[x][:, None], size[y][None, :]) >= num * total)
+                        if not open_.any():
+                            continue
+                        p, q = open_.any(1), open_.any(0)
+                        x, y = x[p], y[q]
+                        shared = shared_counts([values[ends[r] : ends[r + 1]] for r in x], [values[ends[r] : ends[r + 1]] for r in y])
+                        m, n = np.nonzero(open_[p][:, q] & (den * shared >= num * total[p][:, q]))
+                        u, v = min_labels(node[x[m]], node[y[n]])
+                        us.append(u)
+                        vs.append(v)
+            u, v = min_labels(np.concatenate(us), np.concatenate(vs))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return run
 
 
-def across(named: DataFrame, sets: DataFrame, radius: int, tile: int) -> DataFrame:
-    """All candidate pairs (u, v) of different parts that share a key and whose fingerprints lie within the radius.
+def across(named: DataFrame, docs: DataFrame, width: int, least: tuple[int, int], text_col: str, tile: int) -> DataFrame:
+    """Links (u, v) that span all pairs of different parts under a key which reach the similarity.
 
-    ``named``: (k, node, part). Keys all in one part are done and cost nothing. A key of more than 8 tiles of sets goes to
-    tasks as pairs of parts of that size.
+    ``named``: (k, node, part). Keys all in one part are done and cost nothing; sets that the others connect form blocks. A
+    block of more than ``tile`` sets, or of more than ``1024 * tile`` elements, goes to tasks as pairs of its tiles.
     """
-    held = named.groupBy("k").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    held = held.select("k", F.ceil(F.col("n") / (8 * tile)).cast("long").alias("subs"))
-    rows = named.join(held, "k").withColumn("own", F.pmod(F.xxhash64("node"), "subs"))
+    held = named.groupBy("k").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("node").alias("v")).where("lo < hi")
+    open_ = keep(named.join(held.select("k", "v"), "k").select("node", "part", "v"))
+    blocks = connected_components(open_.select(F.col("node").alias("u"), "v")).withColumnRenamed("component", "block")
+    sets = grams_of(open_.select("node").distinct(), docs, width, text_col)
+    rows = keep(open_.select("node", "part").distinct().join(blocks, "node").join(sets, "node"))
+    sums = rows.groupBy("block").agg(F.greatest(F.count("*"), F.sum(F.size("grams")) / 1024).alias("n"))
+    rows = rows.join(sums, "block").withColumn("subs", F.ceil(F.col("n") / tile).cast("long")).withColumn("own", F.pmod(F.xxhash64("node"), "subs"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)))
     tiles = dealt.select(
-        "k", (F.least("own", "other") * (1 << 31) + F.greatest("own", "other")).alias("t"), "node", "part", (F.col("own") > F.col("other")).alias("side")
+        "block", (F.least("own", "other") * (1 << 31) + F.greatest("own", "other")).alias("t"), "node", "part", (F.col("own") > F.col("other")).alias("side"), "grams"
     )
-    tiles = tiles.join(sets.select("node", *[f"f{i}" for i in range(4)]), "node").repartition(partitions_for(sets), "k", "t").sortWithinPartitions("k", "t")
-    return tiles.mapInArrow(across_pairs(radius), "u long, v long").distinct()
+    return tiles.repartition(partitions_for(named), "block", "t").sortWithinPartitions("block", "t").mapInArrow(block_links(least), "u long, v long").distinct()
 
 
 def within(pairs: DataFrame, sets: DataFrame, radius: int) -> DataFrame:
@@ -224,6 +247,6 @@ def classes(
     links = materialize(similar(first, docs, width, least, text_col))
     parts = keep(connected_components(links))
     named = keep(shared.join(parts, "node", "left").select("k", "node", F.coalesce("component", "node").alias("part")))
-    rest = across(named, sets, radius, tile).join(first, ["u", "v"], "left_anti")
-    final = keep(connected_components(links.unionByName(similar(rest, docs, width, least, text_col))))
+    rest = materialize(across(named, docs, width, least, text_col, tile))
+    final = keep(connected_components(links.unionByName(rest)))
     return rows.select("id", "node").join(final, "node", "left").select("id", "node", F.coalesce("component", "node").alias("component"))
