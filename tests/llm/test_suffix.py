@@ -57,10 +57,10 @@ def corpus(length):
 
 
 def test_removal_against_brute_force(spark):
-    for length, gram, shard in ((40, 16, 1024), (40, 24, 3), (400, 160, 1024)):
+    for length, gram, shard, spread in ((40, 16, 1024, 8), (40, 24, 3, 8), (40, 24, 3, 1), (400, 160, 2, 1), (400, 160, 1024, 8)):  # spread 1: digests of windows
         texts = corpus(length)
         docs = spark.createDataFrame([(i, t, "k", 1) for i, t in enumerate(texts)], "doc_id long, text string, th string, a int")
-        got = {r.doc_id: tuple(r)[1:] for r in S.per_document(docs, length, gram, shard).collect()}
+        got = {r.doc_id: tuple(r)[1:] for r in S.per_document(docs, length, gram, shard, spread).collect()}
         want = plain([(t or "").encode() for t in texts], length)
         assert [got[i] for i in range(len(texts))] == want
     assert S.per_document(docs.limit(0)).count() == 0

@@ -4,7 +4,8 @@ A string of ``LENGTH`` bytes that repeats has the same anchor at the same place
 ``GRAM`` bytes. So only stretches around anchors that occur more than once can hold repeats. Equal stretches fold into one;
 those that share an anchor but differ are dealt into shards, each of which gets a suffix array by Larsson-Sadakane
 refinement and common prefixes by Kasai's method, all in numpy. An anchor with too many different stretches is spread over
-several shards, whose suffix arrays are then merged pair by pair by binary search.
+several shards, whose suffix arrays are then merged pair by pair by binary search. Pairs grow with the square of the shards, so
+beyond ``SPREAD`` shards the windows of an anchor are counted by 128-bit digests instead, in work in proportion to their number.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from .common import keep, partitions_for, sorted_groups, utf8
 
 LENGTH, GRAM = 400, 160
 SHARD = 1024  #: different stretches of one anchor in a shard at most
+SPREAD = 8  #: shards of one anchor that are merged pair by pair at most
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -324,6 +326,31 @@ def shard_marks(cut: DataFrame, length: int, shard: int, target: int = 1 << 20)
     return rows.mapInArrow(run, "th binary, lo int, hi int")
 
 
+def window_marks(cut: DataFrame, length: int) -> DataFrame:
+    """(th, lo, hi): starts of windows that begin elsewhere as well, for anchors with too many different stretches for pairs of shards.
+
+    A start lies in one stretch only, and no window occurs twice in a stretch, so a digest counted twice is a repeat.
+    """
+    rows = keep(cut)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                once, th, lo, body = (part.column(c).to_pylist() for c in ("once", "th", "lo", "bytes"))
+                n = [len(b) - length + 1 for b in body]
+                found = b"".join(hashlib.blake2b(b[i : i + length], digest_size=16).digest() for b, m in zip(body, n) for i in range(m))
+                x = np.frombuffer(found, np.int64).reshape(-1, 2)
+                of = np.repeat(np.arange(len(n)), n)
+                begin = np.concatenate([np.arange(i, i + m, dtype=np.int32) for i, m in zip(lo, n)]) if n else np.empty(0, np.int32)
+                cols = [pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(np.array(once, bool)[of]), pa.array(th, pa.binary()).take(pa.array(of)), pa.array(begin)]
+                yield pa.RecordBatch.from_arrays(cols, ["x", "y", "once", "th", "lo"])
+
+    windows = rows.select("once", "th", "lo", "bytes").mapInArrow(run, "x long, y long, once boolean, th binary, lo int")
+    again = keep(windows.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y"))
+    return windows.where("once").join(again, ["x", "y"]).select("th", "lo", F.col("lo").alias("hi"))
+
+
 DIGEST = "th binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -355,7 +382,7 @@ def digests(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("th", "body", "marks").mapInArrow(run, DIGEST)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, spread: int = SPREAD) -> tuple[DataFrame, DataFrame]:
     """The distinct texts (th, body), and (th, lo, hi): runs of starts of windows that also begin elsewhere."""
     found = keep(occurrences(docs, length, gram))
     # the sums are kept as tables, so that a join with them can split the rows of a frequent anchor or stretch
@@ -364,19 +391,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     whole = keep(seen.groupBy("a", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("th", "lo", "hi")).alias("rep")))
     copied = seen.join(whole.where("n > 1").select("a", "ctx"), ["a", "ctx"]).select("th", "lo", "hi").distinct()
     mixed = whole.join(keep(whole.groupBy("a").agg(F.count("*").alias("k")).where("k > 1")), "a")
-    wanted = mixed.select("a", "ctx", "k", (F.col("n") == 1).alias("once"), "rep.th", "rep.lo", "rep.hi")
+    wanted = keep(mixed.select("a", "ctx", "k", (F.col("n") == 1).alias("once"), "rep.th", "rep.lo", "rep.hi"))
     texts = distinct_texts(docs)
-    return texts, copied.unionByName(shard_marks(cut_out(texts, wanted, length), length, shard))
+    spans = copied.unionByName(shard_marks(cut_out(texts, wanted.where(F.col("k") <= spread * shard), length), length, shard))
+    hot = wanted.where(F.col("k") > spread * shard)
+    return texts, spans if hot.isEmpty() else spans.unionByName(window_marks(cut_out(texts, hot, length), length))
 
 
-def per_document(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
+def per_document(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, spread: int = SPREAD) -> DataFrame:
     """One row for each row of ``docs``: bytes, removed bytes, removed runs, and the digest of what is left.
 
     Null texts are empty. Copies, repeated rows included, count as elsewhere for each other, so texts of ``length`` or
     more that occur twice go as a whole; equal texts have equal values. Texts shorter than ``length`` stay. An empty
     table gives an empty result; other columns are ignored.
     """
-    texts, spans = repeated_spans(docs, length, gram, shard)
+    texts, spans = repeated_spans(docs, length, gram, shard, spread)
     marks = spans.groupBy("th").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
     by_text = digests(texts.join(marks, "th", "left"), length)
     return docs.select("doc_id", text_id().alias("th")).join(by_text, "th").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
