@@ -217,3 +217,19 @@ def test_text_functions_read_every_script(spark):
     counts = {r.i: r for r in rows.select("i", T.counted(T.tokens(t)).alias("k"), T.grams(T.tokens(t), 2).alias("g")).collect()}
     assert {x.value: x.n for x in counts[1].k} == {"รีวิว": 2, "โทรศัพท์": 1} and counts[2].g == ["москва москва", "москва город"]
     assert counts[3].k is None and counts[3].g == []
+
+
+def test_nearest_texts_in_blocks_of_any_size(spark):
+    rows = [(d, f"t{t}", ((d * 7 + t * 3) % 11 + 1) / 10) for d in range(45) for t in range(30) if (d * t + d + t) % 4 == 0]
+    weights = spark.createDataFrame(rows, "dataset_id long, term string, w double")
+    of = {}
+    for d, t, w in rows:
+        of.setdefault(d, {})[t] = w
+    want = set()
+    for q in (d for d in of if d % 20 == 0):
+        sims = sorted((-round(sum(w * of[q][t] for t, w in x.items() if t in of[q]), 6), d) for d, x in of.items() if d != q and x.keys() & of[q].keys())
+        want |= {(q, d, -s) for s, d in sims[:5]}
+    for size in (2_000_000, 60):
+        got = {tuple(r) for r in textml.nearest_texts(weights, F.col("dataset_id") % 20 == 0, 5, size, size).collect()}
+        assert got == want
+    assert textml.nearest_texts(weights.limit(0), F.col("dataset_id") % 20 == 0, 5).count() == 0

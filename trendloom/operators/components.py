@@ -1,4 +1,4 @@
-"""Connected components of identity graphs."""
+"""Connected components of graphs and of rows that share identities."""
 
 from __future__ import annotations
 
@@ -7,29 +7,54 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+HUB_SALTS = 8
 
-def _checkpoint(df: DataFrame) -> DataFrame:
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, its lineage cut."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of ``edges`` (u, v of one type with an order), component being its smallest reachable node.
+
+    Large-star and small-star rounds over DataFrames until the edges form stars, so long chains take few rounds; each round is
+    checkpointed. Hubs are summed map-side, and their edges meet the sum under several salts, so that no task gets a whole hub.
+    """
+
+    def with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+        salted = least.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(HUB_SALTS)])))
+        return rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(HUB_SALTS)).cast("int")).join(salted, ["u", "salt"])
+
+    edges = checkpointed(edges.where("u <> v").distinct())
+    stamp = None
+    while True:
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if now == stamp or now[0] == 0:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+                edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            )
+        stamp = now
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = with_least(large, low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        edges = checkpointed(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+
+
 def identity_components(rows: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
     """(id, component): rows that share a value of any key are one component, named after its least id.
 
-    Each round every key value learns the least label of its rows and every row the least of its values; rounds go on
-    until no label falls. Values of a third of the rows are summed map-side, so no round needs a value's rows in one task.
+    Every row gets an edge to the least row of each of its values, which spans the value's rows; null values link nothing.
+    Values of a third of the rows are summed map-side, and the sums are stored, so that a join with them can be split.
     """
+    ids = rows.select(F.col(id_col).alias("id"))
     pairs = rows.select(F.col(id_col).alias("id"), F.explode(F.array(*[F.concat(F.lit(k + "="), F.col(k).cast("string")) for k in keys])).alias("value")).where("value is not null")
-    pairs = _checkpoint(pairs.distinct())
-    labels = _checkpoint(rows.select(F.col(id_col).alias("id"), F.col(id_col).alias("component")).distinct())
-    total = None
-    while True:
-        by_value = pairs.join(labels, "id").groupBy("value").agg(F.min("component").alias("low"))
-        by_row = pairs.join(by_value, "value").groupBy("id").agg(F.min("low").alias("low"))
-        labels = _checkpoint(labels.join(by_row, "id", "left").select("id", F.least("component", "low").alias("component")))
-        now = labels.agg(F.sum("component")).first()[0]
-        if now == total:
-            return labels
-        total = now
+    pairs = checkpointed(pairs.distinct())
+    first = checkpointed(pairs.groupBy("value").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1").select("value", "v"))
+    parts = connected_components(pairs.join(first, "value").select(F.col("id").alias("u"), "v"))
+    return ids.distinct().join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
