@@ -10,14 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendloom.operators.components import connected_components  # noqa: F401  shared with the operators of this package
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-HUB_SALTS = 8
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that all executors share.
 
@@ -101,31 +100,3 @@ def sorted_groups(batches, keys: list[str]):
             yield done
     if carry:
         yield pa.concat_tables(carry)
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of ``edges`` (u, v long), component being its smallest reachable node.
-
-    Large-star and small-star rounds over DataFrames until the edges form stars; each round is checkpointed. Hubs
-    are summed map-side, and their edges meet the sum under several salts, so that no task gets a whole hub.
-    """
-
-    def with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
-        salted = least.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(HUB_SALTS)])))
-        return rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(HUB_SALTS)).cast("int")).join(salted, ["u", "salt"])
-
-    edges = materialize(edges.where("u <> v").distinct())
-    stamp = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == stamp or now[0] == 0:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        stamp = now
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = with_least(large, low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct())
