@@ -1,4 +1,4 @@
-"""Text analytics and models (family M), and the last text functions (F19, F30, F31)."""
+"""Text analytics and models (family M), and trend ideas (F31)."""
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
@@ -242,19 +242,6 @@ def m19_semantic_boost(v: Views):
     return v.vectors.select("vec_id", F.round(boost, 6).alias("boosted"))
 
 
-@query(r"WITH s AS (SELECT dataset_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[a-z]+'), 1) AS i FROM transcripts) SELECT dataset_id, count(*) AS hits, min(i) - 1 AS first_word, max(i) - 1 AS last_word FROM s WHERE w IN ('license', 'password', 'token') GROUP BY 1")
-def f19_locate_terms(v: Views):
-    words = v.transcripts.select("dataset_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("i", "w"))
-    hits = words.where(c("w").isin("license", "password", "token"))
-    return hits.groupBy("dataset_id").agg(F.count("*").alias("hits"), F.min("i").cast("long").alias("first_word"), F.max("i").cast("long").alias("last_word"))
-
-
-@query(r"SELECT conv_id, segment_index, contains(lower(text), 'the') AND contains(lower(text), 'and') AS same_segment, regexp_matches(lower(text), 'the[^.]{0,180}and') OR regexp_matches(lower(text), 'and[^.]{0,180}the') AS same_sentence FROM segments")
-def f30_topic_context(v: Views):
-    t = F.lower("text")
-    return v.segments.select("conv_id", "segment_index", (t.contains("the") & t.contains("and")).alias("same_segment"), (t.rlike("the[^.]{0,180}and") | t.rlike("and[^.]{0,180}the")).alias("same_sentence"))
-
-
 @query("WITH p AS (SELECT p_type AS family, p_name AS aspect, count(*) AS n, count(DISTINCT p_brand) AS brands FROM part GROUP BY 1, 2) SELECT family, aspect, n, brands FROM p QUALIFY row_number() OVER (PARTITION BY family ORDER BY n DESC, aspect) <= 4")
 def f31_trend_ideas(v: Views):
     p = v.table("part").groupBy(c("p_type").alias("family"), c("p_name").alias("aspect")).agg(F.count("*").alias("n"), F.count_distinct("p_brand").alias("brands"))

@@ -208,16 +208,6 @@ def f26_product_entities(v: Views):
     return v.transcripts.select("dataset_id", F.size(e).cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct(e)), ",").alias("entities"))
 
 
-@query(r"""WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS ws FROM part)
-SELECT p_partkey AS dataset_id, topic_id, list_position(ws, topic_id) - 1 AS place, NOT list_contains(ws, 'hot') AS in_context FROM w JOIN topics ON list_contains(ws, topic_id)""")
-def f27_title_topics(v: Views):
-    rows = v.table("part").select(F.col("p_partkey").alias("dataset_id"), F.split("p_name", " ").alias("ws"))
-    found = rows.select("dataset_id", "ws", F.explode(F.array_distinct("ws")).alias("topic_id")).join(v.topics, "topic_id", "left_semi")
-    return found.select(
-        "dataset_id", "topic_id", (F.array_position("ws", F.col("topic_id")) - 1).cast("int").alias("place"), (~F.array_contains("ws", "hot")).alias("in_context")
-    )
-
-
 @query(r"""SELECT dataset_id, md5(substr(regexp_replace(regexp_replace(text, '(password|token)\s*=\s*\S+', '\1=***', 'g'), 'AKIA[A-Z0-9]+', '***', 'g'), 1, 500)) AS digest FROM transcripts""")
 def f28_log_redaction(v: Views):
     t = F.regexp_replace(F.regexp_replace("text", r"(password|token)\s*=\s*\S+", "$1=***"), "AKIA[A-Z0-9]+", "***")
