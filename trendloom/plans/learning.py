@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from trendloom.functions.splits import channel_split
 from trendloom.functions.text import let, words
 from trendloom.operators import models as L
+from trendloom.operators import similarity as Y
 from trendloom.operators import textml as X
-from trendloom.operators.components import identity_components
 from trendloom.plans.registry import query
 from trendloom.sources.views import Views
 
@@ -35,22 +35,6 @@ def m02_kmeans_texts(v: Views):
     return L.clusters(tf, [f"t{i}" for i in range(len(terms))], 4).groupBy("cluster").agg(F.count("*").alias("n"), F.min("dataset_id").alias("first_id"))
 
 
-@query()
-def m03_density_groups(v: Views):
-    """Documents are neighbours if they share a rare term; those with two or more neighbours form groups, others are noise (-1).
-
-    A term of three documents gives each of them two neighbours; those of a term of two are each other's only one by it.
-    """
-    words = v.terms.where("length(term) >= 14").select("dataset_id", "term").distinct()
-    rare = words.groupBy("term").agg(F.count("*").alias("df"), (F.min("dataset_id") + F.max("dataset_id")).alias("ends")).where("df >= 2")
-    links = words.join(rare, "term").select("dataset_id", "term", "df", (c("ends") - c("dataset_id")).alias("other"))
-    other = F.when(c("df") == 2, c("other"))
-    core = links.groupBy("dataset_id").agg(F.max("df").alias("df"), F.min(other).alias("low"), F.max(other).alias("high")).where("df > 2 or low <> high")
-    same = links.join(core.select("dataset_id"), "dataset_id").select("dataset_id", c("term").alias("t1"))
-    groups = identity_components(same, "dataset_id", ["t1"])
-    return v.transcripts.select("dataset_id").join(groups.withColumnRenamed("id", "dataset_id"), "dataset_id", "left").select("dataset_id", F.coalesce("component", F.lit(-1)).alias("cluster"))
-
-
 @query()
 def m04_performance_clusters(v: Views):
     rows = v.content.select("dataset_id", F.log1p("views").alias("x"), F.log1p("likes").alias("y"), "views", "likes")
@@ -63,6 +47,21 @@ TFIDF = """n AS (SELECT count(*) AS n FROM transcripts), df AS (SELECT term, cou
 nm AS (SELECT dataset_id, sqrt(sum(w * w)) AS norm FROM r GROUP BY 1), x AS (SELECT dataset_id, term, w / norm AS w FROM r JOIN nm USING (dataset_id)) """
 
 
+CLOSE, POINTS = 0.6, 3
+
+
+@query("WITH RECURSIVE " + TFIDF + f""", s AS MATERIALIZED (SELECT a.dataset_id AS a, b.dataset_id AS b, round(sum(a.w * b.w), 6) AS similarity FROM x a JOIN x b ON a.term = b.term WHERE a.dataset_id <> b.dataset_id GROUP BY 1, 2 HAVING round(sum(a.w * b.w), 6) >= {CLOSE}),
+core AS MATERIALIZED (SELECT a AS id FROM s GROUP BY 1 HAVING count(*) + 1 >= {POINTS}), e AS MATERIALIZED (SELECT a, b FROM s SEMI JOIN core c1 ON c1.id = a SEMI JOIN core c2 ON c2.id = b),
+reach AS (SELECT id AS root, id FROM core UNION SELECT root, b FROM reach JOIN e ON reach.id = e.a AND root < b), named AS (SELECT id, min(root) AS cluster FROM reach GROUP BY 1),
+border AS (SELECT a AS id, arg_min(cluster, (-similarity, b)) AS cluster FROM s JOIN named ON named.id = b ANTI JOIN core ON core.id = a GROUP BY 1)
+SELECT d.dataset_id, coalesce(named.cluster, border.cluster, -1) AS cluster, CASE WHEN named.id IS NOT NULL THEN 'core' WHEN border.id IS NOT NULL THEN 'border' ELSE 'noise' END AS role
+FROM (SELECT DISTINCT dataset_id FROM terms) d LEFT JOIN named ON named.id = d.dataset_id LEFT JOIN border ON border.id = d.dataset_id""")
+def m03_density_groups(v: Views):
+    """Density groups of texts by TF-IDF cosine: cores, borders and noise. Texts without terms have no vector and no row."""
+    x = X.tfidf(v.terms, v.transcripts.agg(F.count("*").alias("n"))).select(c("dataset_id").alias("id"), "term", "w")
+    return Y.density_groups(x, CLOSE, POINTS).select(c("id").alias("dataset_id"), "cluster", "role")
+
+
 @query("WITH " + TFIDF + """, s AS (SELECT a.dataset_id AS q_id, b.dataset_id, round(sum(a.w * b.w), 6) AS similarity FROM x a JOIN x b ON a.term = b.term WHERE a.dataset_id % 20 = 0 AND a.dataset_id <> b.dataset_id GROUP BY 1, 2)
 SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, dataset_id) <= 5""")
 def m05_tfidf_cosine(v: Views):
@@ -229,11 +228,21 @@ def m17_scenario_scoring(v: Views):
     return before.join(after, "dataset_id").withColumn("difference", c("after") - c("before"))
 
 
-@query("""WITH t AS (SELECT DISTINCT title FROM content), w AS (SELECT title, unnest(string_split(title, ' ')) AS k FROM t) SELECT DISTINCT a.title AS a, b.title AS b, levenshtein(a.title, b.title) AS distance FROM w a JOIN w b ON a.k = b.k AND a.title < b.title WHERE levenshtein(a.title, b.title) <= 3""")
+#: fixed values: words that tell variants of a product apart
+VARIANTS = ("pro", "max", "ultra", "plus", "lite", "mini", "air", "small", "large", "new", "old")
+
+
+@query(f"""WITH e AS MATERIALIZED (SELECT min(dataset_id) AS id, title || ' ' || duration AS label, min(dataset_id) % 4 = 0 AS known FROM content GROUP BY title, duration),
+g AS (SELECT id, substr(label, i, 3) AS term, count(*) AS n FROM (SELECT id, label, unnest(range(1, length(label) - 1)) AS i FROM e) GROUP BY 1, 2), nm AS (SELECT id, sqrt(sum(n::DOUBLE * n)) AS norm FROM g GROUP BY 1), x AS MATERIALIZED (SELECT id, term, round(n / norm, 12) AS w FROM g JOIN nm USING (id)),
+s AS (SELECT p.id AS a, q.id AS b, round(sum(p.w * q.w), 6) AS similarity FROM x p JOIN x q ON p.term = q.term AND p.id < q.id GROUP BY 1, 2 HAVING round(sum(p.w * q.w), 6) >= 0.82),
+j AS (SELECT a, b, l.label AS "left", r.label AS "right", similarity, regexp_extract_all(l.label, '[0-9]+') <> regexp_extract_all(r.label, '[0-9]+') OR list_sort(list_distinct(list_filter(string_split(l.label, ' '), lambda w: w IN {VARIANTS}))) <> list_sort(list_distinct(list_filter(string_split(r.label, ' '), lambda w: w IN {VARIANTS}))) AS conflict
+ FROM s JOIN e l ON l.id = a JOIN e r ON r.id = b WHERE NOT (l.known AND r.known) AND NOT EXISTS (SELECT 1 FROM (SELECT id FROM e WHERE id % 7 = 0) n WHERE n.id = a AND b = a + 7))
+SELECT a, b, "left", "right", similarity, CASE WHEN conflict THEN 'different_product_variant' WHEN 1 - levenshtein("left", "right") / greatest(length("left"), length("right"))::DOUBLE >= 0.65 THEN 'possible_alias' ELSE 'related_only' END AS relation FROM j""")
 def m18_alias_pairs(v: Views):
-    w = v.content.select("title").distinct().select("title", F.explode(F.split("title", " ")).alias("k"))
-    pairs = w.select(c("title").alias("a"), "k").join(w.select(c("title").alias("b"), "k"), "k").where("a < b").select("a", "b").distinct()
-    return pairs.withColumn("distance", F.levenshtein("a", "b").cast("long")).where("distance <= 3")
+    """Labels (title and size) whose vectors of three-character runs have a cosine of 0.82 or more; every fourth is a known topic."""
+    e = v.content.groupBy("title", "duration").agg(F.min("dataset_id").alias("id")).select("id", F.concat_ws(" ", "title", "duration").alias("label"), (c("id") % 4 == 0).alias("known"))
+    never = e.where("id % 7 = 0").select(c("id").alias("a"), (c("id") + 7).alias("b"))
+    return Y.alias_suggestions(e, Y.unit(Y.gram_counts(e, c("label"))), never, VARIANTS)
 
 
 @query("""SELECT vec_id, round(vec[1] + CASE WHEN label % 2 = 0 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN label > 6 THEN 0.1::DOUBLE ELSE 0 END - CASE WHEN label < 2 THEN 0.1::DOUBLE ELSE 0 END, 6) AS boosted FROM vectors""")
