@@ -157,13 +157,6 @@ def p16_live_scopes(v: Views):
     return last.join(F.broadcast(now), F.lit(True)).select("platform", "run_at", "n_items", live.alias("live"))
 
 
-@query("SELECT vec_id, CASE WHEN conf < 0.1 THEN 'unknown' WHEN margin < 0.02 THEN 'unknown' ELSE 'accepted' END AS decision, CASE WHEN conf < 0.1 THEN 'low_confidence' WHEN margin < 0.02 THEN 'low_margin' END AS reason FROM (SELECT vec_id, list_max(vec) AS conf, list_max(vec) - vec[1] AS margin FROM vectors)")
-def p17_acceptance(v: Views):
-    rows = v.vectors.select("vec_id", F.array_max("vec").alias("conf"), (F.array_max("vec") - c("vec")[0]).alias("margin"))
-    reason = first_reason((c("conf") < 0.1, "low_confidence"), (c("margin") < 0.02, "low_margin"))
-    return rows.select("vec_id", F.when(reason.isNull(), "accepted").otherwise("unknown").alias("decision"), reason.alias("reason"))
-
-
 @query(f"WITH r AS (SELECT *, {bucket_sql('channel', 100)} < 70 AS train FROM content), s AS (SELECT leaf, format, title, count(DISTINCT dataset_id) AS nv, count(DISTINCT channel) AS nc FROM r WHERE train GROUP BY ALL) SELECT dataset_id, coalesce(nv >= 2 AND nc >= 2, FALSE) AS supported FROM r LEFT JOIN s USING (leaf, format, title) WHERE NOT train")
 def p18_training_support(v: Views):
     rows = v.content.withColumn("split", channel_split(c("channel")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trendloom.functions.splits import channel_split
 from trendloom.functions.text import let, words
+from trendloom.operators import acceptance as A
 from trendloom.operators import models as L
 from trendloom.operators import similarity as Y
 from trendloom.operators import textml as X
@@ -167,16 +168,61 @@ def m12_predict_with_unknown(v: Views):
     return got.select("dataset_id", "confidence", F.when(c("confidence") >= 0.6, F.get("labels", c("prediction").cast("int"))).otherwise("unknown").alias("predicted"))
 
 
-@query("""WITH r AS (SELECT vec_id, label, list_max(vec) AS conf, list_max(vec) - list_avg(vec) AS margin FROM vectors), g AS (SELECT a / 20.0::DOUBLE AS t, b / 10.0::DOUBLE AS m FROM range(0, 20) x(a), range(0, 3) y(b)),
-e AS (SELECT t, m, count(*) FILTER (conf >= t AND margin >= m) AS accepted, count(*) FILTER (conf >= t AND margin >= m AND label >= 5) AS hits FROM r, g GROUP BY 1, 2)
-SELECT t, m, accepted, hits, row_number() OVER (ORDER BY CASE WHEN accepted >= 20 THEN 0 ELSE 1 END, hits / greatest(accepted, 1)::DOUBLE DESC, accepted DESC, t, m) AS place FROM e""")
+SCOPE = ("en", "de", "fr")  #: labels in scope; others are unknown
+SURE = 0.4
+SIMILARITIES, MARGINS = [i / 20 for i in range(20)], [0.0, 0.05, 0.1]  #: fixed values: cutoffs that are tried
+_IN_SCOPE = {leaf: m for leaf, m in MARKERS.items() if leaf in SCOPE}
+_COUNTS = ", ".join(f"len(list_filter(ws, lambda x: x IN {m})) AS {leaf}" for leaf, m in _IN_SCOPE.items())
+_SUM, _TOP = " + ".join(SCOPE), f"greatest({', '.join(SCOPE)})"
+_PICK = " ".join(f"WHEN {leaf} = {_TOP} THEN '{leaf}'" for leaf in SCOPE)
+SUPPORT = rf"""d AS MATERIALIZED (SELECT dataset_id, channel, split, text, CASE WHEN leaf IN {SCOPE} THEN leaf ELSE 'unknown' END AS gold, regexp_replace(lower(text), '\s+', ' ', 'g') AS low, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+') AS ws FROM transcripts),
+p AS MATERIALIZED (SELECT dataset_id, CASE {_PICK} END AS predicted, CASE WHEN {_SUM} = 0 THEN 0.0::DOUBLE ELSE {_TOP} / ({_SUM})::DOUBLE END AS confidence FROM (SELECT dataset_id, {_COUNTS} FROM d)),
+g AS MATERIALIZED (SELECT dataset_id, term, count(*) AS n FROM (SELECT dataset_id, unnest(list_transform(range(1, length(low) - k + 2), lambda i: substr(low, i, k))) AS term FROM d, (VALUES (3), (4), (5)) z(k) WHERE split = 'ASKED' OR split = 'train' AND gold <> 'unknown') GROUP BY 1, 2),
+tr AS MATERIALIZED (SELECT dataset_id, gold FROM d WHERE split = 'train' AND gold <> 'unknown'),
+voc AS MATERIALIZED (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM tr)) / (1.0::DOUBLE + count(*))) + 1.0::DOUBLE AS idf FROM g SEMI JOIN tr USING (dataset_id) GROUP BY term ORDER BY sum(n) DESC, term LIMIT 30000),
+rw AS MATERIALIZED (SELECT dataset_id, term, (1 + ln(n::DOUBLE)) * idf AS w FROM g JOIN voc USING (term)), xn AS (SELECT dataset_id, sqrt(sum(w * w)) AS norm FROM rw GROUP BY 1), x AS MATERIALIZED (SELECT dataset_id, term, w / norm AS w FROM rw JOIN xn USING (dataset_id)),
+xq AS MATERIALIZED (SELECT dataset_id, term, w FROM x SEMI JOIN (SELECT dataset_id FROM d WHERE split = 'ASKED') USING (dataset_id)), xt AS MATERIALIZED (SELECT dataset_id AS other_id, term, w FROM x SEMI JOIN tr USING (dataset_id)),
+dots AS MATERIALIZED (SELECT xq.dataset_id, other_id, sum(xq.w * xt.w) AS s FROM xq JOIN xt USING (term) GROUP BY 1, 2), sims AS (SELECT dots.dataset_id, tr.gold, s FROM dots JOIN tr ON tr.dataset_id = other_id),
+sc AS MATERIALIZED (SELECT d.dataset_id, any_value(d.text) AS text, any_value(d.gold) AS gold, any_value(p.predicted) AS predicted, any_value(p.confidence) AS confidence, round(coalesce(max(s) FILTER (sims.gold = p.predicted), 0), 6) AS support,
+ round(round(coalesce(max(s) FILTER (sims.gold = p.predicted), 0), 6) - round(coalesce(max(s) FILTER (sims.gold <> p.predicted), 0), 6), 6) AS margin FROM d JOIN p USING (dataset_id) LEFT JOIN sims USING (dataset_id) WHERE d.split = 'ASKED' GROUP BY 1)"""
+
+
+def predicted_scope(v: Views):
+    """Texts with gold, and the label of most marker words with its share of them: a predictor that needs no training."""
+    n = F.struct(*[F.size(F.filter("ws", marked(m))).alias(leaf) for leaf, m in _IN_SCOPE.items()])
+    most, total = F.greatest(*[c(f"n.{leaf}") for leaf in SCOPE]), c(f"n.{SCOPE[0]}") + c(f"n.{SCOPE[1]}") + c(f"n.{SCOPE[2]}")
+    label = F.coalesce(*[F.when(c(f"n.{leaf}") == most, leaf) for leaf in SCOPE])
+    rows = v.transcripts.select("dataset_id", "channel", "split", "text", F.when(c("leaf").isin(*SCOPE), c("leaf")).otherwise(A.UNKNOWN).alias("gold"), words(c("text")).alias("ws")).withColumn("n", n)
+    return rows.select("dataset_id", "channel", "split", "text", "gold", label.alias("predicted"), F.when(total == 0, 0.0).otherwise(most / total).alias("confidence"))
+
+
+def supported(rows, split: str):
+    """The rows of a split with support and margin by the training rows in scope."""
+    train = rows.where("split = 'train'").where(c("gold") != A.UNKNOWN)
+    return A.Index(train.select(c("gold").alias("label"), "text")).support(rows.where(c("split") == split))
+
+
+_TRY = "(SELECT a / 20.0::DOUBLE AS similarity, b::DOUBLE AS least_margin FROM range(0, 20) u(a), (VALUES (0.0), (0.05), (0.1)) w(b))"
+_F1 = " + ".join(f"coalesce(2 * tp_{x} / nullif(g_{x} + s_{x}, 0)::DOUBLE, 0)" for x in SCOPE)
+
+
+@query("WITH " + SUPPORT.replace("ASKED", "validation") + f""", fin AS (SELECT similarity, least_margin, gold, CASE WHEN confidence >= {SURE} AND support >= similarity AND margin >= least_margin THEN predicted ELSE 'unknown' END AS final FROM sc, {_TRY}),
+k AS (SELECT similarity, least_margin, {', '.join(f"count(*) FILTER (gold = '{x}' AND final = '{x}') AS tp_{x}, count(*) FILTER (gold = '{x}') AS g_{x}, count(*) FILTER (gold <> 'unknown' AND final = '{x}') AS s_{x}" for x in SCOPE)},
+ count(*) FILTER (gold = 'unknown' AND final = 'unknown') AS uk, count(*) FILTER (gold = 'unknown') AS ur FROM fin GROUP BY 1, 2),
+m AS (SELECT similarity, least_margin, round(({_F1}) / 3, 9) AS macro_f1, CASE WHEN {' AND '.join(f"g_{x} > 0" for x in SCOPE)} THEN round(least({', '.join(f"tp_{x} / nullif(g_{x}, 0)::DOUBLE" for x in SCOPE)}), 9) END AS least_recall, round(uk / nullif(ur, 0)::DOUBLE, 9) AS unknown_recall FROM k),
+q AS (SELECT *, coalesce(least_recall >= 0.8 AND unknown_recall >= 0.8 AND macro_f1 >= 0.8, false) AS passes FROM m)
+SELECT *, row_number() OVER (ORDER BY passes DESC, round((macro_f1 + unknown_recall) / 2, 9) DESC NULLS LAST, least_recall DESC NULLS LAST, unknown_recall DESC NULLS LAST, similarity, least_margin) AS place FROM q""")
 def m13_acceptance_grid(v: Views):
-    r = v.vectors.select("label", F.array_max("vec").alias("conf"), (F.array_max("vec") - F.aggregate("vec", F.lit(0.0), lambda s, x: s + x) / F.size("vec")).alias("margin"))
-    grid = F.array(*[F.struct(F.lit(a / 20.0).alias("t"), F.lit(b / 10.0).alias("m")) for a in range(20) for b in range(3)])
-    ok = (c("conf") >= c("t")) & (c("margin") >= c("m"))
-    e = r.select("label", "conf", "margin", F.inline(grid)).groupBy("t", "m").agg(F.count_if(ok).alias("accepted"), F.count_if(ok & (c("label") >= 5)).alias("hits"))
-    order = [F.when(c("accepted") >= 20, 0).otherwise(1), F.desc(c("hits") / F.greatest("accepted", F.lit(1))), F.desc("accepted"), "t", "m"]
-    return e.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))  # sixty rows
+    """Cutoffs of support similarity and contrast margin, fitted on validation rows against the training texts, the best first."""
+    return A.fit_cutoffs(supported(predicted_scope(v), "validation"), list(SCOPE), SURE, SIMILARITIES, MARGINS)
+
+
+@query("WITH " + SUPPORT.replace("ASKED", "test") + f""", r AS (SELECT *, CASE WHEN trim(text) = '' THEN 'no_transcript' WHEN confidence < {SURE} THEN 'low_confidence' WHEN support < 0.2 THEN 'outside_training_support' WHEN margin < 0.05 THEN 'ambiguous_training_support' ELSE 'accepted' END AS reason FROM sc)
+SELECT dataset_id, support, margin, CASE WHEN reason = 'accepted' THEN predicted ELSE 'unknown' END AS decision, reason FROM r""")
+def p17_acceptance(v: Views):
+    """Decisions on test rows under fixed cutoffs, each with its reason."""
+    scored = supported(predicted_scope(v), "test").withColumn("reason", A.reason(SURE, 0.2, 0.05, SCOPE))
+    return scored.select("dataset_id", "support", "margin", F.when(c("reason") == "accepted", c("predicted")).otherwise(A.UNKNOWN).alias("decision"), "reason")
 
 
 def outcomes(v: Views):
