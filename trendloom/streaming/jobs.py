@@ -6,21 +6,14 @@ returns what it wrote, so that a job can be held against its batch twin.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the cluster names none."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return context._jsc.sc().getCheckpointDir().get()
+from trendloom.operators.components import shared_folder
+from trendloom.streaming.stateful import for_watchers
+from trendloom.streaming.tables import MergedTable, run_into
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,32 +21,37 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is available and read its output back. Append only: the sink is Parquet."""
-    spark, path = stream.sparkSession, f"{shared_folder(stream.sparkSession)}/{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def drain(stream: DataFrame, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Run a stream over what is available and read its output back; with the path of an earlier run it goes on from there. Append only."""
+    spark, path = stream.sparkSession, path or new_folder(stream.sparkSession)
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", path + "/out").option("checkpointLocation", path + "/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path + "/out")
 
 
-def merge_latest(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Keep the newest row of every key: each micro-batch is merged into a new version of the table."""
-    spark, path = stream.sparkSession, f"{shared_folder(stream.sparkSession)}/{uuid.uuid4().hex}"
-    last: list[str] = []
+def schema_of(rows: DataFrame) -> str:
+    return ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+
+
+def merge_latest(stream: DataFrame, keys: list[str], order: list[str], path: str | None = None) -> DataFrame:
+    """The newest row of every key, by ``order``; see trendloom.streaming.tables for restarts."""
     values = [c for c in stream.columns if c not in keys]
+    newest = lambda rows: rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("v")).select(*keys, "v.*")
+    return run_into(stream, MergedTable(stream.sparkSession, path or new_folder(stream.sparkSession), schema_of(stream), newest)).read()
 
-    def merge(batch: DataFrame, number: int) -> None:
-        if last:
-            batch = batch.unionByName(spark.read.parquet(last[-1]))
-        newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("v")).select(*keys, "v.*")
-        version = f"{path}/v{number}"  # a batch that is run again writes the same version
-        newest.write.mode("overwrite").parquet(version)
-        if version not in last:
-            last.append(version)
 
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", path + "/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(last[-1]) if last else spark.createDataFrame([], stream.schema)
+NOTICE = "session string, platform string, key long, detected_at timestamp"
+
+
+def notifications(found: DataFrame, sessions: DataFrame, follows: DataFrame, path: str | None = None) -> DataFrame:
+    """One notice for each session and trend key, when it was first detected: new keys (a stream) meet the watchers of their batch."""
+    first = lambda rows: rows.groupBy("session", "platform", "key").agg(F.min("detected_at").alias("detected_at"))
+    table = MergedTable(found.sparkSession, path or new_folder(found.sparkSession), NOTICE, first)
+    return run_into(found, table, lambda rows, batch: for_watchers(rows, sessions, follows)).read()
 
 
 def hour_archive(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -76,49 +74,48 @@ def sessions(events: DataFrame, gap: str = "90 minutes", delay: str = "10 minute
     return g.select(F.col("event_type").alias("platform"), F.col("session_window.start").alias("first_at"), "last_at", "n")
 
 
-def chained_growth(events: DataFrame) -> DataFrame:
-    """Per key the change of the counter since the last good reading; an error breaks the chain. State: that reading."""
-
-    def step(key, frames, state):
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        before = state.get[0] if state.exists else None
-        out = []
-        for event_id, kind, value in zip(rows["event_id"], rows["event_type"], rows["value"]):
-            if kind == "error":
-                before = None
-                out.append((key[0], event_id, "failed", None))
-            else:
-                now = int(value // 1)
-                out.append((key[0], event_id, "chain_start" if before is None else "measured", None if before is None else now - before))
-                before = now
-        if before is None:
-            state.remove() if state.exists else None
-        else:
-            state.update((before,))
-        frame = pd.DataFrame(out, columns=["entity", "obs_id", "state", "growth"])
-        frame["growth"] = frame["growth"].astype("Int64")
-        yield frame
-
-    return events.select("user_id", "ts", "event_id", "event_type", "value").groupBy("user_id").applyInPandasWithState(
-        step, "entity long, obs_id long, state string, growth long", "counter long", "append", GroupStateTimeout.NoTimeout
-    )
+ARCHIVE = "platform string, bucket_at timestamp, n long, first_at timestamp, first_sample long, last_at timestamp, last_sample long"
+AUDIT = "event_id long, platform string, ts timestamp, state string, widened string"
+
+
+def widest(rows: DataFrame) -> DataFrame:
+    """One row for each platform and hour: the earliest first and the latest last sample."""
+    first, last = F.struct("first_at", "first_sample"), F.struct("last_at", "last_sample")
+    g = rows.groupBy("platform", "bucket_at").agg(F.sum("n").alias("n"), F.min(first).alias("f"), F.max(last).alias("l"))
+    return g.select("platform", "bucket_at", "n", "f.first_at", "f.first_sample", "l.last_at", "l.last_sample")
+
 
+def late_audit(events: DataFrame, path: str | None = None, delay: str = "10 minutes", fresh: str = "24 hours", kept: str = "90 days") -> tuple[DataFrame, DataFrame]:
+    """(archive, audit) of a stream. The archive has the first and last sample of each platform and hour; late rows still widen it.
 
-def notifications(events: DataFrame, follows: DataFrame, delay: str = "60 days") -> DataFrame:
-    """One notification for each watcher and new (platform, key): stream-static join behind a dedupe."""
-    fresh = events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_type", "user_id"])
-    return fresh.join(follows, "user_id").select("watcher", F.col("event_type").alias("platform"), F.col("user_id").alias("key"))
+    A row is late if, when its batch begins, an event later than it by more than ``delay`` has been archived. Late rows are listed in the
+    audit with their age against the newest event (fresh, archived, expired) and what they widened; expired ones are not archived. Each
+    batch is merged once, also when it runs again after a failure, and the audit before the archive.
+    """
+    spark, path = events.sparkSession, path or new_folder(events.sparkSession)
+    archive = MergedTable(spark, path + "/archive", ARCHIVE, widest)
+    audit = MergedTable(spark, path + "/audit", AUDIT, lambda rows: rows.dropDuplicates(["event_id"]))
 
+    def change(rows: DataFrame, batch: int) -> DataFrame:
+        rows = rows.select("event_id", F.col("event_type").alias("platform"), "ts", F.date_trunc("hour", "ts").alias("bucket_at"))
+        before = archive.read()
+        seen = before.agg(F.max("last_at").alias("seen_at"))  # one row
+        now = rows.agg(F.max("ts").alias("batch_at"))  # one row
+        age = F.greatest("seen_at", "batch_at") - F.col("ts")
+        state = F.when(age <= F.expr(f"INTERVAL {fresh}"), "fresh").when(age <= F.expr(f"INTERVAL {kept}"), "archived").otherwise("expired")
+        rows = rows.join(F.broadcast(seen), F.lit(True)).join(F.broadcast(now), F.lit(True)).withColumn("state", state)
+        late = rows.where(F.col("ts") < F.col("seen_at") - F.expr(f"INTERVAL {delay}")).join(before.select("platform", "bucket_at", "first_at", "last_at"), ["platform", "bucket_at"], "left")
+        widened = F.when(F.col("state") == "expired", "none").when(F.col("first_at").isNull(), "new").when(F.col("ts") < F.col("first_at"), "first").when(F.col("ts") > F.col("last_at"), "last").otherwise("none")
+        audit.apply(late.select("event_id", "platform", "ts", "state", widened.alias("widened")), batch)
+        live = rows.where("state <> 'expired'")
+        at = F.struct("ts", "event_id")
+        return live.groupBy("platform", "bucket_at").agg(F.count("*").alias("n"), F.min("ts").alias("first_at"), F.min_by("event_id", at).alias("first_sample"), F.max("ts").alias("last_at"), F.max_by("event_id", at).alias("last_sample"))
 
-def late_audit(events: DataFrame, latest: DataFrame, fresh: str = "24 hours", kept: str = "14 days") -> DataFrame:
-    """Every event with its state against the newest known instant: fresh, archived or expired."""
-    age = F.col("now_ts") - F.col("ts")
-    rows = events.join(latest, F.lit(True))
-    state = F.when(age <= F.expr(f"INTERVAL {fresh}"), "fresh").when(age <= F.expr(f"INTERVAL {kept}"), "archived").otherwise("expired")
-    return rows.select("event_id", F.col("event_type").alias("platform"), state.alias("state"))
+    run_into(events, archive, change)
+    return archive.read(), audit.read()
 
 
-def sliding_health(events: DataFrame, size: str = "24 hours", step: str = "6 hours", delay: str = "10 minutes") -> DataFrame:
+def sliding_health(events: DataFrame, size: str = "24 hours", step: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     g = events.withWatermark("ts", delay).groupBy(F.window("ts", size, step), "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 5).alias("good"))
     return g.select(F.col("event_type").alias("platform"), F.col("window.start").alias("from_at"), "n", "good")
 
