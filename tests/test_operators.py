@@ -148,21 +148,6 @@ def test_upsert(spark):
     assert got == {(1, None): ("x", "updated"), (2, "k"): ("b", "kept"), (3, "n"): ("c", "created")}
 
 
-def test_files(spark, tmp_path):
-    (tmp_path / "c.jsonl").write_text('{"id": "a", "n": 1}\n{"id": "a", "n": 2}\n{"n": 3}\n{broken\n')
-    good, bad = sinks.read_candidates(spark, str(tmp_path / "c.jsonl"), "id string, n long")
-    assert good.count() == 1 and sorted(r.reason for r in bad.collect()) == ["duplicate_id", "malformed", "no_id"]
-    (tmp_path / "r.csv").write_text("﻿id,decision\n1,approve\n")
-    assert sinks.read_reviews(spark, str(tmp_path / "r.csv"), ["id", "decision"], ["notes"]).first().asDict() == {"id": "1", "decision": "approve", "notes": ""}
-    with pytest.raises(ValueError):
-        sinks.read_reviews(spark, str(tmp_path / "r.csv"), ["id", "reviewer"], [])
-    df = spark.createDataFrame([("=x", 1), ("y", 2)], "t string, n int")
-    sinks.write_csv(df, str(tmp_path / "out"))
-    assert sorted(r.t for r in spark.read.option("header", True).csv(str(tmp_path / "out")).collect()) == ["'=x", "y"]
-    sinks.write_jsonl(df, str(tmp_path / "lines"))
-    assert spark.read.json(str(tmp_path / "lines")).count() == 2
-
-
 def test_kmeans_keeps_rows(spark):
     df = spark.createDataFrame([(i, float(i // 5) * 100 + i) for i in range(10)], "id int, x double")
     got = models.clusters(df, ["x"], 2).collect()

@@ -1,15 +1,18 @@
 """Ingest, listing and plans (family S)."""
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trendloom.functions.reasons import all_reasons, first_reason
 from trendloom.functions.splits import bucket, channel_split
-from trendloom.functions.text import csv_safe
+from trendloom.operators import reviews
+from trendloom.operators.components import shared_folder
 from trendloom.operators.trend import latest_runs
 from trendloom.plans.eligibility import reasons_sql
 from trendloom.plans.registry import bucket_sql, query
-from trendloom.sources import sinks
+from trendloom.sources import artifacts, sinks
 from trendloom.sources.views import Views
 
 c = F.col
@@ -22,26 +25,49 @@ def s01_typed_ingest(v: Views):
     return rows.select("event_id", F.substring(F.trim("event_type"), 1, 5).alias("title"), F.coalesce(c("p.views").try_cast("long"), c("p.k").try_cast("long"), F.lit(0)).alias("views"), F.coalesce("p.category", F.lit("general")).alias("category"))
 
 
-@query("WITH r AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id // 2 END AS id, sha256(text) AS digest, CASE WHEN doc_id % 13 = 0 THEN 'bad' ELSE sha256(text) END AS claimed FROM documents) SELECT doc_id, CASE WHEN id IS NULL THEN 'no_id' WHEN digest <> claimed THEN 'hash_mismatch' WHEN row_number() OVER (PARTITION BY id ORDER BY doc_id) > 1 THEN 'duplicate_id' END AS rejected FROM r")
-def s02_candidate_scan(v: Views):
-    lines = v.table("documents").select(
-        F.to_json(F.struct("doc_id", F.when(c("doc_id") % 11 != 0, F.floor(c("doc_id") / 2)).alias("id"), "text", F.when(c("doc_id") % 13 == 0, "bad").otherwise(F.sha2("text", 256)).alias("claimed"))).alias("line")
-    )
-    r = lines.select(F.from_json("line", "doc_id long, id long, text string, claimed string").alias("r")).select("r.*")
-    again = F.row_number().over(Window.partitionBy("id").orderBy("doc_id")) > 1
-    return r.select("doc_id", first_reason((c("id").isNull(), "no_id"), (F.sha2("text", 256) != c("claimed"), "hash_mismatch"), (again, "duplicate_id")).alias("rejected"))
+def written(v: Views, write) -> str:
+    """A new path in the shared folder to which ``write`` has written."""
+    path = f"{shared_folder(v.spark)}/{uuid.uuid4().hex}"
+    write(path)
+    return path
 
 
-@query("SELECT doc_id, CASE quality WHEN 1 THEN 'approve' ELSE 'reject' END AS decision, '' AS notes FROM labels")
+@query("""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id // 2 END AS id, text, doc_id % 17 = 0 AS torn, doc_id % 13 = 0 AS forged FROM documents), n AS (SELECT *, NOT torn AND id IS NOT NULL AND NOT forged AS good FROM r)
+SELECT id, reason, count(*) AS n, min(m) AS first_text FROM (SELECT CASE WHEN torn THEN NULL ELSE id END AS id, CASE WHEN torn THEN 'malformed' WHEN id IS NULL THEN 'no_id' ELSE 'hash_mismatch' END AS reason, md5(CASE WHEN torn THEN '' ELSE text END) AS m FROM n WHERE NOT good
+UNION ALL SELECT id, unnest(CASE WHEN count(*) > 1 THEN ['accepted', 'duplicate_id'] ELSE ['accepted'] END), '' FROM n WHERE good GROUP BY id) GROUP BY 1, 2""")
+def s02_candidate_scan(v: Views):
+    """Candidate lines as files, some torn, without id, forged or of one id, and what a scan accepts of them; rejects are written beside."""
+    rows = v.table("documents").select("doc_id", F.when(c("doc_id") % 11 != 0, F.floor(c("doc_id") / 2)).alias("id"), "text")
+    claimed = F.when(c("doc_id") % 13 == 0, "forged").otherwise(artifacts.content_hash(rows.columns)).alias("candidate_sha256")
+    lines = rows.select("doc_id", F.to_json(F.struct("*", claimed), {"ignoreNullFields": "false"}).alias("line"))
+    torn = F.when(c("doc_id") % 17 == 0, F.expr("substring(line, 1, length(line) - 3)")).otherwise(c("line"))
+    path = written(v, lambda p: lines.select(torn.alias("value")).write.text(p))
+    scanned = artifacts.scan_candidates(v.spark, path, "doc_id long, id long, text string")
+    accepted = artifacts.split_rejects(scanned, path + "-rejects")
+    rejects = v.spark.read.schema("id long, text string, reason string").json(path + "-rejects")
+    shown = F.when(c("reason") == "duplicate_id", "").otherwise(F.md5(F.coalesce("text", F.lit(""))))
+    both = accepted.select("id", F.lit("accepted").alias("reason"), F.lit("").alias("m")).unionByName(rejects.select("id", "reason", shown.alias("m")))
+    return both.groupBy("id", "reason").agg(F.count("*").alias("n"), F.min("m").alias("first_text"))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE quality WHEN 1 THEN 'approve' ELSE 'reject' END AS decision, CASE WHEN doc_id % 5 = 0 THEN 'said "no", then' || chr(10) || 'yes' ELSE chr(39) || '=sum(1)' END AS review_notes, '' AS view_metric_version FROM labels""")
 def s03_review_rows(v: Views):
-    line = F.concat_ws(",", c("doc_id").cast("string"), F.when(c("quality") == 1, "approve").otherwise("reject"))
-    r = v.table("labels").select(F.from_csv(line, F.lit("doc_id BIGINT, decision STRING")).alias("r")).select("r.*")
-    return r.withColumn("notes", F.lit(""))
+    """A review sheet as CSV files with a byte order mark, quotes, commas and line breaks, read with a column that it lacks."""
+    notes = F.when(c("doc_id") % 5 == 0, 'said "no", then\nyes').otherwise("=sum(1)")
+    rows = v.table("labels").select(c("doc_id").cast("string").alias("doc_id"), F.when(c("quality") == 1, " Approve").otherwise("REJECT ").alias("decision"), notes.alias("review_notes"))
+    path = written(v, lambda p: artifacts.write_sheet(rows, p))
+    sheet = artifacts.read_sheet(v.spark, path, ["doc_id", "decision"], ("review_notes", "view_metric_version"))
+    return sheet.withColumn("decision", F.lower(F.trim("decision")))
 
 
-@query(r"SELECT dataset_id, CASE WHEN regexp_matches(text, '^\s*[-=+@]') THEN '''' || text ELSE text END AS cell FROM transcripts")
+@query(r"""SELECT dataset_id, CASE WHEN regexp_matches(text, '^\s*[-=+@]') THEN chr(39) || text ELSE text END AS cell, md5(text) AS text_md5, n_chars FROM transcripts""")
 def s04_spreadsheet_cells(v: Views):
-    return v.transcripts.select("dataset_id", csv_safe(c("text")).alias("cell"))
+    """Texts written as a sheet and as JSON lines and read back: safe cells from the one, the texts themselves from the other."""
+    rows = v.transcripts.select("dataset_id", "text", "n_chars")
+    sheet = written(v, lambda p: artifacts.write_sheet(rows.select("dataset_id", "text"), p))
+    lines = written(v, lambda p: sinks.write_jsonl(rows, p))
+    cells = artifacts.read_sheet(v.spark, sheet, ["dataset_id", "text"]).select(c("dataset_id").cast("long").alias("dataset_id"), c("text").alias("cell"))
+    return cells.join(v.spark.read.schema("dataset_id long, text string, n_chars long").json(lines), "dataset_id").select("dataset_id", "cell", F.md5("text").alias("text_md5"), "n_chars")
 
 
 @query("WITH o AS (SELECT dataset_id, metric_version, views FROM content WHERE dataset_id % 3 <> 0), n AS (SELECT dataset_id, metric_version, views + 1 AS views FROM content WHERE dataset_id % 2 = 0) SELECT coalesce(o.dataset_id, n.dataset_id) AS dataset_id, coalesce(o.metric_version, n.metric_version) AS metric_version, coalesce(n.views, o.views) AS views, CASE WHEN o.dataset_id IS NULL THEN 'created' WHEN n.dataset_id IS NULL THEN 'kept' ELSE 'updated' END AS state FROM o FULL JOIN n ON o.dataset_id = n.dataset_id AND o.metric_version = n.metric_version")
@@ -97,12 +123,36 @@ def s11_attach_metadata(v: Views):
     return rows.select("dataset_id", channel_split(c("channel")).alias("split"), F.coalesce(F.size("s") > 1, F.lit(False)).alias("split_conflict"), "first_at")
 
 
-@query("SELECT dataset_id, CASE WHEN quality IS NULL THEN 'pending' WHEN " + reasons_sql(("n_chars < 200", "short"), ("toxic = 1", "toxic")) + " <> '' THEN 'rejected:' || " + reasons_sql(("n_chars < 200", "short"), ("toxic = 1", "toxic")) + " WHEN quality = 1 THEN 'approved' ELSE 'rejected' END AS route FROM transcripts ANTI JOIN (SELECT dataset_id FROM content WHERE dataset_id % 4 = 0) USING (dataset_id)")
+LEAVES = ("en", "de", "fr", "es")
+
+
+@query(f"""WITH ca AS (SELECT doc_id, sha256(text) AS sha, CASE WHEN doc_id % 19 = 0 THEN NULL ELSE 'creativeCommon' END AS license, CASE WHEN doc_id % 23 = 0 THEN 'ocr' ELSE 'caption_api' END AS src, CASE WHEN doc_id % 61 = 0 THEN 'none' ELSE 'manual' END AS cap, CASE WHEN doc_id % 67 = 0 THEN 'xx' ELSE lang END AS lng FROM documents WHERE doc_id % 71 <> 0),
+ds AS (SELECT doc_id, sha256(text) AS sha, CASE WHEN doc_id % 3 = 0 THEN 'upload' ELSE 'reviewed' END AS source, doc_id % 10 = 0 AS deleted FROM documents WHERE doc_id % 2 = 0), tw AS (SELECT sha, min(CAST(doc_id AS VARCHAR)) AS low, max(CAST(doc_id AS VARCHAR)) AS high FROM ds GROUP BY 1),
+rv AS (SELECT l.doc_id, CASE WHEN l.doc_id % 29 = 0 THEN '' WHEN l.doc_id % 31 = 0 THEN 'maybe' WHEN quality = 1 OR l.doc_id % 3 > 0 THEN 'approve' ELSE 'reject' END AS decision, CASE WHEN l.doc_id % 37 = 0 THEN 'bad' ELSE sha256(text) END AS claimed, l.doc_id % 41 = 0 AS nameless, l.doc_id % 43 = 0 AS timeless, CASE WHEN l.doc_id % 47 = 0 THEN '' ELSE lang END AS leaf, toxic = 1 AS poor, unnest(range(0, CASE WHEN l.doc_id % 6 = 1 THEN 2 ELSE 1 END)) AS k FROM labels l JOIN documents USING (doc_id)),
+g AS (SELECT rv.*, ca.sha, ds.doc_id IS NOT NULL AS held, coalesce(deleted, false) AS deleted, source, low, high, CASE WHEN decision = '' THEN 'pending' WHEN decision = 'maybe' THEN 'decision_must_be_approve_or_reject' WHEN ca.doc_id IS NULL THEN 'unknown_id' WHEN claimed <> ca.sha THEN 'candidate_hash_mismatch' WHEN nameless THEN 'reviewer_is_required' WHEN timeless THEN 'reviewed_at_is_no_time'
+ WHEN decision = 'approve' AND leaf NOT IN {LEAVES} THEN 'reviewed_leaf_is_required' WHEN decision = 'approve' AND poor THEN 'transcript_quality_not_accepted' WHEN decision = 'approve' AND license IS NULL THEN 'license_is_missing' WHEN decision = 'approve' AND src = 'ocr' THEN 'transcript_source_not_accepted' WHEN decision = 'approve' AND cap = 'none' THEN 'caption_type_not_accepted'
+ WHEN decision = 'approve' AND lng NOT IN {LEAVES} THEN 'transcript_language_not_accepted' WHEN rv.doc_id % 7 = 0 THEN 'unchanged' END AS gate FROM rv LEFT JOIN ca USING (doc_id) LEFT JOIN ds ON ds.doc_id = rv.doc_id LEFT JOIN tw ON tw.sha = ca.sha),
+o AS (SELECT *, min(CASE WHEN gate IS NULL AND decision = 'approve' AND NOT deleted THEN CAST(doc_id AS VARCHAR) END) OVER (PARTITION BY sha) AS taker FROM g)
+SELECT CAST(doc_id AS VARCHAR) AS id, decision, CASE WHEN gate IS NOT NULL THEN gate WHEN k = 1 THEN 'twice_in_batch' WHEN deleted THEN 'dataset_deleted' WHEN decision = 'reject' THEN 'rejected' WHEN low <> CAST(doc_id AS VARCHAR) OR high <> CAST(doc_id AS VARCHAR) THEN 'transcript_in_another_dataset'
+ WHEN taker <> CAST(doc_id AS VARCHAR) THEN 'transcript_twice_in_batch' WHEN held AND source <> 'reviewed' THEN 'id_of_another_source' WHEN held THEN 'updated' ELSE 'created' END AS outcome FROM o""")
 def s12_review_import(v: Views):
-    done = v.content.where("dataset_id % 4 = 0").select("dataset_id")
-    bad = all_reasons((c("n_chars") < 200, "short"), (c("toxic") == 1, "toxic"))
-    route = F.when(c("quality").isNull(), "pending").when(bad != "", F.concat(F.lit("rejected:"), bad)).when(c("quality") == 1, "approved").otherwise("rejected")
-    return v.transcripts.join(done, "dataset_id", "left_anti").select("dataset_id", route.alias("route"))
+    """A sheet of decisions over the candidates, through all gates, against events and datasets that are there."""
+    d = v.table("documents")
+    own = F.sha2("text", 256)
+    candidates = d.where("doc_id % 71 <> 0").select(
+        c("doc_id").alias("id"), own.alias("candidate_sha256"), own.alias("transcript_sha256"), F.when(c("doc_id") % 19 != 0, "creativeCommon").alias("license"), F.when(c("doc_id") % 23 == 0, "ocr").otherwise("caption_api").alias("transcript_source"),
+        F.when(c("doc_id") % 61 == 0, "none").otherwise("manual").alias("caption_type"), F.when(c("doc_id") % 67 == 0, "xx").otherwise(c("lang")).alias("language"), c("source").alias("channel"),
+    )
+    datasets = d.where("doc_id % 2 = 0").select(c("doc_id").alias("id"), own.alias("transcript_sha256"), F.when(c("doc_id") % 3 == 0, "upload").otherwise("reviewed").alias("dataset_source"), (c("doc_id") % 10 == 0).alias("deleted"))
+    decision = F.when(c("doc_id") % 29 == 0, " ").when(c("doc_id") % 31 == 0, "maybe").when((c("quality") == 1) | (c("doc_id") % 3 > 0), "Approve ").otherwise("reject")
+    times = F.when(c("doc_id") % 43 == 0, F.array(F.lit("yesterday"))).otherwise(F.array(F.lit("2024-02-03 04:05:06")))
+    again = F.when(c("doc_id") % 6 == 1, F.concat(times, F.array(F.lit("2024-02-03 04:05:07")))).otherwise(times)
+    sheet = v.table("labels").join(d, "doc_id").select(
+        c("doc_id").cast("string").alias("id"), F.when(c("doc_id") % 37 == 0, "bad").otherwise(own).alias("candidate_sha256"), decision.alias("decision"), F.when(c("doc_id") % 41 == 0, " ").otherwise("ann").alias("reviewer"),
+        F.explode(again).alias("at"), c("doc_id"), F.when(c("doc_id") % 47 != 0, c("lang")).alias("reviewed_leaf"), F.when(c("toxic") == 1, "poor").otherwise("Good").alias("transcript_quality"),
+    ).withColumn("reviewed_at", F.when(c("doc_id") % 43 == 0, "yesterday").otherwise(c("at")))
+    events = d.where("doc_id % 7 = 0").select(F.lit("run-1").alias("run_key"), c("doc_id").alias("id"), F.lit("sheet-1").alias("artifact_sha256"), F.explode(F.array(F.lit("approve"), F.lit("reject"))).alias("decision"))
+    return reviews.decide(sheet, candidates, events, datasets, "run-1", "sheet-1", LEAVES, LEAVES).select("id", "decision", "outcome")
 
 
 @query("WITH n AS (SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id + 1 ELSE doc_id - doc_id % 2 END AS target, doc_id, text AS new_text FROM documents), m AS (SELECT target, count(*) AS k, min(doc_id) AS doc_id, min(new_text) AS new_text FROM n GROUP BY 1) SELECT target, CASE WHEN t.dataset_id IS NULL THEN 'blocked:no_row' WHEN k > 1 THEN 'blocked:duplicate_in_batch' WHEN t.text = new_text THEN 'unchanged' ELSE 'replace' END AS plan FROM m LEFT JOIN transcripts t ON t.dataset_id = m.target")

@@ -1,50 +1,15 @@
-"""Sinks and scans of artifacts: JSON lines, CSV that is safe in spreadsheets, Parquet."""
+"""Sinks: JSON lines and upserts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from trendloom.functions.text import csv_safe
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; text that a spreadsheet would run as a formula gets a leading quote."""
-    safe = [csv_safe(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema]
-    df.select(*safe).write.mode("errorifexists").option("header", True).csv(path)
-
-
-def read_candidates(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Accepted rows of JSON lines, and rejected ones with a reason: malformed, no id, or an id seen before."""
-    raw = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").schema(schema + ", _corrupt string").json(path)
-    return screen(raw)
-
-
-def screen(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    from pyspark.sql import Window
-
-    again = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64(*[c for c in raw.columns if c != "_corrupt"])))
-    marked = raw.withColumn(
-        "reason",
-        F.when(F.col("_corrupt").isNotNull(), "malformed").when(F.col("id").isNull() | (F.trim(F.col("id").cast("string")) == ""), "no_id").when(again > 1, "duplicate_id"),
-    )
-    return marked.where("reason is null").drop("reason", "_corrupt"), marked.where("reason is not null")
-
-
-def read_reviews(spark: SparkSession, path: str, required: list[str], optional: list[str]) -> DataFrame:
-    """Review rows of a CSV with a header; a missing required column is an error, an optional one is empty."""
-    df = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-    df = df.toDF(*[c.removeprefix("﻿").strip() for c in df.columns])
-    if missing := [c for c in required if c not in df.columns]:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
-    return df.select(*required, *[F.col(c) if c in df.columns else F.lit("").alias(c) for c in optional])
-
-
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """``old`` with the rows of ``new``: the last of ``new`` wins by ``order``, nulls keep what was there, keys are null-safe.
 
