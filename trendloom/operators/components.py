@@ -69,3 +69,23 @@ def identity_components(rows: DataFrame, id_col: str, keys: list[str]) -> DataFr
     first = checkpointed(pairs.groupBy("value").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1").select("value", "v"))
     parts = connected_components(pairs.join(first, "value").select(F.col("id").alias("u"), "v"))
     return ids.distinct().join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def identity_issues(rows: DataFrame, id_col: str, keys: list[str], sample_keys: list[str], role: str) -> DataFrame:
+    """(id, component, reasons): what keeps a record out because of whom it shares an identity with.
+
+    Records that share a value of any of ``keys`` are one component. If one has records of several roles, all are listed as crossing. Of
+    records that share a value of a sample key, those but the least id are duplicates, or all cross if their roles differ. Null roles, null and
+    empty values count for nothing. Values and components are summed map-side and joined back, so a frequent one is no task of its own.
+    """
+    clean = rows.select(F.col(id_col).alias("id"), F.col(role).alias("role"), *[F.nullif(F.col(k).cast("string"), F.lit("")).alias(k) for k in dict.fromkeys([*keys, *sample_keys])])
+    clean = checkpointed(clean)
+    parts = checkpointed(identity_components(clean, "id", keys))
+    spread = clean.join(parts, "id").groupBy("component").agg((F.min("role") < F.max("role")).alias("crosses"))
+    crossing = parts.join(spread.where("crosses"), "component").select("id", F.lit("identity_crosses_outcome_partitions").alias("reason"))
+    values = clean.select("id", "role", F.explode(F.array(*[F.concat(F.lit(k + ":"), F.col(k)) for k in sample_keys])).alias("value")).where("value is not null")
+    groups = checkpointed(values.groupBy("value").agg(F.count("*").alias("n"), F.min("id").alias("keep"), F.coalesce(F.min("role") < F.max("role"), F.lit(False)).alias("mixed")).where("n > 1"))
+    shared = values.join(groups, "value").where("mixed or id <> keep")
+    shared = shared.select("id", F.when(F.col("mixed"), "identity_crosses_outcome_partitions").otherwise("duplicate_video_or_transcript").alias("reason"))
+    reasons = crossing.unionByName(shared).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))  # two reasons
+    return parts.join(reasons, "id", "left").select("id", "component", F.coalesce("reasons", F.lit("")).alias("reasons"))

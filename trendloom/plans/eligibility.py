@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from trendloom.functions import metrics as M
 from trendloom.functions.reasons import all_reasons, first_reason
 from trendloom.functions.splits import bucket, channel_split
-from trendloom.operators.components import identity_components
+from trendloom.functions.text import words
+from trendloom.operators.components import identity_issues
 from trendloom.operators.guards import conflicts, without_leaks
+from trendloom.operators.overlap import normal_form, overlaps
 from trendloom.plans.registry import bucket_sql, query
 from trendloom.sources.views import Views
 
@@ -244,16 +246,21 @@ def j05_leakage_anti_join(v: Views):
     return without_leaks(rows.where("split = 'train'"), rows.where("split <> 'train'"), ["channel", "grp", "digest"]).select("dataset_id", "channel", "leaf")
 
 
-@query("""WITH g AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, length(text) - 10), lambda i: substr(text, i, 12)))) AS gram FROM benchmark WHERE length(text) >= 200),
-n AS (SELECT item_id, count(*) AS n FROM g GROUP BY 1), d AS (SELECT dataset_id, unnest(list_distinct(list_transform(range(1, length(text) - 10), lambda i: substr(text, i, 12)))) AS gram FROM transcripts WHERE length(text) >= 200)
-SELECT dataset_id, item_id, count(*) / any_value(n)::DOUBLE AS containment FROM d JOIN g USING (gram) JOIN n USING (item_id) GROUP BY 1, 2 HAVING count(*) >= 0.8 * any_value(n)""")
+#: the normal form of Latin texts in SQL, which has no compatibility forms
+NORMAL = r"regexp_replace(replace(lower(nfc_normalize({})), 'ß', 'ss'), '\s+', '', 'g')"
+
+
+@query(f"""WITH a AS (SELECT item_id AS case_id, 'd' || item_id * 3 AS record_key, {NORMAL.format('text')} AS t FROM benchmark), b AS (SELECT dataset_id AS id, 'd' || dataset_id AS record_key, {NORMAL.format('text')} AS t FROM transcripts),
+ga AS (SELECT case_id, unnest(list_distinct(list_transform(range(1, length(t) - 10), lambda i: substr(t, i, 12)))) AS gram FROM a WHERE length(t) >= 200), gb AS (SELECT id, unnest(list_distinct(list_transform(range(1, length(t) - 10), lambda i: substr(t, i, 12)))) AS gram FROM b WHERE length(t) >= 200),
+na AS (SELECT case_id, count(*) AS na FROM ga GROUP BY 1), nb AS (SELECT id, count(*) AS nb FROM gb GROUP BY 1), k AS (SELECT case_id, id, count(*) AS k FROM ga JOIN gb USING (gram) GROUP BY 1, 2),
+r AS (SELECT case_id, id, 'near_transcript_requires_review' AS reason FROM k JOIN na USING (case_id) JOIN nb USING (id) JOIN a USING (case_id) JOIN b USING (id) WHERE k >= 0.8 * least(na, nb) AND a.t <> b.t
+UNION ALL SELECT case_id, id, 'exact_transcript' FROM a JOIN b ON a.t = b.t AND a.t <> '' UNION ALL SELECT case_id, id, 'record_key' FROM a JOIN b USING (record_key))
+SELECT case_id, id, array_to_string(list_sort(list(reason)), ',') AS reasons FROM r GROUP BY 1, 2""")
 def j10_overlap_audit(v: Views):
-    grams = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit("(?s)(?=(.{12}))"), F.lit(1)))  # noqa: E731  one pass over the text
-    items = v.table("benchmark").where("length(text) >= 200").select("item_id", F.explode(grams(c("text"))).alias("gram"))
-    sizes = items.groupBy("item_id").agg(F.count("*").alias("n"))
-    docs = v.transcripts.where("length(text) >= 200").select("dataset_id", F.explode(grams(c("text"))).alias("gram"))
-    shared = docs.join(items, "gram").groupBy("dataset_id", "item_id").agg(F.count("*").alias("k")).join(sizes, "item_id")
-    return shared.where(c("k") >= 0.8 * c("n")).select("dataset_id", "item_id", (c("k") / c("n")).alias("containment"))
+    """Texts that share an identity, the normal text or most 12-character runs with a benchmark item."""
+    cases = v.table("benchmark").select(c("item_id").alias("id"), F.concat(F.lit("d"), c("item_id") * 3).alias("record_key"), "text")
+    pool = v.transcripts.select(c("dataset_id").alias("id"), F.concat(F.lit("d"), c("dataset_id")).alias("record_key"), "text")
+    return overlaps(cases, pool, ["record_key"])
 
 
 @query("WITH p AS (SELECT dataset_id, 'by_id' AS role FROM content WHERE dataset_id % 7 = 0), q AS (SELECT title, 'by_title' AS role FROM content WHERE leaf = 'PROMO' GROUP BY title) SELECT c.dataset_id, array_to_string(list_sort(list_filter([p.role, q.role], lambda x: x IS NOT NULL)), ',') AS roles FROM content c LEFT JOIN p ON p.dataset_id = c.dataset_id LEFT JOIN q ON q.title = c.title")
@@ -265,14 +272,28 @@ def j18_prior_roles(v: Views):
     return rows.select("dataset_id", F.array_join(F.array_sort(F.array_union(F.coalesce("a", none), F.coalesce("b", none))), ",").alias("roles"))
 
 
-@query(r"""WITH RECURSIVE k AS (SELECT dataset_id AS id, unnest(['d' || sha256(text), 'i' || sha256(nullif(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]', '', 'g'), ''))]) AS ident FROM transcripts),
-e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM k a JOIN k b USING (ident)), cc AS (SELECT id, id AS low FROM k UNION SELECT e.a, cc.low FROM cc JOIN e ON e.b = cc.id WHERE cc.low < e.a)
-SELECT id, min(low) AS component FROM cc GROUP BY 1""")
-def j19_identity_components(v: Views):
-    from trendloom.functions.text import identity
+#: the six identities of a record, as the tables can give them
+KEYS = ("channel_key", "creator_group", "video_key", "transcript_sha256", "normalized_sha256", "near_duplicate_group")
+SAMPLE_KEYS = KEYS[2:]
 
-    rows = v.transcripts.select("dataset_id", F.sha2("text", 256).alias("digest"), identity(c("text")).alias("ident"))
-    return identity_components(rows, "dataset_id", ["digest", "ident"])
+
+@query(rf"""WITH RECURSIVE r AS MATERIALIZED (SELECT dataset_id AS id, CASE WHEN {bucket_sql("(dataset_id // 4)", 10)} < 7 THEN 'fit' ELSE 'independent_test' END AS role, 'c' || dataset_id // 4 AS channel_key, CASE WHEN dataset_id % 40 < 8 THEN 'g' || dataset_id // 40 END AS creator_group, CASE WHEN dataset_id % 14 < 2 THEN 'v' || dataset_id // 14 END AS video_key,
+ sha256(text) AS transcript_sha256, sha256(nullif({NORMAL.format('text')}, '')) AS normalized_sha256, sha256(nullif(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+'))), ' '), '')) AS near_duplicate_group FROM transcripts),
+k AS MATERIALIZED (SELECT id, role, unnest([{', '.join(f"'{x}:' || {x}" for x in KEYS)}]) AS ident FROM r), s AS MATERIALIZED (SELECT id, role, ident FROM k WHERE ident IS NOT NULL AND NOT starts_with(ident, 'channel_key') AND NOT starts_with(ident, 'creator_group')),
+lo AS (SELECT ident, min(id) AS low FROM k WHERE ident IS NOT NULL GROUP BY 1), e AS MATERIALIZED (SELECT DISTINCT id AS a, low AS b FROM k JOIN lo USING (ident) WHERE id <> low), b AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+cc AS (SELECT id, id AS low FROM r UNION SELECT b.a, cc.low FROM cc JOIN b ON b.b = cc.id WHERE cc.low < b.a), comp AS MATERIALIZED (SELECT id, min(low) AS component FROM cc GROUP BY 1),
+cr AS (SELECT component FROM comp JOIN r USING (id) GROUP BY 1 HAVING min(role) < max(role)), g AS (SELECT ident, min(id) AS keep, min(role) < max(role) AS mixed FROM s GROUP BY 1 HAVING count(*) > 1),
+x AS (SELECT id, 'identity_crosses_outcome_partitions' AS reason FROM comp SEMI JOIN cr USING (component) UNION SELECT id, CASE WHEN mixed THEN 'identity_crosses_outcome_partitions' ELSE 'duplicate_video_or_transcript' END FROM s JOIN g USING (ident) WHERE mixed OR id <> keep)
+SELECT comp.id, component, coalesce(array_to_string(list_sort(list(reason) FILTER (reason IS NOT NULL)), ','), '') AS reasons FROM comp LEFT JOIN x ON x.id = comp.id GROUP BY 1, 2""")
+def j19_identity_components(v: Views):
+    """Records that share one of six identities, and whether that keeps them out: across roles, or as duplicates."""
+    part = lambda p, n: F.concat(F.lit(p), F.expr(f"dataset_id div {n}"))
+    r = v.transcripts.select(
+        "dataset_id", F.when(bucket(F.expr("dataset_id div 4"), 10) < 7, "fit").otherwise("independent_test").alias("role"), part("c", 4).alias("channel_key"), F.when(c("dataset_id") % 40 < 8, part("g", 40)).alias("creator_group"),
+        F.when(c("dataset_id") % 14 < 2, part("v", 14)).alias("video_key"), F.sha2("text", 256).alias("transcript_sha256"), F.sha2(F.nullif(normal_form("text"), F.lit("")), 256).alias("normalized_sha256"),
+        F.sha2(F.nullif(F.array_join(F.array_sort(F.array_distinct(words(c("text")))), " "), F.lit("")), 256).alias("near_duplicate_group"),
+    )
+    return identity_issues(r, "dataset_id", list(KEYS), list(SAMPLE_KEYS), "role")
 
 
 @query("WITH k AS (SELECT split, unnest(['channel', 'digest', 'leaf']) AS key, unnest([channel, sha256(text), leaf]) AS value FROM transcripts) SELECT key, value, array_to_string(list_sort(list(DISTINCT split)), ',') AS splits FROM k GROUP BY 1, 2 HAVING count(DISTINCT split) > 1")

@@ -7,6 +7,7 @@ from trendloom.functions.splits import bucket
 from trendloom.operators import benchmark as B
 from trendloom.operators import sketches, trend
 from trendloom.operators.ranking import rank_within
+from trendloom.operators.sampling import balanced_sample, holdout_plan
 from trendloom.operators.trend import first_per
 from trendloom.plans.aggregates import MEDIAN, PRED, predicted, scored, SCORED
 from trendloom.plans.registry import bucket_sql, query
@@ -192,18 +193,31 @@ def k06_per_leaf_cap(v: Views):
     return v.transcripts.withColumn("k", F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("n_chars"), "dataset_id"))).where("k <= 25").select("dataset_id", "leaf")
 
 
-@query(f"WITH a AS (SELECT dataset_id, leaf, channel, {bucket_sql('dataset_id::VARCHAR', 1000003)} AS h FROM content), b AS (SELECT *, row_number() OVER (PARTITION BY leaf, channel ORDER BY h, dataset_id) AS r FROM a), d AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY r, h, dataset_id) AS k FROM b) SELECT dataset_id, leaf, channel, CASE WHEN k % 3 = 0 THEN 'test' ELSE 'development' END AS part FROM d WHERE k <= 12")
+@query("""WITH h AS (SELECT dataset_id, leaf, channel, sha256('sample-1|' || dataset_id) AS h FROM content), a AS (SELECT *, row_number() OVER (PARTITION BY leaf, channel ORDER BY h, dataset_id) AS t FROM h), b AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY t, h, dataset_id) AS p FROM a),
+s AS (SELECT * FROM b ORDER BY p, leaf, h, dataset_id LIMIT 200), n AS (SELECT leaf, count(*) AS n FROM s GROUP BY 1), g AS (SELECT leaf, n, sum(n) OVER () AS every, CASE WHEN sum(n) OVER () < 200 THEN sum(n) OVER () * 90 // 200 ELSE least(90, sum(n) OVER () - 1) END AS target FROM n),
+f AS (SELECT *, n * target // every AS floor_, row_number() OVER (ORDER BY n * target % every DESC, leaf) AS place, target - sum(n * target // every) OVER () AS left_ FROM g), q AS (SELECT leaf, floor_ + CASE WHEN place <= left_ THEN 1 ELSE 0 END AS quota FROM f)
+SELECT dataset_id, leaf, channel, CASE WHEN row_number() OVER (PARTITION BY leaf ORDER BY sha256('split|sample-1|' || dataset_id), dataset_id) <= quota THEN 'test' ELSE 'development' END AS split FROM s JOIN q USING (leaf)""")
 def k07_balanced_sample(v: Views):
-    rows = v.content.select("dataset_id", "leaf", "channel", bucket(c("dataset_id"), 1_000_003).alias("h"))
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("leaf", "channel").orderBy("h", "dataset_id")))
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("leaf").orderBy("r", "h", "dataset_id"))).where("k <= 12")
-    return rows.select("dataset_id", "leaf", "channel", F.when(c("k") % 3 == 0, "test").otherwise("development").alias("part"))
+    """200 rows, categories and their channels in turn, 90 of them for test by largest remainder."""
+    return balanced_sample(v.content.select("dataset_id", "leaf", "channel"), 200, 90, "sample-1", "dataset_id", "leaf", "channel")
 
 
-@query(f"WITH o AS (SELECT channel, count(*) AS n, count(*) FILTER (quality IS NULL) AS unknown FROM transcripts GROUP BY 1) SELECT channel, n, unknown, CASE WHEN unknown * 2 > n AND {bucket_sql('channel', 2)} = 0 THEN 'holdout' ELSE 'keep' END AS change FROM o")
+@query(f"""WITH r AS (SELECT dataset_id AS id, channel || '-' || n_chars % 50 AS channel, leaf <> 'es' AS known, CASE WHEN dataset_id % 97 = 0 THEN 'test' ELSE CAST({bucket_sql("(channel || '-' || n_chars % 50)", 100)} // 70 AS VARCHAR) END AS s FROM transcripts), rows_ AS (SELECT id, channel, known, CASE s WHEN '0' THEN 'train' WHEN '1' THEN 'validation' ELSE s END AS split FROM r),
+g AS (SELECT channel, count(*) FILTER (NOT known) AS unknown, count(*) FILTER (known AND split = 'train') AS known_train, array_to_string(list_sort(list(DISTINCT split)), ',') AS splits FROM rows_ GROUP BY 1 HAVING count(*) FILTER (NOT known) > 0),
+nd AS (SELECT greatest(20 - count(*) FILTER (split = 'validation'), 0) AS nv, greatest(30 - count(*) FILTER (split = 'test'), 0) AS nt FROM rows_ WHERE NOT known),
+f AS (SELECT channel, unknown, sum(unknown) OVER w - unknown AS before, row_number() OVER w AS place FROM g WHERE splits = 'train' WINDOW w AS (ORDER BY sha256('scope-holdout-v1:' || channel), channel) QUALIFY place <= 50),
+p AS (SELECT f.*, nv, nt, min(before) FILTER (before >= nv) OVER () AS from_ FROM f, nd), m AS (SELECT channel, place, CASE WHEN before < nv THEN 'validation' WHEN before - from_ < nt THEN 'test' END AS new_split FROM p)
+SELECT 'channel' AS kind, g.channel, CAST(NULL AS BIGINT) AS id, splits AS split, new_split, unknown, known_train, contains(splits, ',') AS conflict, place FROM g LEFT JOIN m USING (channel)
+UNION ALL SELECT 'change', channel, id, split, new_split, NULL, NULL, NULL, NULL FROM rows_ JOIN m USING (channel) WHERE new_split IS NOT NULL""")
 def k08_scope_holdout(v: Views):
-    g = v.transcripts.groupBy("channel").agg(F.count("*").alias("n"), F.count_if(c("quality").isNull()).alias("unknown"))
-    return g.withColumn("change", F.when((c("unknown") * 2 > c("n")) & (bucket(c("channel"), 2) == 0), "holdout").otherwise("keep"))
+    """Channels with unknown rows and where they would move, and every row that moves with them."""
+    channel = F.concat(c("channel"), F.lit("-"), c("n_chars") % 50)
+    split = F.when(c("dataset_id") % 97 == 0, "test").when(bucket(channel, 100) < 70, "train").otherwise("validation")
+    channels, changes = holdout_plan(v.transcripts.select(c("dataset_id").alias("id"), channel.alias("channel"), (c("leaf") != "es").alias("known"), split.alias("split")), 20, 30)
+    none = lambda t: F.lit(None).cast(t)
+    listed = channels.select(F.lit("channel").alias("kind"), "channel", none("long").alias("id"), c("splits").alias("split"), "new_split", "unknown", "known_train", "conflict", "place")
+    moved = changes.select(F.lit("change").alias("kind"), "channel", "id", "split", "new_split", none("long").alias("unknown"), none("long").alias("known_train"), none("boolean").alias("conflict"), none("long").alias("place"))
+    return listed.unionByName(moved)
 
 
 @query("WITH k AS (SELECT dataset_id, term, tf, row_number() OVER (PARTITION BY dataset_id ORDER BY tf DESC, length(term) DESC, term) AS place FROM terms) SELECT a.dataset_id, a.term, a.tf FROM k a WHERE place <= 10 AND NOT EXISTS (SELECT 1 FROM k b WHERE b.dataset_id = a.dataset_id AND b.place < a.place AND b.place <= 10 AND contains(b.term, a.term) AND a.tf <= 2)")

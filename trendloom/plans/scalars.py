@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from trendloom.functions import metrics as M
 from trendloom.functions import text as T
+from trendloom.operators.overlap import normal_form
 from trendloom.plans.registry import STOP_SQL, query
 from trendloom.sources.views import Views
 
@@ -92,9 +93,9 @@ def f12_normal_text(v: Views):
     return v.table("pages").select("page_id", F.length(t).cast("long").alias("n_chars"), F.md5(t).alias("digest"), (F.length(t) >= 80).alias("usable"))
 
 
-@query(r"SELECT dataset_id, sha256(text) AS raw_sha256, sha256(nullif(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]', '', 'g'), '')) AS identity_sha256 FROM transcripts")
+@query(r"SELECT dataset_id, sha256(text) AS raw_sha256, sha256(nullif(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]', '', 'g'), '')) AS identity_sha256, sha256(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\s+', '', 'g')) AS normal_sha256 FROM transcripts")
 def f13_identity_hashes(v: Views):
-    return v.transcripts.select("dataset_id", F.sha2("text", 256).alias("raw_sha256"), T.identity(F.col("text")).alias("identity_sha256"))
+    return v.transcripts.select("dataset_id", F.sha2("text", 256).alias("raw_sha256"), T.identity(F.col("text")).alias("identity_sha256"), F.sha2(normal_form("text"), 256).alias("normal_sha256"))
 
 
 @query(r"SELECT dataset_id, md5(t) AS digest, length(t) AS n_chars FROM (SELECT dataset_id, trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}-]+', ' ', 'g')) AS t FROM transcripts)")
