@@ -268,11 +268,6 @@ def a38_metric_rows(v: Views):
     return m.unpivot("split", ["n", "hits"], "metric", "value")
 
 
-@query("SELECT role, count(*) AS n, quantile_cont(length(text), 0.5) AS median_chars, count(DISTINCT conv_id) AS cases FROM segments GROUP BY 1")
-def a39_review_utility(v: Views):
-    return v.segments.groupBy("role").agg(F.count("*").alias("n"), F.percentile(F.length("text"), 0.5).alias("median_chars"), F.count_distinct("conv_id").alias("cases"))
-
-
 @query("WITH s AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY segment_index) AS prev, count(*) OVER (PARTITION BY conv_id, segment_index) AS copies FROM segments) SELECT conv_id, segment_index, " + reasons_sql(("text IS NULL OR length(text) = 0", "empty"), ("prev = role", "same_role_twice"), ("segment_index = 0 AND role <> 'user'", "wrong_first_role"), ("copies > 1", "duplicate")) + " AS rejected FROM s")
 def a40_response_validation(v: Views):
     prev = F.lag("role").over(Window.partitionBy("conv_id").orderBy("segment_index"))
@@ -286,12 +281,6 @@ def a41_allocation_balance(v: Views):
     return order.groupBy(F.array_join(F.transform("s", lambda x: x["role"]), ">").alias("roles")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT issue, count(*) AS n FROM (SELECT unnest(string_split(" + reasons_sql(("length(text) < 200", "short"), ("quality IS NULL", "unreviewed"), ("toxic = 1", "toxic"), ("leaf = 'es'", "leaf")) + ", ',')) AS issue FROM transcripts) WHERE issue <> '' GROUP BY 1")
-def a42_structural_audit(v: Views):
-    issues = all_reasons((F.length("text") < 200, "short"), (c("quality").isNull(), "unreviewed"), (c("toxic") == 1, "toxic"), (c("leaf") == "es", "leaf"))
-    return v.transcripts.select(F.explode(F.split(issues, ",")).alias("issue")).where("issue <> ''").groupBy("issue").agg(F.count("*").alias("n"))
-
-
 @query("WITH a AS (SELECT platform, run_at, count(*) AS n FROM items WHERE rank <= 5 GROUP BY 1, 2), b AS (SELECT platform, run_at, least(n_items, 6) AS m FROM runs) SELECT coalesce(a.platform, b.platform) AS platform, coalesce(a.run_at, b.run_at) AS run_at, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM a FULL JOIN b ON a.platform = b.platform AND a.run_at = b.run_at WHERE n IS DISTINCT FROM m")
 def a43_count_integrity(v: Views):
     a = v.items.where("rank <= 5").groupBy("platform", "run_at").agg(F.count("*").alias("n"))

@@ -282,10 +282,3 @@ def a52_cohort_overview(v: Views):
     cell = v.content.groupBy("leaf", "format").agg(F.count("*").alias("nv"), F.count_distinct("channel").alias("t"))
     rows = cell.join(B.weighted_median(v.content, ["leaf", "format"]), ["leaf", "format"])
     return rows.groupBy("leaf", F.when((c("nv") >= 20) & (c("t") >= 12), "ready").otherwise("inconclusive").alias("state")).agg(F.count("*").alias("cells"), F.count_if(c("threshold") > 1_700_000).alias("high"))
-
-
-@query("SELECT leaf, count(*) AS cases, count(*) FILTER (contains(lower(text), 'license') AND quality IS NULL) AS unreviewed_claims, count(*) FILTER (NOT contains(text, '.')) AS no_sentence FROM transcripts GROUP BY 1")
-def a63_evidence_correctness(v: Views):
-    return v.transcripts.groupBy("leaf").agg(
-        F.count("*").alias("cases"), F.count_if(F.lower("text").contains("license") & c("quality").isNull()).alias("unreviewed_claims"), F.count_if(~c("text").contains(".")).alias("no_sentence")
-    )

@@ -1,7 +1,9 @@
 """Text analytics and models (family M), and trend ideas (F31)."""
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions.splits import channel_split
@@ -10,6 +12,7 @@ from trendloom.operators import acceptance as A
 from trendloom.operators import models as L
 from trendloom.operators import similarity as Y
 from trendloom.operators import textml as X
+from trendloom.operators.components import checkpointed
 from trendloom.plans.registry import query
 from trendloom.sources.views import Views
 
@@ -146,13 +149,17 @@ def labelled(v: Views):
 
 @query()
 def m10_text_classifiers(v: Views):
-    rows = labelled(v).cache()
-    out = None
-    for kind in ("nb", "lr", "svm"):
-        model = L.text_pipeline(kind).fit(rows.where("split = 'train'"))
-        got = model.transform(rows.where("split <> 'train'")).groupBy("split").agg(F.count("*").alias("n"), F.avg((c("y") == c("prediction")).cast("double")).alias("accuracy")).withColumn("model", F.lit(kind))
-        out = got if out is None else out.unionByName(got)
-    return out
+    """Four classifiers on words and character runs, or on supplied vectors, each with its best parameter by grouped folds of the training rows."""
+    texts = checkpointed(L.hashed(labelled(v)))
+    given = v.vectors.select(c("vec_id").alias("dataset_id"), F.concat(F.lit("ch"), c("vec_id") % 40).alias("channel"), array_to_vector("vec").alias("vector"), c("label").cast("double").alias("y"))
+    given = checkpointed(given.withColumn("split", channel_split(c("channel"))))
+    out = []
+    for kind, rows in (("nb", texts), ("lr", texts), ("svm", texts), ("vectors", given)):
+        train = rows.where("split = 'train'")
+        value, _ = L.grid_search(train, kind)
+        scored = L.classifier(kind, value).fit(train).transform(rows.where("split <> 'train'"))
+        out.append(L.macro_recall(scored, ["split"]).select("split", "n", "accuracy", "macro_recall", F.lit(kind).alias("model"), F.lit(value).alias("value")))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query()
@@ -234,7 +241,7 @@ def outcomes(v: Views):
 
 
 def scored_outcomes(v: Views):
-    rows = outcomes(v).cache()
+    rows = checkpointed(outcomes(v))
     fit, tune = rows.where("split = 'train'"), rows.where("split = 'validation'")
     best = None
     for reg in (0.001, 0.1):
@@ -266,7 +273,7 @@ def m16_batch_scoring(v: Views):
 
 @query()
 def m17_scenario_scoring(v: Views):
-    rows = outcomes(v).cache()
+    rows = checkpointed(outcomes(v))
     model = L.outcome_model(0.01).fit(rows.where("split = 'train'"))
     flipped = rows.withColumn("format", F.when(c("format") == "short", "long").otherwise("short"))
     before = model.transform(rows).select("dataset_id", vector_to_array("probability")[1].alias("before"))
