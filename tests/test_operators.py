@@ -1,7 +1,6 @@
 """Hand-made boundary cases, invariants and plans of the library's operators."""
 
 import random
-from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +12,6 @@ from trendloom.functions.splits import channel_split
 from trendloom.operators import benchmark as B
 from trendloom.operators import guards, models, sketches, textml, trend
 from trendloom.operators.components import identity_components
-from trendloom.plans.learning import m03_density_groups
 from trendloom.sources import sinks
 
 c = F.col
@@ -173,21 +171,6 @@ def test_filters_reach_the_scan(spark):
     assert "EqualTo(event_type,view)" in plan and "props" not in plan
 
 
-def test_density_groups_against_brute_force(spark):
-    rnd = random.Random(4)
-    term = lambda i: f"term{i:010d}"
-    docs = {i: {term(rnd.randrange(60)) for _ in range(rnd.randrange(5))} for i in range(60)}
-    docs |= {100: {term(900), term(901)}, 101: {term(900), term(901)}}  # one neighbour by two terms: noise
-    docs |= {200 + i: {term(800 + 10 * i), term(805 + 5 * (i % 2) + 900), term(799), term(899 + i)} for i in range(3)}
-    near = {i: {j for j in docs if j != i and docs[i] & docs[j]} for i in docs}
-    core = {i for i in docs if len(near[i]) >= 2}
-    want = {i: i if i in core else -1 for i in docs}
-    for _ in docs:
-        want |= {i: min(want[j] for j in {i} | near[i] & core) for i in core}
-    terms = spark.createDataFrame([(i, t) for i, ts in docs.items() for t in ts], "dataset_id long, term string")
-    views = SimpleNamespace(terms=terms, transcripts=spark.createDataFrame([(i,) for i in docs], "dataset_id long"))
-    assert {r.dataset_id: r.cluster for r in m03_density_groups(views).collect()} == want
-
 
 def test_text_functions_read_every_script(spark):
     from trendloom.functions import text as T
