@@ -78,3 +78,23 @@ def test_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (None, "only here it is")], "doc_id long, text string")
     got = {(r.doc_id, r.component_id) for r in S.near_duplicates(docs).collect()}
     assert got == {(None, 4), (4, 4), (None, None)}
+
+
+def components(spark, monkeypatch, rows):
+    """near_duplicates of rows (id, fingerprint) in place of texts."""
+    prints = spark.createDataFrame(rows, "doc_id long, fp long")
+    monkeypatch.setattr(S, "fingerprints", lambda *_: prints)
+    return sorted(((r.doc_id, r.component_id) for r in S.near_duplicates(prints).collect()), key=repr)
+
+
+def test_a_row_without_id_links_others(spark, monkeypatch):
+    assert components(spark, monkeypatch, [(1, 0), (None, 0b111), (2, 0b111111)]) == [(1, 1), (2, 1), (None, 1)]
+    assert components(spark, monkeypatch, [(None, 0), (None, 0b111)]) == [(None, None), (None, None)]
+
+
+def test_two_texts_of_one_id_do_not_join_their_neighbours(spark, monkeypatch):
+    far = (1 << 40) - 1
+    rows = [(5, 0), (5, far), (7, 1), (9, far ^ 1)]
+    assert components(spark, monkeypatch, rows) == [(5, 5), (5, 5), (7, 5), (9, 5)]  # the same name, for both hold id 5
+    rows = [(5, 0), (5, far), (3, 1), (9, far ^ 1)]
+    assert components(spark, monkeypatch, rows) == [(3, 3), (5, 3), (5, 5), (9, 5)]

@@ -144,14 +144,17 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: in
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id), one row for each row of ``docs``.
 
-    Null and empty texts have the zero fingerprint and are linked like any other; repeated rows share a component;
-    a row without id gets the component of its fingerprint (null if no row with an id has that fingerprint). Ties
-    (exactly half of the hashes) leave a bit unset. An empty table gives an empty result; other columns are ignored.
+    The nodes are the fingerprints, so rows without id link others as well, and different texts of one id stay apart. A component is named
+    after the least id of all its rows, null if none has one; a row without id gets the component of its fingerprint. Null and
+    empty texts have the zero fingerprint and are linked like any other; repeated rows share a component. Ties (exactly half
+    of the hashes) leave a bit unset. An empty table gives an empty result; other columns are ignored.
     """
     prints = materialize(fingerprints(docs, width, id_col, text_col))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    parts = connected_components(links(nodes.where("node is not null"), radius))
-    by_print = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    parts = materialize(connected_components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius)).withColumnRenamed("node", "fp"))
+    least = materialize(parts.join(nodes, "fp").groupBy("component").agg(F.min("id").alias("least")))
+    named = parts.join(least, "component").select("fp", "least")
+    by_print = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "id").alias("component_id"))
     return prints.join(by_print, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
