@@ -39,59 +39,45 @@ class InOrder(StatefulProcessor):
         """What the rows give, and what is known of the key from now on; None drops it."""
         raise NotImplementedError
 
-    def nothing(self) -> pd.DataFrame:
-        raise NotImplementedError
-
     def _tuples(self, rows: pd.DataFrame) -> list[tuple]:
         """The held columns as rows of plain values; pandas makes whole numbers with nulls to floats."""
         plain = {"long": int, "timestamp": lambda x: x.to_pydatetime(), "string": str}
         columns = [[None if pd.isna(x) else plain[t](x) for x in rows[n]] for n, t in self.columns]
         return list(zip(*columns))
 
-    def _wake(self, at: int, why: str) -> None:
-        if not self.wakes.containsKey((at,)):
-            self.handle.registerTimer(at)
-        self.wakes.updateValue((at,), (why,))
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names of the API
         new = pd.concat(list(rows))
         self.held.appendList(self._tuples(new))
-        self._wake(int(_millis(new["ts"]).min()), "rows")
-        yield self.nothing()
+        self.handle.registerTimer(int(_millis(new["ts"]).min()))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now, at = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
-        why = self.wakes.getValue((at,))
-        self.wakes.removeKey((at,))
-        if why == ("forget",):
-            if not self.held.exists():
+        now = timerValues.getCurrentWatermarkInMs()
+        held = list(self.held.get())
+        known = self.known.get() if self.known.exists() else None
+        if not held:  # a timer of rows that went with an earlier one, or the last of a silent key
+            if known and now - _millis(pd.Series([known[0]])).iloc[0] > self.kept_days * 86_400_000:
                 self.known.clear()
-            yield self.nothing()
             return
-        rows = pd.DataFrame(list(self.held.get()), columns=[n for n, _ in self.columns])
+        rows = pd.DataFrame(held, columns=[n for n, _ in self.columns])
+        ready = _millis(rows["ts"]) <= now
+        later, rows = rows[~ready], rows[ready].sort_values(["ts", "event_id"], ignore_index=True)
         if not len(rows):
-            yield self.nothing()
             return
-        ready = _millis(rows["ts"]) <= now
-        later = rows[~ready]
         self.held.clear()
         if len(later):
             self.held.put(self._tuples(later))
-            self._wake(int(_millis(later["ts"]).min()), "rows")
-        ready = rows[ready].sort_values(["ts", "event_id"], ignore_index=True)
-        if not len(ready):
-            yield self.nothing()
-            return
-        known = self.known.get() if self.known.exists() else None
-        if known and ready["ts"].iloc[0] - known[0] > pd.Timedelta(days=self.kept_days):
+            self.handle.registerTimer(int(_millis(later["ts"]).min()))
+        if known and rows["ts"].iloc[0] - known[0] > pd.Timedelta(days=self.kept_days):
             known = None  # whether or not the timer has come first
-        out, known = self.advance(key, known, ready)
+        out, known = self.advance(key, known, rows)
         if known is None:
             self.known.clear()
         else:
             self.known.update(known)
-            self._wake(int(_millis(ready["ts"]).max()) + self.kept_days * 86_400_000, "forget")
-        yield out
+            self.handle.registerTimer(int(_millis(rows["ts"]).max()) + self.kept_days * 86_400_000 + 1)
+        if len(out):
+            yield out
 
     def close(self) -> None:
         pass
@@ -104,9 +90,6 @@ class Growth(InOrder):
     kept = "ts timestamp, counter long, version string"
     output = "entity long, obs_id long, state string, growth long, hours double, per_hour double"
 
-    def nothing(self) -> pd.DataFrame:
-        return pd.DataFrame({"entity": pd.Series(dtype="int64"), "obs_id": pd.Series(dtype="int64"), "state": pd.Series(dtype="object"), "growth": pd.Series(dtype="Int64"), "hours": pd.Series(dtype="float64"), "per_hour": pd.Series(dtype="float64")})
-
     def advance(self, key, known, rows):
         first = pd.DataFrame([known or (pd.NaT, None, None)], columns=["ts", "counter", "version"])
         every = pd.concat([first, rows[["ts", "counter", "version"]]], ignore_index=True).astype({"counter": "Int64"})
@@ -134,15 +117,12 @@ class NewKeys(InOrder):
     kept = "run_at timestamp"
     output = "platform string, key long, run_at timestamp, detected_at timestamp"
 
-    def nothing(self) -> pd.DataFrame:
-        return pd.DataFrame({"platform": pd.Series(dtype="object"), "key": pd.Series(dtype="int64"), "run_at": pd.Series(dtype="datetime64[us]"), "detected_at": pd.Series(dtype="datetime64[us]")})
-
     def advance(self, key, known, rows):
         runs = rows.drop_duplicates("run_at", ignore_index=True)  # the first row of a run is when it is detected
         last = pd.concat([pd.Series([known[0] if known else pd.NaT]), runs["run_at"]], ignore_index=True).shift(1).iloc[1:].reset_index(drop=True)
         fresh = runs[runs["before_at"].notna() & (pd.to_datetime(last) != pd.to_datetime(runs["before_at"]))]
         out = pd.DataFrame({"platform": key[0], "key": key[1], "run_at": fresh["run_at"], "detected_at": fresh["ts"]})
-        return (out if len(out) else self.nothing()), (runs["run_at"].iloc[-1],)
+        return out, (runs["run_at"].iloc[-1],)
 
 
 def with_state(rows: DataFrame, by: list[str], processor: InOrder) -> DataFrame:
