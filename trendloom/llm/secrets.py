@@ -18,7 +18,7 @@ from .common import keep, shared_folder
 from .spans import places, spans
 
 FOUND = "array<struct<start:int,end:int>>"
-LEDGER = f"blob string, rule string, version int, found {FOUND}"
+LEDGER = f"blob string, rule string, version int, digest string, found {FOUND}"
 
 
 @dataclass(frozen=True)
@@ -32,9 +32,14 @@ class Rule:
     version: int = 1
     base: bool = False
 
+    @property
+    def digest(self) -> str:
+        """Of all that decides what the rule finds: an edited rule is another one, whatever its version says."""
+        return hashlib.sha256("\x1f".join([self.pattern, str(self.group), str(self.least)]).encode()).hexdigest()[:16]
+
     @property
     def key(self) -> str:
-        return f"{self.name}:{self.version}"
+        return f"{self.name}:{self.version}:{self.digest}"
 
     def find(self, text: Column) -> Column:
         found = spans(text, self.pattern)
@@ -64,25 +69,25 @@ def blob_id(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, rules=RULES, ledger: DataFrame | None = None, text_col: str = "text") -> DataFrame:
-    """The ledger after this run: (blob, rule, version, found), one row per blob and rule version.
+    """The ledger after this run: (blob, rule, version, digest, found), one row per blob and rule version.
 
     ``ledger``: rows of earlier runs, which are kept and not scanned again. Null texts are the empty blob.
     """
     new = unseen(docs, rules, ledger, text_col)
-    return new if ledger is None else ledger.select("blob", "rule", "version", "found").unionByName(new)
+    return new if ledger is None else ledger.select("blob", "rule", "version", "digest", "found").unionByName(new)
 
 
 def unseen(docs: DataFrame, rules=RULES, ledger: DataFrame | None = None, text_col: str = "text") -> DataFrame:
-    """(blob, rule, version, found) of the pairs of blob and rule version that ``ledger`` lacks."""
+    """(blob, rule, version, digest, found) of the pairs of blob and rule version that ``ledger`` lacks."""
     blobs = docs.select(blob_id(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates(["blob"])
     if ledger is None:
         blobs = blobs.withColumn("seen", F.array().cast("array<string>"))
     else:
-        known = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "rule", "version")).alias("seen"))
+        known = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "rule", "version", "digest")).alias("seen"))
         blobs = blobs.join(known, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
     each = [
         F.struct(
-            F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"),
+            F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), F.lit(r.digest).alias("digest"),
             F.when(~F.array_contains("seen", r.key), r.find(F.col("text"))).alias("found"),
         )
         for r in rules
@@ -114,7 +119,7 @@ def findings(docs: DataFrame, rules=RULES, text_col: str = "text", ledger: str |
     path = ledger or f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
     unseen(docs, rules, stored(spark, path), text_col).write.mode("append").option("compression", "zstd").parquet(path)
     hits = stored(spark, path).where(F.size("found") > 0)
-    now = {r.name: (F.col("rule") == r.name) & (F.col("version") == r.version) for r in rules}
+    now = {r.name: (F.col("rule") == r.name) & (F.col("version") == r.version) & (F.col("digest") == r.digest) for r in rules}
     empty = F.array().cast(FOUND)
     found = hits.where(reduce(lambda a, b: a | b, now.values())).groupBy("blob").agg(
         *[F.coalesce(F.first(F.when(now[r.name], F.col("found")), ignorenulls=True), empty).alias(r.name) for r in rules]
