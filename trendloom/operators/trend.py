@@ -51,6 +51,33 @@ def changes(items: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+def snapshot_changes(items: DataFrame, runs: DataFrame) -> DataFrame:
+    """Items of every successful run against the run before: ranks, score difference, percent, rate a minute, kind, status.
+
+    Scores counted in another way (``metric_version``) are not compared: their difference, percent and rate are 0, as for
+    an item without a predecessor. Percent is 0 where the score before is not above 0. Hot are the first tenth of a run
+    by rank, one item at least.
+    """
+    run = previous_run(runs).join(runs.select("platform", "run_at", "n_items"), ["platform", "run_at"])
+    prev = items.select("platform", F.col("run_at").alias("prev_at"), "key", F.col("rank").alias("prev_rank"), F.col("score").alias("_score"), F.col("metric_version").alias("_version"))
+    rows = items.join(run, ["platform", "run_at"]).join(prev, ["platform", "prev_at", "key"], "left")
+    us = lambda x: F.unix_micros(F.col(x).cast("timestamp"))
+    seconds = F.greatest(F.lit(1.0), (us("run_at") - us("prev_at")) / 1_000_000.0)
+    comparable = F.coalesce(F.col("_version") == F.col("metric_version"), F.lit(False))
+    delta = F.when(comparable, F.col("score") - F.col("_score")).otherwise(0.0)
+    moved = F.coalesce(F.col("prev_rank") - F.col("rank"), F.lit(0))
+    kind = (
+        F.when(F.col("prev_at").isNull(), "baseline").when(F.col("prev_rank").isNull(), "new").when(moved > 0, "rank_up").when(moved < 0, "rank_down").otherwise("none")
+    )
+    return rows.select(
+        "platform", "run_at", "key", "rank", "prev_rank", moved.alias("rank_change"), delta.alias("delta"),
+        F.when(comparable & (F.col("_score") > 0), delta / F.col("_score") * 100.0).otherwise(0.0).alias("percent"),
+        F.when(F.col("prev_at").isNotNull(), delta / (seconds / 60.0)).otherwise(0.0).alias("per_minute"),
+        (F.col("prev_rank").isNotNull() & ~comparable).alias("metric_changed"), (F.col("prev_at").isNotNull() & F.col("prev_rank").isNull()).alias("is_new"), kind.alias("change_kind"),
+        F.when(F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("n_items") / 10)), "Hot").otherwise("Stable").alias("status"),
+    )
+
+
 def intervals(points: DataFrame, key: str = "entity") -> DataFrame:
     """Each reading against the one before: its kind, the counter's change and the change an hour."""
     w = Window.partitionBy(key).orderBy("us", "obs_id")

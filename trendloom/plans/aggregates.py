@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from trendloom.functions.reasons import all_reasons
 from trendloom.functions.splits import bucket, channel_split
 from trendloom.operators import benchmark as B
+from trendloom.operators import readiness as R
 from trendloom.operators.ranking import rank_within
 from trendloom.plans.eligibility import reasons_sql
 from trendloom.functions.text import counted, tokens
-from trendloom.plans.registry import bucket_sql, query
+from trendloom.plans.registry import STOP_SQL, bucket_sql, query
 from trendloom.sources.views import Views
 
 c = F.col
@@ -152,10 +153,18 @@ def a20_statistics_overview(v: Views):
     return v.observations.groupBy("entity").agg(F.max_by("views", at).alias("last_views"), F.count("*").alias("readings"), F.ceil(F.count("*") / 50).alias("calls"))
 
 
-@query("WITH ch AS (SELECT leaf, channel, count(*) AS n FROM transcripts GROUP BY 1, 2), big AS (SELECT leaf, max(n) AS top FROM ch GROUP BY 1) SELECT leaf, count(*) AS n, count(*) FILTER (split = 'train') AS n_train, count(DISTINCT channel) AS channels, any_value(top) / count(*)::DOUBLE AS largest_share, count(*) FILTER (quality IS NULL) AS unlabelled FROM transcripts JOIN big USING (leaf) GROUP BY 1")
+CHECKS = {"likes": "likes >= 100", "comments": "comments >= 3", "dates": "captured > published", "views": "views >= 1000"}
+
+
+@query(f"""WITH r AS (SELECT *, {bucket_sql('channel', 100)} AS b FROM content), ch AS (SELECT leaf, channel, count(*) AS n FROM r GROUP BY 1, 2), top AS (SELECT leaf, max(n) AS m FROM ch GROUP BY 1),
+co AS (SELECT leaf, metric_version, count(*) AS cohort FROM r GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY cohort DESC, metric_version DESC) = 1),
+up AS (SELECT leaf, count(*) FILTER (k <= ceil(n * 0.4::DOUBLE)) AS upper_pool, count(*) FILTER (k > ceil(n * 0.4::DOUBLE)) AS comparison_pool FROM (SELECT leaf, row_number() OVER (PARTITION BY leaf ORDER BY views) AS k, count(*) OVER (PARTITION BY leaf) AS n FROM r JOIN co USING (leaf, metric_version)) GROUP BY 1),
+p AS (SELECT leaf, count(*) AS n, count(DISTINCT channel) AS channels, any_value(m) / count(*)::DOUBLE AS largest_share, count(*) FILTER (b < 70) AS n_train, count(*) FILTER (b BETWEEN 70 AND 84) AS n_validation, count(*) FILTER (b > 84) AS n_test, count(*) FILTER (duration <= 300) AS durations,
+{", ".join(f"count(*) - count(*) FILTER ({ok}) AS missing_{name}" for name, ok in CHECKS.items())} FROM r JOIN top USING (leaf) GROUP BY 1)
+SELECT *, {reasons_sql(("n < 80", "more_rows"), ("channels < 10", "more_channels"), ("largest_share > 0.4", "one_channel_dominates"), ("n_validation < 5", "more_validation"), ("n_test < 5", "more_test"), ("upper_pool < 10", "more_upper"), ("comparison_pool < 10", "more_comparison"), ("durations < 10", "more_durations"), (" OR ".join(f"missing_{x} > 0" for x in CHECKS), "mend_fields"))} AS actions FROM p JOIN co USING (leaf) JOIN up USING (leaf)""")
 def a21_category_readiness(v: Views):
-    ch = v.transcripts.groupBy("leaf", "channel").agg(F.count("*").alias("n"), F.count_if(c("split") == "train").alias("t"), F.count_if(c("quality").isNull()).alias("u"))
-    return ch.groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("t").alias("n_train"), F.count("*").alias("channels"), (F.max("n") / F.sum("n")).alias("largest_share"), F.sum("u").alias("unlabelled"))
+    rows = v.content.withColumn("split", channel_split(c("channel")))
+    return R.category_plan(rows, {name: F.expr(ok) for name, ok in CHECKS.items()})
 
 
 @query("WITH plan(leaf, target) AS (VALUES ('en', 400), ('de', 100), ('fr', 100), ('es', 100), ('it', 50)) SELECT p.leaf, CAST(target AS BIGINT) AS target, count(dataset_id) AS accepted, greatest(target - count(dataset_id), 0) AS missing, least(100.0::DOUBLE, 100.0::DOUBLE * count(dataset_id) / target) AS percent FROM plan p LEFT JOIN (SELECT * FROM transcripts WHERE quality = 1) t ON t.leaf = p.leaf GROUP BY p.leaf, target")
@@ -190,9 +199,16 @@ def a27_quality_profile(v: Views):
     return v.table("events").groupBy(c("event_type").alias("platform")).agg(F.count("*").alias("n"), F.count("user_id").alias("has_key"), F.count_if(c("value") > 0).alias("valid_value"), F.count_if(k.isNotNull()).alias("valid_props"))
 
 
-@query("SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(DISTINCT event_type) AS scopes, arg_max(event_type, (ts, event_id)) AS latest_type FROM events GROUP BY 1")
+@query("""WITH e AS (SELECT *, props::JSON ->> '$.k' AS title FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM e)
+SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, len(list_distinct(list(event_type))) AS scopes, len(list_distinct(list(title))) AS title_variants, max(title) FILTER (k = 1) AS latest_title, max(event_type) FILTER (k = 1) AS latest_type FROM r GROUP BY 1""")
 def a28_entity_rollup(v: Views):
-    return v.table("events").groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count_distinct("event_type").alias("scopes"), F.max_by("event_type", F.struct("ts", "event_id")).alias("latest_type"))
+    """First and last time, scopes, variants of the title (the value of ``k``) and the latest title and type of each entity."""
+    rows = v.table("events").withColumn("title", F.get_json_object("props", "$.k"))
+    g = rows.groupBy("user_id").agg(
+        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count_distinct("event_type").alias("scopes"), F.count_distinct("title").alias("title_variants"),
+        F.max_by(F.struct("title", "event_type"), F.struct("ts", "event_id")).alias("l"),
+    )
+    return g.select("user_id", "first_seen", "last_seen", "scopes", "title_variants", c("l.title").alias("latest_title"), c("l.event_type").alias("latest_type"))
 
 
 #: gold is the language; the prediction is by the letters a text contains, so that there is something to measure
@@ -321,10 +337,27 @@ def a48_class_profiles(v: Views):
     return v.terms.select("leaf", "term", c("tf").cast("double").alias("weight")).unionByName(seeds).groupBy("leaf", "term").agg(F.sum("weight").alias("weight"))
 
 
-@query("SELECT topic, count(*) AS n, least(CAST(sum(views) AS BIGINT) / 1000000.0::DOUBLE, 1000.0::DOUBLE) AS score FROM (SELECT unnest(string_split(title, ' ')) AS topic, views FROM content) GROUP BY 1")
+TOKENS_SQL = "list_filter(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: length(w) > 1 AND w NOT IN (" + STOP_SQL + ") AND NOT regexp_full_match(w, '[0-9]+'))"
+
+
+@query(f"""WITH h AS (SELECT unnest({TOKENS_SQL.format("title || ' ' || leaf")}) AS topic FROM content WHERE captured >= (SELECT max(captured) FROM content) - INTERVAL 30 DAY),
+l AS (SELECT platform, max(run_at) AS run_at FROM runs WHERE status = 'ok' GROUP BY 1), w AS (SELECT unnest({TOKENS_SQL.format("p_name || ' ' || p_type")}) AS topic, CAST(round(100 * CASE WHEN score > 0 THEN score ELSE 1 END) AS BIGINT) AS cents FROM items JOIN l USING (platform, run_at) JOIN part ON p_partkey = key),
+hn AS (SELECT topic, count(*) AS n FROM h GROUP BY 1), ln AS (SELECT topic, CAST(sum(CASE WHEN cents > 1000000 THEN 1000000 ELSE cents END) AS BIGINT) / 100000.0::DOUBLE AS score FROM w GROUP BY 1)
+SELECT topic, coalesce(n, 0) AS historical, coalesce(score, 0.0::DOUBLE) AS live_score FROM hn FULL JOIN ln USING (topic)""")
 def a49_topic_scores(v: Views):
-    t = v.content.select(F.explode(F.split("title", " ")).alias("topic"), "views")
-    return t.groupBy("topic").agg(F.count("*").alias("n"), F.least(F.sum("views") / 1_000_000.0, F.lit(1000.0)).alias("score"))
+    """Mentions among the rows of the last 30 days, and min(score / 1000, 10) summed over the latest good run's items, by topic word.
+
+    A score that is missing or not above 0 counts as 1. Scores have two decimals, so their sum is exact in whole hundredths.
+    """
+    text = lambda a, b: F.explode(tokens(F.concat_ws(" ", a, b))).alias("topic")
+    last = v.content.agg(F.max("captured").alias("_last"))  # one row
+    recent = v.content.join(F.broadcast(last), F.expr("captured >= _last - interval 30 days"))
+    history = recent.select(text("title", "leaf")).groupBy("topic").agg(F.count("*").alias("n"))
+    runs = v.runs.where("status = 'ok'").groupBy("platform").agg(F.max("run_at").alias("run_at"))
+    cents = F.least(F.round(100 * F.when(c("score") > 0, c("score")).otherwise(1)).cast("long"), F.lit(1_000_000))
+    live = v.items.join(F.broadcast(runs), ["platform", "run_at"]).join(v.table("part"), c("key") == c("p_partkey")).select(text("p_name", "p_type"), cents.alias("cents"))
+    scores = live.groupBy("topic").agg((F.sum("cents") / F.lit(100_000.0)).alias("score"))
+    return history.join(scores, "topic", "full").select("topic", F.coalesce("n", F.lit(0)).cast("long").alias("historical"), F.coalesce("score", F.lit(0.0)).alias("live_score"))
 
 
 @query("SELECT event_type AS platform, count(*) AS n, count(DISTINCT user_id) AS users, array_to_string(list_sort(list(DISTINCT user_id % 7)), ',') AS groups FROM events GROUP BY 1")
@@ -358,10 +391,24 @@ def a56_topic_advice(v: Views):
     return g.where("clips >= 2 and channels >= 2").orderBy(F.desc("clips"), "topic").limit(6)
 
 
-@query("SELECT leaf, split_part(title, ' ', 1) AS topic, count(DISTINCT channel) AS channels, count(*) >= 5 AND count(DISTINCT channel) >= 3 AS ready FROM content GROUP BY 1, 2")
+CATALOG = ("small", "large", "hot", "red", "blue")  #: topics that comparisons look for in titles
+PAIRED = f"""t(topic) AS (VALUES {", ".join(f"('{x}')" for x in CATALOG)}), arm AS (SELECT leaf, topic, channel, format, metric_version, views, list_contains(string_split(title, ' '), topic) AS hit FROM content CROSS JOIN t),
+cell AS (SELECT leaf, topic, channel, format, metric_version, median(views) FILTER (hit) - median(views) FILTER (NOT hit) AS d, count(*) FILTER (hit) AS nd, count(*) FILTER (NOT hit) AS na FROM arm GROUP BY ALL),
+chn AS (SELECT leaf, topic, channel, median(d) AS d, count(d) AS cells, sum(nd) FILTER (d IS NOT NULL) AS pd, sum(na) FILTER (d IS NOT NULL) AS pa, sum(nd) AS nd, sum(na) AS na FROM cell GROUP BY ALL),
+tp AS (SELECT leaf, topic, CAST(sum(nd) AS BIGINT) AS detected, CAST(sum(na) AS BIGINT) AS not_detected, count(*) FILTER (nd > 0) AS channels, CAST(sum(cells) AS BIGINT) AS matched_strata, count(d) AS paired_channels, median(d) AS difference,
+coalesce(sum(pd), 0) AS pd, coalesce(sum(pa), 0) AS pa, abs(sum(sign(d))) AS lead FROM chn GROUP BY ALL),
+cmp AS (SELECT leaf, topic, detected, not_detected, channels, matched_strata, paired_channels, difference, CASE WHEN difference IS NULL THEN 'unknown' WHEN difference = 0 THEN 'equal' WHEN difference < 0 THEN 'lower' ELSE 'higher' END AS direction,
+CASE WHEN matched_strata = 0 THEN 'not_comparable' WHEN pd < 10 OR pa < 10 OR paired_channels < 5 THEN 'reference_only' WHEN paired_channels < 10 THEN 'comparison_descriptive'
+WHEN lead * lead > 1.96::DOUBLE * 1.96::DOUBLE * paired_channels THEN 'comparison_supported' ELSE 'comparison_uncertain' END AS status FROM tp)"""
+
+
+def compared(v: Views):
+    return R.paired_topics(v.content.withColumn("words", F.split("title", " ")), list(CATALOG), "words", ["format", "metric_version"])
+
+
+@query("WITH " + PAIRED + " SELECT * FROM cmp")
 def a57_topic_readiness(v: Views):
-    g = v.content.groupBy("leaf", F.split_part("title", F.lit(" "), F.lit(1)).alias("topic")).agg(F.count_distinct("channel").alias("channels"), F.count("*").alias("n"))
-    return g.select("leaf", "topic", "channels", ((c("n") >= 5) & (c("channels") >= 3)).alias("ready"))
+    return compared(v)
 
 
 @query("SELECT u.user_id, count(analysis_id) AS analyses, count(analysis_id) FILTER (status = 'F') AS finished, max(created_at) AS last_at FROM customers u LEFT JOIN analyses a ON a.user_id = u.user_id GROUP BY 1")
@@ -389,12 +436,16 @@ def a61_language_counts(v: Views):
     return counts.select("channel", *[F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("en", "de", "fr", "es")])
 
 
-@query(f"WITH h AS (SELECT sha256(text) AS digest FROM transcripts WHERE split = 'test') SELECT dataset_id, " + reasons_sql((f"{bucket_sql('dataset_id::VARCHAR', 4)} = 0", "reserved"), ("sha256(text) IN (SELECT digest FROM h)", "holdout_text"), ("quality IS NULL", "unreviewed")) + " AS issues FROM transcripts WHERE split = 'train'")
+#: a stored split that follows the channel but for every eleventh row, so that there are disagreements to find
+STORED = "CASE WHEN dataset_id % 11 = 5 THEN 'train' ELSE split END"
+
+
+@query(f"""WITH r AS (SELECT *, {STORED} AS stored, sha256(text) AS digest FROM transcripts), h AS (SELECT DISTINCT digest FROM r WHERE stored <> 'train'), k AS (SELECT digest FROM r GROUP BY 1 HAVING count(DISTINCT leaf) > 1),
+n AS (SELECT leaf, count(DISTINCT digest) AS n FROM r WHERE stored = 'train' AND quality IS NOT NULL GROUP BY 1)
+SELECT dataset_id, leaf, """ + reasons_sql((f"{bucket_sql('dataset_id::VARCHAR', 4)} = 0", "reserved"), ("stored <> split", "split_mismatch"), ("digest IN (SELECT digest FROM h)", "holdout_text"), ("digest IN (SELECT digest FROM k)", "leaf_conflict"),
+    ("coalesce(n, 0) < 50", "few_rows"), ("quality IS NULL", "unreviewed"), ("trim(coalesce(text, '')) = ''", "empty")) + " AS issues FROM r LEFT JOIN n USING (leaf) WHERE stored = 'train'")
 def a62_training_preparation(v: Views):
-    rows = v.transcripts.withColumn("digest", F.sha2("text", 256))
-    held = rows.where("split = 'test'").select("digest").distinct().withColumn("held", F.lit(True))
-    rows = rows.where("split = 'train'").join(held, "digest", "left")
-    return rows.select("dataset_id", all_reasons((bucket(c("dataset_id"), 4) == 0, "reserved"), (c("held"), "holdout_text"), (c("quality").isNull(), "unreviewed")).alias("issues"))
+    return R.training_issues(v.transcripts.withColumn("stored_split", F.expr(STORED)), 50)
 
 
 @query("SELECT leaf, format, greatest(count(*) FILTER (metric_version = 'v1'), 5) AS v1_minimum, greatest(count(*) FILTER (metric_version = 'v2'), 5) AS v2_minimum FROM content GROUP BY 1, 2")

@@ -8,8 +8,9 @@ from trendloom.operators import benchmark as B
 from trendloom.operators import sketches, trend
 from trendloom.operators.ranking import rank_within
 from trendloom.operators.sampling import balanced_sample, holdout_plan
+from trendloom.operators.readiness import explained
 from trendloom.operators.trend import first_per
-from trendloom.plans.aggregates import MEDIAN, PRED, predicted, scored, SCORED
+from trendloom.plans.aggregates import MEDIAN, PAIRED, PRED, compared, predicted, scored, SCORED
 from trendloom.plans.registry import bucket_sql, query
 from trendloom.sources.views import Views
 
@@ -116,14 +117,13 @@ def j23_evidence_assembly(v: Views):
     return e.join(own, "term", "left").select("leaf", "term", "support", "channels", c("own").isNull().alias("gap"))
 
 
-@query("WITH m AS (SELECT split_part(title, ' ', 1) AS topic, quantile_cont(views, 0.5) AS med FROM content GROUP BY 1), o AS (SELECT quantile_cont(views, 0.5) AS whole FROM content) SELECT dataset_id, topic, CASE WHEN med > whole THEN 'above' WHEN med < whole THEN 'below' ELSE 'equal' END AS explanation FROM (SELECT dataset_id, split_part(title, ' ', 1) AS topic FROM content) JOIN m USING (topic), o")
+@query("WITH " + PAIRED + """, a AS (SELECT dataset_id, leaf, unnest(string_split(title, ' ')) AS topic FROM content)
+SELECT a.*, CASE WHEN status = 'comparison_supported' THEN status WHEN status IN ('comparison_descriptive', 'comparison_uncertain') THEN 'comparison_uncertain' ELSE 'reference_examples' END AS level,
+CASE WHEN status LIKE 'comparison%' THEN direction END AS direction, detected AS clips, channels, paired_channels, difference FROM a LEFT JOIN cmp ON cmp.leaf = a.leaf AND cmp.topic = a.topic""")
 def j24_comparison_state(v: Views):
-    topic = F.split_part("title", F.lit(" "), F.lit(1))
-    rows = v.content.select("dataset_id", topic.alias("topic"), "views")
-    med = rows.groupBy("topic").agg(F.percentile("views", 0.5).alias("med"))
-    whole = rows.agg(F.percentile("views", 0.5).alias("whole"))  # one row
-    state = F.when(c("med") > c("whole"), "above").when(c("med") < c("whole"), "below").otherwise("equal")
-    return rows.join(med, "topic").join(F.broadcast(whole), F.lit(True)).select("dataset_id", "topic", state.alias("explanation"))
+    """The evidence behind every topic that a row suggests; comparisons are one row for each category and topic of the catalog."""
+    actions = v.content.select("dataset_id", "leaf", F.explode(F.split("title", " ")).alias("topic"))
+    return explained(actions, compared(v), ["leaf", "topic"])
 
 
 @query("WITH " + SCORED + " SELECT a.dataset_id, CASE WHEN a.leaf = b.leaf AND a.format = b.format THEN b.score - a.score END AS difference, a.leaf = b.leaf AND a.format = b.format AS comparable FROM s a JOIN s b ON b.dataset_id = a.dataset_id + 1")

@@ -4,10 +4,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trendloom.functions import metrics as M
+from trendloom.operators import history as H
 from trendloom.operators import trend as T
 from trendloom.operators.ranking import rank_within
 from trendloom.plans.registry import query
-from trendloom.sources.views import Views
+from trendloom.sources.views import OBSERVATION_CHANGE, Views
 
 HOUR = 3_600_000_000
 c = F.col
@@ -23,9 +24,15 @@ def j01_item_history(v: Views):
     return T.latest_runs(v.items.join(good, ["platform", "run_at"]), ["platform", "key"], "run_at", 10).select("platform", "key", "run_at", "rank", "score")
 
 
-@query(CHANGES + "SELECT * FROM ch")
+@query("""WITH ok AS (SELECT * FROM runs WHERE status = 'ok'), b AS (SELECT r.platform, r.run_at, r.n_items, max(p.run_at) AS prev_at FROM ok r LEFT JOIN ok p ON p.platform = r.platform AND p.run_at < r.run_at GROUP BY ALL),
+j AS (SELECT i.*, b.n_items, b.prev_at, p.rank AS prev_rank, p.score AS b_score, (i.run_at < TIMESTAMP '2024-01-15') = (p.run_at < TIMESTAMP '2024-01-15') AS alike FROM items i JOIN b USING (platform, run_at) LEFT JOIN items p ON p.platform = i.platform AND p.run_at = b.prev_at AND p.key = i.key),
+k AS (SELECT *, CASE WHEN alike THEN score - b_score ELSE 0.0::DOUBLE END AS d FROM j)
+SELECT platform, run_at, key, rank, prev_rank, coalesce(prev_rank - rank, 0) AS rank_change, d AS delta, CASE WHEN alike AND b_score > 0 THEN d / b_score * 100.0::DOUBLE ELSE 0.0::DOUBLE END AS percent,
+CASE WHEN prev_at IS NULL THEN 0.0::DOUBLE ELSE d / (date_diff('second', prev_at, run_at)::DOUBLE / 60.0::DOUBLE) END AS per_minute, coalesce(NOT alike, false) AS metric_changed, prev_at IS NOT NULL AND prev_rank IS NULL AS is_new,
+CASE WHEN prev_at IS NULL THEN 'baseline' WHEN prev_rank IS NULL THEN 'new' WHEN rank < prev_rank THEN 'rank_up' WHEN rank > prev_rank THEN 'rank_down' ELSE 'none' END AS change_kind, CASE WHEN (rank - 1) * 10 < n_items THEN 'Hot' ELSE 'Stable' END AS status FROM k""")
 def j02_snapshot_changes(v: Views):
-    return T.changes(v.items, v.runs)
+    version = F.when(c("run_at") < F.lit(OBSERVATION_CHANGE).cast("timestamp_ntz"), "v1").otherwise("v2")
+    return T.snapshot_changes(v.items.withColumn("metric_version", version), v.runs)
 
 
 @query("""SELECT r.platform, r.run_at, max(g.run_at) AS as_of FROM runs r LEFT JOIN runs g ON g.platform = r.platform AND g.status = 'ok' AND g.run_at <= r.run_at - INTERVAL 2 DAY GROUP BY 1, 2""")
@@ -121,23 +128,28 @@ def w05_momentum(v: Views):
     return s.select("platform", "run_at", "key", "rising", "cooling", momentum.alias("rank_momentum"), label.alias("label"))
 
 
-@query("""WITH g AS (SELECT *, lag(us) OVER (PARTITION BY event_type ORDER BY us, event_id) AS b FROM (SELECT *, epoch_us(ts) AS us FROM events))
-SELECT event_id, event_type AS platform, b IS NOT NULL AND us - b > 5400000000 AS gap_before FROM g WHERE event_type <> 'error'""")
+@query("""WITH g AS (SELECT entity, obs_id, us, lag(us) OVER w AS b_us, lag(obs_id) OVER w AS b_id FROM observations WHERE status = 'complete' WINDOW w AS (PARTITION BY entity ORDER BY us, obs_id)),
+f AS (SELECT entity, us, obs_id FROM observations WHERE status = 'failed'), n AS (SELECT g.entity, g.obs_id, g.us - g.b_us AS gap_us, count(f.us) > 0 AS interrupted
+FROM g LEFT JOIN f ON f.entity = g.entity AND (f.us, f.obs_id) > (g.b_us, g.b_id) AND (f.us, f.obs_id) < (g.us, g.obs_id) GROUP BY 1, 2, 3)
+SELECT *, interrupted OR coalesce(gap_us > 5400000000, false) AS gap_before FROM n""")
 def w06_gap_flag(v: Views):
-    good = v.events.where("event_type <> 'error'")
-    before = F.lag("us").over(Window.partitionBy("event_type").orderBy("us", "event_id"))
-    return good.select("event_id", F.col("event_type").alias("platform"), F.coalesce(F.col("us") - before > 5_400_000_000, F.lit(False)).alias("gap_before"))
-
-
-@query("""WITH d AS (SELECT platform, count(*) AS n_runs, count(*) FILTER (status = 'ok') AS n_ok, max(run_at) FILTER (status = 'ok') AS last_ok, max(run_at) AS last_at FROM runs GROUP BY 1),
-k AS (SELECT platform, key FROM (SELECT platform, key, count(*) AS n FROM items GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY platform ORDER BY n DESC, key) = 1)
-SELECT platform, n_runs, n_ok, last_ok, last_ok < last_at AS stale, key AS default_key FROM d JOIN k USING (platform)""")
+    return H.gap_flags(v.observations)
+
+
+@query("""WITH e AS (SELECT user_id % 7 AS scope, user_id AS key, epoch_us(ts) AS us, epoch_us(ts) // 3600000000 AS hour, event_type = 'error' AS failed FROM events),
+p AS (SELECT DISTINCT scope, us FROM (SELECT scope, hour, unnest([min(us), max(us)]) AS us FROM e WHERE NOT failed GROUP BY 1, 2)), q AS (SELECT scope, us, lag(us) OVER (PARTITION BY scope ORDER BY us) AS b FROM p),
+g AS (SELECT q.scope, q.us, any_value(q.us - q.b > 5400000000) OR count(e.us) > 0 AS gap FROM q LEFT JOIN e ON e.scope = q.scope AND e.failed AND e.us > q.b AND e.us <= q.us GROUP BY 1, 2),
+s AS (SELECT scope, count(*) AS points, count(DISTINCT us // 3600000000) AS hours_observed, count(*) FILTER (gap) AS gap_count, min(us) AS first_us, max(us) AS last_us FROM g GROUP BY 1),
+fl AS (SELECT scope, count(*) FILTER (failed) AS failed_total, max(us) FILTER (failed) AS last_bad FROM e GROUP BY 1), lim AS (SELECT min(hour) AS lo, max(hour) AS hi, max(us) AS end_us FROM e),
+o AS (SELECT e.scope, e.key, count(DISTINCT hour) AS n, bool_or(hour = last_us // 3600000000) AS latest FROM e JOIN s USING (scope) WHERE NOT failed GROUP BY 1, 2),
+k AS (SELECT scope, key AS default_key FROM o WHERE latest QUALIFY row_number() OVER (PARTITION BY scope ORDER BY n DESC, key) = 1),
+hr AS (SELECT scope, hour, count(*) FILTER (failed) AS bad, count(*) FILTER (NOT failed) AS good FROM e GROUP BY 1, 2),
+d AS (SELECT x.scope, CAST(DATE '1970-01-01' + CAST((x.hour + 7) // 24 AS INTEGER) AS DATE) AS day, count(*) FILTER (good > 0) AS observed_hours, count(*) FILTER (good > 0 AND bad > 0) AS partial_hours, count(*) FILTER (coalesce(good, 0) = 0) AS unobserved_hours, CAST(coalesce(sum(bad), 0) AS BIGINT) AS failed_attempts
+FROM (SELECT scope, unnest(range(lo, hi + 1)) AS hour FROM fl, lim) x LEFT JOIN hr ON hr.scope = x.scope AND hr.hour = x.hour GROUP BY 1, 2)
+SELECT d.*, coalesce(points, 0) AS points, coalesce(hours_observed, 0) AS hours_observed, coalesce(gap_count, 0) AS gap_count, failed_total, first_us, last_us, coalesce(end_us - last_us > 5400000000, true) AS is_stale,
+coalesce(last_bad >= coalesce(last_us, last_bad), false) AS latest_unavailable, default_key FROM d JOIN fl USING (scope) LEFT JOIN s USING (scope) LEFT JOIN k USING (scope), lim""")
 def w07_history_report(v: Views):
-    d = v.runs.groupBy("platform").agg(
-        F.count("*").alias("n_runs"), F.count_if(F.col("status") == "ok").alias("n_ok"), F.max(F.when(F.col("status") == "ok", F.col("run_at"))).alias("last_ok"), F.max("run_at").alias("last_at")
-    )
-    seen = v.items.groupBy("platform", "key").agg(F.count("*").alias("n")).groupBy("platform").agg(F.min_by("key", F.struct(-F.col("n"), "key")).alias("default_key"))
-    return d.join(seen, "platform").select("platform", "n_runs", "n_ok", "last_ok", (F.col("last_ok") < F.col("last_at")).alias("stale"), "default_key")
+    return H.coverage_report(v.events.select((c("user_id") % 7).alias("scope"), c("user_id").alias("key"), "us", (c("event_type") == "error").alias("failed")))
 
 
 @query("SELECT i.platform, i.run_at, key, rank, score FROM items i JOIN (SELECT platform, max(run_at) AS run_at FROM runs WHERE status = 'ok' GROUP BY 1) l ON i.platform = l.platform AND i.run_at = l.run_at")
