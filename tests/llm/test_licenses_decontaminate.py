@@ -104,3 +104,37 @@ def test_contaminated(spark):
     kept = D.remove(frame, bench)
     assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == set(range(64)) - {i for i, _ in want}
     assert D.contaminated(frame, bench.limit(0)).count() == 0 and D.contaminated(frame.limit(0), bench).count() == 0
+
+
+def test_tiles_and_their_places_against_brute_force():
+    rnd = random.Random(5)
+    for round_ in range(150):
+        letters = ["a", "ab", "abc", "abcdef"][round_ % 4]
+        item, text = rnd.choices(letters, k=rnd.randint(1, 30)), rnd.choices(letters + "z", k=rnd.randint(0, 60))
+        at = rnd.randrange(len(text) + 1)
+        text[at:at] = item[: rnd.randint(0, len(item))] * rnd.randint(0, 2)
+        items = D.Items([(1, " ".join(item).encode())], 3)
+        size = min(3, len(item))
+        ids = np.array([items.vocabulary.get(w.encode(), 0) for w in text], np.int64)
+        found = [x for _, s, a, b in items.shared(ids) for x in D.tiles(ids, items.tokens[0], s, a, b)]
+        left, taken_text, taken_item = plain_tiles(text, item, size), set(), set()
+        assert sum(n for _, _, n in found) == left and [n for _, _, n in found] == sorted((n for _, _, n in found), reverse=True)
+        for t, i, n in found:
+            assert text[t : t + n] == item[i : i + n] and n >= size and not taken_text & set(range(t, t + n)) and not taken_item & set(range(i, i + n))
+            taken_text |= set(range(t, t + n))
+            taken_item |= set(range(i, i + n))
+
+
+def test_repeated_words_take_room_in_proportion():
+    import tracemalloc
+
+    item, text = b"na " * 2000, b"na " * 20000
+    shuffled = b" ".join(random.Random(2).choices([b"na", b"no"], k=2000))
+    longer = b" ".join(random.Random(3).choices([b"na", b"no"], k=20000))
+    items = D.Items([(1, item), (2, shuffled)])
+    tracemalloc.start()
+    assert [(i, round(share, 6)) for i, share, *_ in D.covered(items, text)] == [(1, 1.0)]
+    found = {i: share for i, share, *_ in D.covered(items, longer)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[2] > 0.8 and peak < 64 << 20

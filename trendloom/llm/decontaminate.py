@@ -2,13 +2,11 @@
 
 Windows of words that a document shares with a test item are the seeds, found by Karp-Rabin hashes. For every document
 and item with a shared seed, the longest common run of unmarked words is marked again and again until none of the least
-length is left. The share of the item's words that are marked catches passages in any order.
+length is left; running Karp-Rabin hashes find its length. The share of the item's words that are marked catches passages in any order.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,8 +52,12 @@ class Items:
             order = np.argsort(h, kind="stable")
             self.seeds[size] = (h[order], k[order], p[order])
 
-    def shared(self, ids: np.ndarray):
-        """(item, window size, places in the text, places in the item) of items that share a seed with the text."""
+    def shared(self, ids: np.ndarray, coverage: float = 0.0):
+        """(item, window size, places in the text, places in the item) of items that share seeds with the text.
+
+        Places are those at which any shared seed stands, in order; they are not paired, so repeated words take no more room
+        than text and items together. Items whose seeds together cover less than ``coverage`` of their words are left out.
+        """
         known = np.concatenate([[0], np.cumsum(ids > 0)])
         for size, (h, k, p) in self.seeds.items():
             if len(ids) < size:
@@ -64,51 +66,110 @@ class Items:
             if not len(at):
                 continue
             own = window_hashes(ids, at, size)
-            lo, hi = np.searchsorted(h, own, "left"), np.searchsorted(h, own, "right")
-            hit = np.flatnonzero(hi > lo)
-            if not len(hit):
+            order = np.argsort(own, kind="stable")
+            mine, at = own[order], at[order]
+            different = mine[np.concatenate([[True], mine[1:] != mine[:-1]])]
+            seed = ranges(np.searchsorted(h, different, "left"), np.searchsorted(h, different, "right"))
+            if not len(seed):
                 continue
-            n = hi[hit] - lo[hit]
-            seed = np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            place = np.repeat(at[hit], n)
-            for item in np.unique(k[seed]):
-                sel = k[seed] == item
-                yield int(item), size, place[sel], p[seed[sel]]
+            seed = seed[np.argsort(k[seed], kind="stable")]
+            for part in np.split(seed, np.flatnonzero(np.diff(k[seed])) + 1):
+                item, in_item = int(k[part[0]]), np.sort(p[part])
+                if np.count_nonzero(spread(in_item, size, len(self.tokens[item]))) < coverage * len(self.tokens[item]):
+                    continue
+                values = np.unique(h[part])
+                in_text = at[ranges(np.searchsorted(mine, values, "left"), np.searchsorted(mine, values, "right"))]
+                yield item, size, np.sort(in_text), in_item
+
+
+def ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers of the half-open ranges from ``lo`` to ``hi``, one range behind the other."""
+    n = hi - lo
+    return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+
+
+def spread(at: np.ndarray, size: int, n: int) -> np.ndarray:
+    """Which of ``n`` words lie in a window of ``size`` words that starts at one of the places."""
+    edge = np.zeros(n + size + 1, np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + size, -1)
+    return np.cumsum(edge)[:n] > 0
+
+
+#: fixed values: moduli and bases of the running Karp-Rabin hash
+PRIMES = ((2147483647, 911382323), (2147483629, 972663749))
+
+
+class Running:
+    """Karp-Rabin hashes of all windows of any length, from sums made once: hash of n words from i on in one step."""
+
+    def __init__(self, ids: np.ndarray):
+        self.parts = []
+        for prime, base in PRIMES:
+            power = lambda b: self._powers(b, len(ids), prime)  # noqa: B023, E731  used in this round only
+            sums = np.concatenate([[0], np.cumsum((ids.astype(np.uint64) + 1) % prime * power(base) % prime)]).astype(np.uint64)
+            self.parts.append((np.uint64(prime), sums, power(pow(base, -1, prime))))
+
+    @staticmethod
+    def _powers(base: int, n: int, prime: int) -> np.ndarray:
+        out, k = np.ones(n, np.uint64), 1
+        while k < n:
+            out[k : 2 * k] = out[: min(k, n - k)] * np.uint64(pow(base, k, prime)) % np.uint64(prime)
+            k *= 2
+        return out
+
+    def windows(self, at: np.ndarray, n: int) -> np.ndarray:
+        a, b = ((sums[at + n] - sums[at]) % prime * back[at] % prime for prime, sums, back in self.parts)
+        return a << np.uint64(32) | b
 
 
 def tiles(text: np.ndarray, item: np.ndarray, size: int, in_text: np.ndarray, in_item: np.ndarray) -> list[tuple[int, int, int]]:
     """Greedy tiles (place in the text, place in the item, words), longest first, none overlapping, from the shared seeds.
 
-    Seeds on one diagonal join into runs. A run that is partly marked goes back to the queue with its unmarked parts, so
-    that each mark is the longest match left. Ties go to the place that comes first in the item, then in the text.
+    The longest length of which unmarked text and item share a run is found by halving, with running Karp-Rabin hashes. All
+    runs of that length are marked in the order of the item, then of the text, each compared word by word first; then
+    shorter ones are looked for. Room grows with text and item, not with the pairs of their places. Only words of the
+    text in a shared seed are looked at.
     """
-    same = np.all(text[in_text[:, None] + np.arange(size)] == item[in_item[:, None] + np.arange(size)], axis=1)
-    in_text, in_item = in_text[same], in_item[same]
-    order = np.lexsort((in_text, in_text - in_item))
-    a, b = in_text[order], in_item[order]
-    cut = np.flatnonzero((np.diff(a - b) != 0) | (np.diff(a) != 1)) + 1
-    heap = [(-(len(r) + size - 1), int(r[0]), int(q[0])) for r, q in zip(np.split(b, cut), np.split(a, cut)) if len(r)]
-    heapq.heapify(heap)
-    marked_text, marked_item, out = {}, np.zeros(len(item), bool), []
-    while heap:
-        n, i, t = heapq.heappop(heap)
-        n = -n
-        free = [not marked_item[i + j] and (t + j) not in marked_text for j in range(n)]
-        if all(free):
-            out.append((t, i, n))
-            marked_item[i : i + n] = True
-            marked_text.update(dict.fromkeys(range(t, t + n)))
-            if marked_item.all():
-                break
-            continue
-        j = 0
-        while j < n:
-            e = j
-            while e < n and free[e]:
-                e += 1
-            if e - j >= size:
-                heapq.heappush(heap, (-(e - j), i + j, t + j))
-            j = max(e, j + 1)
+    place = np.flatnonzero(spread(in_text, size, len(text)))
+    place = np.insert(place, np.flatnonzero(np.diff(place) > 1) + 1, -1)  # a break where words are left out
+    short = text[place]
+    marked = [place < 0, ~spread(in_item, size, len(item))]
+    running = [Running(short), Running(item)]
+
+    def free(side: int, n: int) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(marked[side])])
+        return np.flatnonzero(sums[n:] == sums[:-n])
+
+    def hashes(n: int):
+        at = [free(side, n) for side in (0, 1)]
+        return at, [running[side].windows(at[side], n) for side in (0, 1)]
+
+    def common(n: int) -> bool:
+        return bool(np.isin(*reversed(hashes(n)[1])).any())
+
+    out, top = [], min(len(short), len(item))
+    while top >= size and common(size):
+        n = size
+        while n < top:  # common at n, not above top
+            half = (n + top + 1) // 2
+            n, top = (half, top) if common(half) else (n, half - 1)
+        (a, b), (ha, hb) = hashes(n)
+        order = np.argsort(ha, kind="stable")
+        a, ha = a[order], ha[order]
+        lo, hi = np.searchsorted(ha, hb, "left"), np.searchsorted(ha, hb, "right")
+        at = {}
+        for i, first, end in zip(b[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
+            if marked[1][i] or marked[1][i + n - 1]:  # tiles have n words or more, so one that overlaps covers an end
+                continue
+            k = at.get(first, first)
+            while k < end and (marked[0][a[k]] or marked[0][a[k] + n - 1]):
+                k += 1
+            at[first] = k
+            if k < end and np.array_equal(short[a[k] : a[k] + n], item[i : i + n]):
+                marked[0][a[k] : a[k] + n] = marked[1][i : i + n] = True
+                out.append((int(place[a[k]]), i, n))
+        top = n - 1
     return out
 
 
@@ -116,10 +177,8 @@ def covered(items: Items, text: bytes, coverage: float = COVERAGE):
     """(item id, share, marked words, item words, tiles, first word, last word) of items covered to that share."""
     get = items.vocabulary.get
     ids = np.array([get(w, 0) for w in words(text)], np.int64)
-    for k, size, in_text, in_item in items.shared(ids):
+    for k, size, in_text, in_item in items.shared(ids, coverage):
         whole = items.tokens[k]
-        if len(np.unique((in_item[:, None] + np.arange(size)).ravel())) < coverage * len(whole):
-            continue  # even all seeds together cover too little
         found = tiles(ids, whole, size, in_text, in_item)
         marked = sum(n for _, _, n in found)
         if marked >= coverage * len(whole):
