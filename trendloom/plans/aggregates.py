@@ -123,20 +123,6 @@ def a14_distribution(v: Views):
     return s.select("channel", "n", c("p")[0].alias("median"), c("p")[1].alias("p25"), c("p")[2].alias("p75"))
 
 
-@query("""WITH r AS (SELECT DISTINCT platform, run_at FROM items), h AS (SELECT platform, run_at, CASE WHEN key % 3 = 0 THEN 'even' ELSE 'odd' END AS topic, count(*) AS n FROM items WHERE rank <= 10 GROUP BY ALL),
-t(topic) AS (VALUES ('even'), ('odd'), ('none')) SELECT r.platform, r.run_at, t.topic, coalesce(n, 0) AS n FROM r CROSS JOIN t LEFT JOIN h ON h.platform = r.platform AND h.run_at = r.run_at AND h.topic = t.topic""")
-def a17_topic_counts(v: Views):
-    hits = v.items.where("rank <= 10").groupBy("platform", "run_at", F.when(c("key") % 3 == 0, "even").otherwise("odd").alias("topic")).agg(F.count("*").alias("n"))
-    grid = v.items.select("platform", "run_at").distinct().withColumn("topic", F.explode(F.array(*[F.lit(t) for t in ("even", "odd", "none")])))
-    return grid.join(hits, ["platform", "run_at", "topic"], "left").select("platform", "run_at", "topic", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-
-
-@query("""WITH g AS (SELECT dataset_id, channel, title, lower(title) AS phrase FROM content), s AS (SELECT phrase, count(*) AS n, count(DISTINCT channel) AS nc FROM g GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT channel) >= 2) SELECT phrase, n, nc, min(title) AS label FROM s JOIN g USING (phrase) GROUP BY 1, 2, 3""")
-def a18_topic_discovery(v: Views):
-    g = v.content.groupBy(F.lower("title").alias("phrase")).agg(F.count("*").alias("n"), F.count_distinct("channel").alias("nc"), F.min("title").alias("label"))
-    return g.where("n >= 3 and nc >= 2")
-
-
 @query("""WITH m AS (SELECT max(ts) AS now_ts FROM events) SELECT event_type AS platform, max(ts) AS last_attempt, max(ts) FILTER (value > 5) AS last_success, count(*) FILTER (ts > now_ts - INTERVAL 24 HOUR) AS n_24h, arg_max(user_id, (ts, event_id)) AS last_user FROM events, m GROUP BY 1""")
 def a19_source_health(v: Views):
     now = v.table("events").agg(F.max("ts").alias("now_ts"))  # one row

@@ -155,15 +155,6 @@ def s12_review_import(v: Views):
     return reviews.decide(sheet, candidates, events, datasets, "run-1", "sheet-1", LEAVES, LEAVES).select("id", "decision", "outcome")
 
 
-@query("WITH n AS (SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id + 1 ELSE doc_id - doc_id % 2 END AS target, doc_id, text AS new_text FROM documents), m AS (SELECT target, count(*) AS k, min(doc_id) AS doc_id, min(new_text) AS new_text FROM n GROUP BY 1) SELECT target, CASE WHEN t.dataset_id IS NULL THEN 'blocked:no_row' WHEN k > 1 THEN 'blocked:duplicate_in_batch' WHEN t.text = new_text THEN 'unchanged' ELSE 'replace' END AS plan FROM m LEFT JOIN transcripts t ON t.dataset_id = m.target")
-def s13_replacement_plan(v: Views):
-    new = v.table("documents").select(F.when(c("doc_id") % 3 == 0, c("doc_id") + 1).otherwise(c("doc_id") - c("doc_id") % 2).alias("target"), "text")
-    m = new.groupBy("target").agg(F.count("*").alias("k"), F.min("text").alias("new_text"))
-    rows = m.join(v.transcripts.select(c("dataset_id").alias("target"), "text"), "target", "left")
-    plan = F.when(c("text").isNull(), "blocked:no_row").when(c("k") > 1, "blocked:duplicate_in_batch").when(c("text") == c("new_text"), "unchanged").otherwise("replace")
-    return rows.select("target", plan.alias("plan"))
-
-
 @query("WITH m AS (SELECT max(run_at) AS now_at FROM runs) SELECT platform, run_at, n_items FROM runs, m WHERE run_at >= now_at - INTERVAL 20 DAY QUALIFY row_number() OVER (PARTITION BY platform ORDER BY run_at DESC) <= 12")
 def s14_retention(v: Views):
     now = v.runs.agg(F.max("run_at").alias("now_at"))  # one row
@@ -204,13 +195,6 @@ def s18_catalog_validation(v: Views):
     return v.table("part").groupBy(c("p_name").alias("alias")).agg(F.count_distinct("p_type").alias("topics"), F.min("p_type").alias("first_topic")).where("topics > 1")
 
 
-@query("WITH d AS (SELECT sha256(text) AS h, count(DISTINCT split) AS k FROM transcripts GROUP BY 1) SELECT dataset_id, " + reasons_sql(("k > 1", "across_splits"), ("quality IS NULL", "label_missing"), ("NOT contains(text, '.')", "quote_missing")) + " AS issues FROM transcripts JOIN d ON h = sha256(text)")
-def s19_bundle_validation(v: Views):
-    rows = v.transcripts.withColumn("h", F.sha2("text", 256))
-    d = rows.groupBy("h").agg(F.count_distinct("split").alias("k"))
-    return rows.join(d, "h").select("dataset_id", all_reasons((c("k") > 1, "across_splits"), (c("quality").isNull(), "label_missing"), (~c("text").contains("."), "quote_missing")).alias("issues"))
-
-
 @query(r"WITH h AS (SELECT sha256(nullif(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]', '', 'g'), '')) AS f FROM transcripts WHERE split = 'test'), r AS (SELECT dataset_id, channel, sha256(nullif(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]', '', 'g'), '')) AS f FROM transcripts WHERE split <> 'test') SELECT f, max(dataset_id) AS dataset_id FROM r ANTI JOIN h USING (f) WHERE f IS NOT NULL GROUP BY 1")
 def s20_discovery_corpus(v: Views):
     from trendloom.functions.text import identity

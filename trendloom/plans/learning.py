@@ -78,15 +78,6 @@ CENT = """u AS (SELECT vec_id, label, list_transform(vec, lambda y: y / sqrt(lis
 f AS (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM u), m AS (SELECT label, i, avg(x) AS x FROM f GROUP BY 1, 2), cen AS (SELECT label, list(x ORDER BY i) AS cvec FROM m GROUP BY 1) """
 
 
-@query("WITH " + CENT + "SELECT vec_id, cen.label AS label, round(1 - list_sum(list_transform(range(1, len(cvec) + 1), lambda k: cvec[k] * u.vec[k])) / sqrt(list_sum(list_transform(cvec, lambda z: z * z))), 6) AS distance FROM u, cen")
-def m06_centroid_distances(v: Views):
-    u = v.vectors.select("vec_id", "label", X.unit(c("vec")).alias("vec"))
-    cen = X.centroids(u, "label").select("label", X.unit(c("vec")).alias("cvec"))  # one row for each label
-    listed = cen.agg(F.collect_list(F.struct("label", "cvec")).alias("cs"))
-    rows = u.select("vec_id", "vec").join(F.broadcast(listed), F.lit(True)).select("vec_id", "vec", F.inline("cs"))
-    return rows.select("vec_id", "label", F.round(1 - X.dot(c("vec"), c("cvec")), 6).alias("distance"))
-
-
 @query("WITH f AS (SELECT label, vec_id % 7 + 1 AS w, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM vectors), m AS (SELECT label, i, sum(w * x) / sum(w) AS x FROM f GROUP BY 1, 2) SELECT label, i - 1 AS place, round(x, 6) AS x FROM m")
 def m07_weighted_pooling(v: Views):
     w = c("vec_id") % 7 + 1
