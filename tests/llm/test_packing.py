@@ -48,3 +48,14 @@ def test_pieces_and_sequences(spark):
     assert sorted(got.sequence_id.unique()) == list(range(got.sequence_id.nunique()))
     assert got.length.sum() / (1024 * got.sequence_id.nunique()) > 0.97
     assert P.pack(docs.limit(0)).count() == 0
+
+
+def test_ranks_of_a_length_over_any_number_of_salts(spark):
+    rows = [(i % 7, i, 4 if i % 3 else 9, i * i % 11, 1) for i in range(300)] + [(1, 1, 4, 1, 1)] * 5  # repeated pieces rank one by one
+    cut = spark.createDataFrame(rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
+    for salt_rows in (1, 7, 1 << 18):
+        got = P.ranked(cut, histogram, salt_rows).collect()
+        for length, n in histogram.items():
+            assert sorted(r.rank for r in got if r.length == length) == list(range(n))
+    assert P.ranked(cut.limit(0), {}).count() == 0

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-MAX_TOKENS, SALTS = 1024, 64
+MAX_TOKENS, SALT_ROWS = 1024, 1 << 14  #: pieces of one length that a task ranks, about
 
 
 def default_tokenizer() -> str:
@@ -148,9 +148,14 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def ranked(cut: DataFrame) -> DataFrame:
-    """``cut`` with ``rank``, from 0 among the pieces of a length; a length is spread over salts, so none is one task."""
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
+def ranked(cut: DataFrame, histogram: dict[int, int], salt_rows: int = SALT_ROWS) -> DataFrame:
+    """``cut`` with ``rank``, from 0 among the pieces of a length.
+
+    A length is spread over salts, one for about every ``salt_rows`` of its pieces, so a task's share doesn't grow with the
+    corpus. The histogram, at most one row a length, goes to all tasks.
+    """
+    salts = cut.sparkSession.createDataFrame([(k, n // salt_rows + 1) for k, n in histogram.items()] or [(0, 1)], "length long, salts long")
+    salted = cut.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("salts"))).drop("salts")
     before = (
         salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
         .withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n"))
@@ -185,4 +190,4 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, tokenizer: str | None =
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return ranked(cut).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("rank").cast("long").alias("rank")).mapInArrow(run, schema)
+    return ranked(cut, histogram).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("rank").cast("long").alias("rank")).mapInArrow(run, schema)
