@@ -4,8 +4,6 @@ import hashlib
 import random
 from collections import Counter
 
-from pyspark.sql import functions as F
-
 from trendloom.operators import curation as C
 from trendloom.operators import discovery as D
 from trendloom.operators import textml as X

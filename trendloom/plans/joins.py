@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 
 from trendloom.functions.splits import bucket
 from trendloom.operators import benchmark as B
-from trendloom.operators import sketches, trend
+from trendloom.operators import sketches
 from trendloom.operators.ranking import rank_within
 from trendloom.operators.readiness import explained
 from trendloom.operators.sampling import balanced_sample, holdout_plan
 from trendloom.operators.trend import first_per
-from trendloom.plans.aggregates import MEDIAN, PAIRED, PRED, compared, predicted, scored, SCORED
+from trendloom.plans.aggregates import MEDIAN, PAIRED, compared, scored, SCORED
 from trendloom.plans.registry import bucket_sql, query
 from trendloom.sources.views import Views
 
