@@ -121,3 +121,18 @@ def test_closest_centroids(spark):
     near = means[:1] + [(1, [2.0, 0.02, 0.0])]
     assert {r.state for r in X.closest_centroids(rows.where("id = 1"), spark.createDataFrame(near, "g long, vec array<double>"), "g").collect()} == {"overlapping_text_centroids"}
     assert X.closest_centroids(rows, spark.createDataFrame(means[:1], "g long, vec array<double>"), "g").count() == 0
+
+
+def test_entries_without_key_do_not_meet_in_one_task(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, value in zip(kept, ("false", "-1")):
+        spark.conf.set(k, value)
+    try:
+        entries = spark.range(400).selectExpr("id AS entry_id", "false AS parsed", "id AS target", "id AS declared", "'a' AS leaf", "'t' AS title", "'text' AS text")
+        rows = spark.range(400).selectExpr("id AS dataset_id", "true AS active", "true AS manual", "'a' AS leaf", "'t' AS title", "'c' AS creator", "'text' AS text")
+        got = C.replacement_plan(entries, rows, rows.selectExpr("dataset_id", "'x' AS sha256").limit(1))
+        sizes = [len(part) for part in got.select("entry_id").rdd.glom().collect()]
+    finally:
+        for k, value in kept.items():
+            spark.conf.set(k, value)
+    assert sum(sizes) == 400 and max(sizes) < 200  # none has a text or a row to its name, all were dealt to one task

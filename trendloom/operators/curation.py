@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trendloom.functions.reasons import all_reasons, first_reason
 from trendloom.operators.benchmark import weighted_median
+from trendloom.operators.components import checkpointed
 
 c = F.col
 PREFIX = 200  #: characters without white space that two texts must share before a changed title is taken
@@ -23,35 +24,38 @@ def replacement_plan(entries: DataFrame, rows: DataFrame, reviews: DataFrame) ->
     text starts like the stored text. Two entries with one target or text block each other, ``batch`` says by which.
     Nulls: a null flag is false, a null text empty; a null target or category fits nothing.
     """
-    digest = F.sha2(F.trim(F.coalesce("text", F.lit(""))), 256)
-    e = entries.withColumn("_sha", digest)
-    one = rows.where("dataset_id is not null").groupBy(c("dataset_id").alias("target")).agg(
-        F.count("*").alias("_n"), F.first(F.struct("active", "manual", "leaf", "title", "creator", F.trim(F.coalesce("text", F.lit(""))).alias("text"))).alias("_r")
-    )
-    owners = rows.where("trim(text) <> ''").groupBy(digest.alias("_sha")).agg(F.min("dataset_id").alias("_lo"), F.max("dataset_id").alias("_hi"))
+    body = F.trim(F.coalesce("text", F.lit("")))
+    start = F.substring(F.regexp_replace(body, r"\s+", ""), 1, PREFIX)
+    # digests, lengths and starts stand for the texts, so that no join moves a text
+    told = [F.sha2(body, 256).alias("_sha"), F.length(body).alias("_size"), start.alias("_start")]
+    e = entries.select(*[x for x in entries.columns if x != "text"], *told)
+    one = rows.where("dataset_id is not null").select(c("dataset_id").alias("target"), F.struct("active", "manual", "leaf", "title", "creator", *told).alias("_r"))
+    one = one.groupBy("target").agg(F.count("*").alias("_n"), F.first("_r").alias("_r"))
+    owners = rows.where("trim(text) <> ''").groupBy(F.sha2(body, 256).alias("_sha")).agg(F.min("dataset_id").alias("_lo"), F.max("dataset_id").alias("_hi"))
     seen = reviews.select(c("dataset_id").alias("target"), c("sha256").alias("_sha")).distinct().withColumn("_reviewed", F.lit(True))
     x = e.join(one, "target", "left").join(owners, "_sha", "left").join(seen, ["target", "_sha"], "left")
-    body, old = F.trim(F.coalesce("text", F.lit(""))), F.coalesce(c("_r.text"), F.lit(""))
-    start = lambda t: F.substring(F.regexp_replace(t, r"\s+", ""), 1, PREFIX)
     own, given = F.trim(F.coalesce(c("_r.title"), F.lit(""))), F.trim(F.coalesce("title", F.lit("")))
     suffixed = given == F.concat(own, F.lit(" | "), F.coalesce(c("_r.creator"), F.lit("")))
-    reviewed = F.coalesce("_reviewed", F.lit(False)) & (F.length(start(old)) == PREFIX) & (start(old) == start(body))
+    reviewed = F.coalesce("_reviewed", F.lit(False)) & F.coalesce((F.length("_r._start") == PREFIX) & (c("_r._start") == c("_start")), F.lit(False))
     no = lambda x: ~F.coalesce(x, F.lit(False))
     reason = first_reason(
         (no(c("parsed")), "not_parsed"), (no(c("target") == c("declared")), "id_mismatch"), (no(c("_n") == 1), "no_single_row"), (no(c("_r.active")), "archived"), (no(c("leaf") == c("_r.leaf")), "other_category"),
-        (no(c("_r.manual")), "other_method"), (body == "", "no_text"), (F.coalesce((c("_lo") != c("target")) | (c("_hi") != c("target")), F.lit(False)), "copy_of_other_row"),
+        (no(c("_r.manual")), "other_method"), (c("_size") == 0, "no_text"), (F.coalesce((c("_lo") != c("target")) | (c("_hi") != c("target")), F.lit(False)), "copy_of_other_row"),
         (~((given == own) | suffixed | reviewed), "title_differs"),
     )
     known = F.array(F.lit("not_parsed"), F.lit("id_mismatch"), F.lit("no_single_row"), F.lit("archived"), F.lit("other_category"), F.lit("other_method"))
-    counted = x.withColumn("reason", reason).withColumn("_text", F.when(~F.coalesce(F.array_contains(known, c("reason")), F.lit(False)) & (body != ""), c("_sha")))
+    counted = x.withColumn("reason", reason).withColumn("_text", F.when(~F.coalesce(F.array_contains(known, c("reason")), F.lit(False)) & (c("_size") > 0), c("_sha")))
     # an entry names its target unless it was not parsed, and its text once the row stands
     counted = counted.withColumn("_video", F.when(F.coalesce(c("reason") != "not_parsed", F.lit(True)), c("target")))
-    twice = lambda key, name: counted.where(c(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_k")).where("_k > 1").select(key, F.lit(True).alias(name))
-    z = counted.join(twice("_video", "_same_video"), "_video", "left").join(twice("_text", "_same_text"), "_text", "left")
+    counted = checkpointed(counted.select("entry_id", "target", "reason", "_video", "_text", "_sha", "_size", c("_r._sha").alias("_old"), c("_r._size").alias("_old_size"), (given == own).alias("_same_title"), suffixed.alias("_suffixed")))
+    twice = lambda key, name: counted.where(c(key).isNotNull()).groupBy(F.col(key).cast("string").alias(f"{name}_key")).agg(F.count("*").alias("_k")).where("_k > 1").select(f"{name}_key", F.lit(True).alias(name))
+    # a row without key gets one of its own that fits nothing, so that such rows don't meet in one task
+    keyed = lambda rows, key, name: rows.withColumn(f"{name}_key", F.coalesce(F.col(key).cast("string"), F.concat(F.lit("none "), F.xxhash64("entry_id")))).join(twice(key, name), f"{name}_key", "left")
+    z = keyed(keyed(counted, "_video", "_same_video"), "_text", "_same_text")
     batch = all_reasons((c("_same_video"), "same_row"), (c("_same_text"), "same_text"))
     ok = c("reason").isNull() & (batch == "")
-    status = F.when(~ok, "blocked").when(body == old, "unchanged").otherwise("ready")
-    warnings = F.when(c("reason").isNull(), all_reasons((suffixed & (given != own), "creator_in_title"), ((given != own) & ~suffixed, "reviewed_title"), (F.length(body) < F.length(old), "shorter"))).otherwise("")
+    status = F.when(~ok, "blocked").when(c("_sha") == F.coalesce(c("_old"), F.sha2(F.lit("").cast("binary"), 256)), "unchanged").otherwise("ready")
+    warnings = F.when(c("reason").isNull(), all_reasons((c("_suffixed") & ~c("_same_title"), "creator_in_title"), (~c("_same_title") & ~c("_suffixed"), "reviewed_title"), (c("_size") < F.coalesce(c("_old_size"), F.lit(0)), "shorter"))).otherwise("")
     return z.select("entry_id", "target", status.alias("status"), "reason", batch.alias("batch"), warnings.alias("warnings"))
 
 
