@@ -126,13 +126,10 @@ SELECT dataset_id, gram, count(*) AS frequency, round(CASE k WHEN 1 THEN count(*
 FROM g GROUP BY dataset_id, k, gram HAVING k = 1 OR count(*) >= 2""")
 def f17_bigram_candidates(v: Views):
     """Single words, and pairs and triples of words that occur twice, counted row by row."""
-    ws = v.transcripts.select("dataset_id", T.tokens(F.col("text")).alias("ws"))
-    g, n = F.col("value"), F.col("n")
-    parts = [
-        ws.select("dataset_id", F.inline(T.counted(T.grams(F.col("ws"), k) if k > 1 else F.col("ws")))).where(n >= least).select("dataset_id", g.alias("gram"), n.alias("frequency"), F.round(score, 3).alias("score"))
-        for k, least, score in ((1, 1, n + F.when(F.length(g) >= 6, 0.2).otherwise(0.0)), (2, 2, n * 1.8 + 0.3), (3, 2, n * 2.2 + 0.4))
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    found = v.transcripts.select("dataset_id", F.inline(T.phrase_counts(T.tokens(F.col("text")), 3)))
+    n, long = F.col("n"), F.length("value") >= 6
+    score = F.when(F.col("k") == 1, n + F.when(long, 0.2).otherwise(0.0)).when(F.col("k") == 2, n * 1.8 + 0.3).otherwise(n * 2.2 + 0.4)
+    return found.select("dataset_id", F.col("value").alias("gram"), n.alias("frequency"), F.round(score, 3).alias("score"))
 
 
 @query(r"""SELECT dataset_id, len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+'), lambda w: w = 'the')) AS n_the FROM transcripts""")
