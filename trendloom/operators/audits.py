@@ -39,17 +39,17 @@ def outcomes(per_case: DataFrame) -> DataFrame:
     return long.groupBy("comparison").agg(F.count("difference").alias("n"), F.count_if(d > 0).alias("wins"), F.count_if(d == 0).alias("ties"), F.count_if(d < 0).alias("losses"), F.percentile("difference", 0.5).alias("median"))
 
 
-def structural_issues(items: DataFrame, references: DataFrame, mentions: DataFrame) -> DataFrame:
+def structural_issues(items: DataFrame, references: DataFrame, mentions: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     """``items`` (case_id, lane, place, domain, keyword, ids, support_count, total_frequency) with ``issues``, their codes sorted and joined.
 
     ``references`` is (id, domain, split, keyword, frequency), a row for each keyword of a corpus row; ``mentions`` (case_id, keyword) what the case says
-    itself. Cited rows must be training rows of the domain that have the keyword, each once, as many as stated, with the stated sum of frequencies.
+    itself. With ``corpus`` (id, domain, split), a row for each corpus row, the references need only (id, keyword, frequency) of the items' keywords. Cited rows must be training rows of the domain that have the keyword, each once, as many as stated, with the stated sum of frequencies.
     """
     key = ["case_id", "lane", "place"]
     ids = F.coalesce("ids", F.array().cast("array<long>"))
     first = items.groupBy("case_id", "lane", "keyword").agg(F.min("place").alias("first_place"))
     cited = items.select(*key, "domain", "keyword", F.explode(ids).alias("id"))
-    rows = references.select("id", F.col("domain").alias("row_domain"), "split").distinct()
+    rows = (references if corpus is None else corpus).select("id", F.col("domain").alias("row_domain"), "split").distinct()
     terms = references.select("id", "keyword", "frequency")
     checked = cited.join(rows, "id", "left").join(terms, ["id", "keyword"], "left")
     valid = F.coalesce((F.col("split") == "train") & (F.col("row_domain") == F.col("domain")), F.lit(False))

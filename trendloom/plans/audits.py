@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from trendloom.functions.splits import channel_split
+from trendloom.functions.text import tokens
 from trendloom.operators import audits as A
 from trendloom.operators import spans as S
+from trendloom.operators.components import checkpointed
 from trendloom.operators.textml import top_per
 from trendloom.plans.registry import query
 from trendloom.plans.topics import TERMS, longest_sql, places_sql
@@ -52,10 +55,11 @@ au AS MATERIALIZED (SELECT e.*, list_filter([CASE WHEN m.term IS NOT NULL THEN '
 
 
 def audited_items(v: Views):
-    split = v.transcripts.select("dataset_id", "split")
-    train = v.terms.join(split.where("split = 'train'").select("dataset_id"), "dataset_id")
-    best = top_per(train.groupBy("leaf", "term").agg(F.count("*").alias("df")), ["leaf"], [F.desc("df"), "term"], 5)
-    held = top_per(train.select("leaf", "term", "dataset_id", "tf").join(F.broadcast(best.select("leaf", "term", c("place").alias("rank"))), ["leaf", "term"]), ["leaf", "term"], ["dataset_id"], 3)  # five terms a leaf
+    seen = v.transcripts.where("split = 'train'").select("leaf", F.explode(F.array_distinct(tokens(c("text")))).alias("term"))
+    best = checkpointed(top_per(seen.groupBy("leaf", "term").agg(F.count("*").alias("df")), ["leaf"], [F.desc("df"), "term"], 5))
+    offered = best.select("term").distinct()  # all that the rest asks of the texts
+    hits = checkpointed(v.terms.withColumn("split", channel_split(c("channel"))).join(F.broadcast(offered), "term", "left_semi"))
+    held = top_per(hits.where("split = 'train'").select("leaf", "term", "dataset_id", "tf").join(F.broadcast(best.select("leaf", "term", c("place").alias("rank"))), ["leaf", "term"]), ["leaf", "term"], ["dataset_id"], 3)  # five terms a leaf
     it = held.groupBy("leaf", "term", "rank").agg(F.array_sort(F.collect_list("dataset_id")).alias("ids"), F.count("*").alias("support_count"), F.sum("tf").alias("total_frequency"))
     cases = v.transcripts.where("split = 'test'").select(c("dataset_id").alias("case_id"), F.when(c("dataset_id") % 10 == 0, "unknown").otherwise(c("leaf")).alias("domain"), "leaf")
     k = c("case_id") + c("rank")
@@ -66,8 +70,9 @@ def audited_items(v: Views):
         (c("support_count") + (k % 17 == 0).cast("long")).alias("support_count"), (c("total_frequency") + (k % 19 == 0).cast("long")).alias("total_frequency"),
     )
     again = rows.where("case_id % 5 = 0 and place = 1").withColumn("place", c("place") + 100)
-    references = v.terms.join(split, "dataset_id").select(c("dataset_id").alias("id"), c("leaf").alias("domain"), "split", c("term").alias("keyword"), c("tf").alias("frequency"))
-    return A.structural_issues(rows.unionByName(again), references, v.terms.select(c("dataset_id").alias("case_id"), c("term").alias("keyword")))
+    references = hits.select(c("dataset_id").alias("id"), c("term").alias("keyword"), c("tf").alias("frequency"))
+    corpus = v.transcripts.select(c("dataset_id").alias("id"), c("leaf").alias("domain"), "split")
+    return A.structural_issues(rows.unionByName(again), references, hits.select(c("dataset_id").alias("case_id"), c("term").alias("keyword")), corpus)
 
 
 COUNTS = "SELECT {by}, issue, count(*) AS n FROM (SELECT {by}, unnest(list_concat(['units'], CASE WHEN len(issues) > 0 THEN ['units_with_issues'] ELSE [] END, list_distinct(issues))) AS issue FROM {rows}) GROUP BY ALL"
