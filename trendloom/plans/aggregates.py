@@ -1,5 +1,7 @@
 """Aggregations (family A)."""
 
+from decimal import Decimal
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -7,9 +9,10 @@ from trendloom.functions.reasons import all_reasons
 from trendloom.functions.splits import channel_split
 from trendloom.operators import benchmark as B
 from trendloom.operators import readiness as R
+from trendloom.operators.components import checkpointed
 from trendloom.operators.ranking import rank_within
 from trendloom.plans.eligibility import reasons_sql
-from trendloom.functions.text import counted, tokens
+from trendloom.functions.text import phrase_counts, tokens
 from trendloom.plans.registry import STOP_SQL, bucket_sql, query
 from trendloom.sources.views import Views
 
@@ -46,6 +49,10 @@ def a05_taxonomy_coverage(v: Views):
     return leaves.join(good, "leaf", "left").select("leaf", F.coalesce("n", F.lit(0)).cast("long").alias("verified"), (F.coalesce("n", F.lit(0)) >= 20).alias("ready"))
 
 
+#: ids in a packed number: room for every id, and the largest
+ID_ROOM, MAX_ID = Decimal(2**64), Decimal(2**63 - 1)
+
+
 @query(r"""WITH r AS (SELECT t.leaf, t.term, t.tf, t.channel, t.dataset_id, 1.0::DOUBLE + coalesce(quality, 0) AS w FROM terms t JOIN transcripts USING (dataset_id)),
 e AS (SELECT leaf, term, count(*) AS support, CAST(sum(tf) AS BIGINT) AS freq, sum(ln(1.0::DOUBLE + tf)) AS signal, sum(w) AS weight, count(DISTINCT channel) AS channels, arg_max(dataset_id, (tf, -dataset_id)) AS example FROM r GROUP BY 1, 2),
 d AS (SELECT leaf, count(*) AS docs, sum(1.0::DOUBLE + coalesce(quality, 0)) AS total FROM transcripts GROUP BY 1), m AS (SELECT leaf, max(signal) AS top FROM e GROUP BY 1)
@@ -53,11 +60,12 @@ SELECT leaf, term, support, freq, channels, example, round(0.45::DOUBLE * suppor
 def a06_keyword_evidence(v: Views):
     """Document share, damped frequency and share of the rows' weight (a reviewed good row counts twice), with the best example."""
     weight = F.lit(1.0) + F.coalesce("quality", F.lit(0))
-    rows = v.transcripts.select("dataset_id", "channel", "leaf", weight.alias("w"), F.inline(counted(tokens(c("text")))).alias("term", "tf"))
-    e = rows.groupBy("leaf", "term").agg(
+    rows = v.transcripts.select("dataset_id", "channel", "leaf", weight.alias("w"), F.inline(phrase_counts(tokens(c("text"))))).withColumnsRenamed({"value": "term", "n": "tf"})
+    most = c("tf").cast("decimal(10,0)") * F.lit(ID_ROOM) + F.lit(MAX_ID) - c("dataset_id").cast("decimal(20,0)")  # a number, so that sums stay in hash tables
+    e = checkpointed(rows.groupBy("leaf", "term").agg(
         F.count("*").alias("support"), F.sum("tf").alias("freq"), F.sum(F.log1p("tf")).alias("signal"), F.sum("w").alias("weight"), F.count_distinct("channel").alias("channels"),
-        F.max_by("dataset_id", F.struct("tf", -c("dataset_id"))).alias("example"),
-    )
+        F.max(most).alias("most"),
+    ).withColumn("example", (F.lit(MAX_ID) - c("most") % F.lit(ID_ROOM)).cast("long")))  # read twice below
     docs = v.transcripts.groupBy("leaf").agg(F.count("*").alias("docs"), F.sum(weight).alias("total"))
     top = e.groupBy("leaf").agg(F.max("signal").alias("top"))
     out = e.join(docs, "leaf").join(top, "leaf").where(c("support") >= F.when(c("docs") < 4, 1).otherwise(2))
