@@ -1,20 +1,22 @@
 """Words and phrases counted text by text, and how often queries read the texts."""
 
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from trendloom.functions.text import phrase_counts
-from trendloom.plans import registry
+from trendloom.operators import models
+from trendloom.plans import learning, registry
 
 SF = "/root/testdata/sf0.001"
 
 
 def scans(df) -> int:
-    """How often a plan reads the texts; joins with the labels read no text."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return sum(line.count("Relation [") for line in plan.splitlines() if "text#" in line and "doc_id#" in line)
+    """How often a plan reads the texts."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("text#" in columns for columns in re.findall(r"FileScan parquet \[([^]]*)\]", plan))
 
 
 def test_phrases_are_counted_like_in_plain_python(spark):
@@ -28,6 +30,16 @@ def test_phrases_are_counted_like_in_plain_python(spark):
     assert {tuple(r) for r in rows} == want and len(rows) == len(want)
 
 
-@pytest.mark.parametrize("name, most", [("f17_bigram_candidates", 1)])
+@pytest.mark.parametrize("name, most", [("f17_bigram_candidates", 1), ("m01_tf_vectors", 1), ("m09_centroid_classifier", 0), ("a06_keyword_evidence", 0), ("a42_structural_audit", 0), ("a63_evidence_correctness", 2)])
 def test_texts_are_read_few_times(spark, name, most):
+    """Reads of the plan that is left; a stored intermediate result is read in place of the texts."""
     assert scans(registry.queries()[name](spark, SF)) <= most
+
+
+def test_folds_share_hashed_words_and_k_means_reads_stored_shares(spark, monkeypatch):
+    stored = []
+    for module in (models, learning):
+        monkeypatch.setattr(module, "checkpointed", lambda df, keep=module.checkpointed: stored.append(set(df.columns)) or keep(df))
+    assert registry.queries()["m11_grouped_cross_validation"](spark, SF).count() == 3
+    assert registry.queries()["m02_kmeans_texts"](spark, SF).count() == 4
+    assert {"dataset_id", "channel", "fold", "y", "tf"} in stored and {"dataset_id", *(f"t{i}" for i in range(20))} in stored and not any("text" in x for x in stored)
