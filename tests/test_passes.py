@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from trendloom.functions.text import phrase_counts
-from trendloom.operators import models
+from trendloom.operators import models, readiness
 from trendloom.plans import learning, registry
+from trendloom.sources.views import Views
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +44,28 @@ def test_folds_share_hashed_words_and_k_means_reads_stored_shares(spark, monkeyp
     assert registry.queries()["m11_grouped_cross_validation"](spark, SF).count() == 3
     assert registry.queries()["m02_kmeans_texts"](spark, SF).count() == 4
     assert {"dataset_id", "channel", "fold", "y", "tf"} in stored and {"dataset_id", *(f"t{i}" for i in range(20))} in stored and not any("text" in x for x in stored)
+
+
+def joined(plan) -> set:
+    """The columns that leave the joins of a plan."""
+    below = [plan.children().apply(i) for i in range(plan.children().size())]
+    own = {plan.output().apply(i).name() for i in range(plan.output().size())} if plan.nodeName() == "Join" else set()
+    return own.union(*map(joined, below))
+
+
+def test_texts_are_not_dealt_out_for_issues_of_training_rows(spark):
+    rows = spark.createDataFrame([(i, "en", "train", "train", 1, f"text {i % 5}") for i in range(60)], "dataset_id long, leaf string, split string, stored_split string, quality long, text string")
+    assert "text" not in joined(readiness.training_issues(rows, 5)._jdf.queryExecution().optimizedPlan())
+
+
+def test_users_and_keys_meet_once(spark, tmp_path):
+    customers = [(1, 7), (1, 8), (3, 7), (3, 7), (6, 9)]
+    spark.createDataFrame([(u, "n", r, 1.0, "s") for u, r in customers], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    events = [(i, f"2024-01-0{i % 3 + 1} 10:00:00", [7, 8, 9, 7, 8][i % 5], ["error", "view"][i % 2], float(i)) for i in range(30)]
+    spark.createDataFrame(events, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.queries()["j09_follow_interests"](spark, str(tmp_path))
+    top = [tuple(r) for r in Views(spark, str(tmp_path)).items.where("rank <= 3").select("platform", "key", "rank").collect()]
+    want = {(u, p, k) for u, r in customers for p, k, rank in top if r == k or (u % 3 == 0 and p == "error" and rank == 1)}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert "Aggregate [user_id" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]

@@ -37,11 +37,13 @@ def j08_topic_matching(v: Views):
 @query("""WITH f AS (SELECT user_id, role AS kind, CASE WHEN user_id % 3 = 0 THEN 'error' END AS platform, region FROM customers)
 SELECT DISTINCT f.user_id, i.platform, i.key FROM f JOIN items i ON (f.region = i.key OR (f.platform = i.platform AND i.rank = 1)) WHERE i.rank <= 3""")
 def j09_follow_interests(v: Views):
-    follows = v.customers.select("user_id", "region", F.when(c("user_id") % 3 == 0, "error").alias("platform"))
-    top = v.items.where("rank <= 3").select("platform", "key", "rank")
-    by_region = follows.select("user_id", c("region").alias("key")).join(top, "key").select("user_id", "platform", "key")
-    by_platform = follows.where("platform is not null").select("user_id", "platform").join(top.where("rank = 1"), "platform").select("user_id", "platform", "key")
-    return by_region.union(by_platform).distinct()
+    """Users and keys are made distinct before they meet, so that no task holds the pairs to tell them apart."""
+    users = v.customers.where("user_id is not null").groupBy("user_id").agg(F.collect_set("region").alias("regions"))
+    top = v.items.where("rank <= 3").groupBy("platform", "key").agg(F.min("rank").alias("rank"))
+    by_region = users.select("user_id", F.explode("regions").alias("key")).join(top, "key").select("user_id", "platform", "key")
+    firsts = top.where("rank = 1").groupBy("platform").agg(F.collect_list("key").alias("keys"))  # one key for each run
+    by_platform = users.where("user_id % 3 = 0").withColumn("platform", F.lit("error")).join(firsts, "platform").select("user_id", "platform", "regions", F.explode("keys").alias("key"))
+    return by_region.union(by_platform.where(~F.array_contains("regions", c("key"))).select("user_id", "platform", "key"))  # those are in the other part
 
 
 @query("WITH k AS (SELECT unnest(range(0, 12)) AS label) SELECT k.label, count(vec_id) AS n FROM k LEFT JOIN vectors USING (label) GROUP BY 1")
