@@ -108,7 +108,8 @@ def training_issues(rows: DataFrame, minimum: int, reserve: int = 4) -> DataFram
     leaf has under ``minimum`` different reviewed texts for training), unreviewed, empty. Texts are compared by digest in
     one grouping, which is joined back; a null text is empty and equal to no other.
     """
-    rows = rows.withColumn("_d", F.sha2("text", 256))
+    rows = rows.withColumn("_d", F.sha2("text", 256)).withColumn("_empty", F.length(F.trim(F.coalesce("text", F.lit("")))) == 0)
+    rows = rows.select("dataset_id", "leaf", "split", "stored_split", "quality", "_d", "_empty")  # texts stay where they were read
     texts = rows.where("_d is not null").groupBy("_d").agg(
         F.bool_or(F.col("stored_split") != "train").alias("_held"), (F.min("leaf") != F.max("leaf")).alias("_conflict")
     )
@@ -117,5 +118,5 @@ def training_issues(rows: DataFrame, minimum: int, reserve: int = 4) -> DataFram
     train = train.join(reviewed, "leaf", "left")
     return train.select("dataset_id", "leaf", all_reasons(
         (bucket(F.col("dataset_id"), reserve) == 0, "reserved"), (F.col("stored_split") != F.col("split"), "split_mismatch"), (F.col("_held"), "holdout_text"), (F.col("_conflict"), "leaf_conflict"),
-        (F.coalesce("_n", F.lit(0)) < minimum, "few_rows"), (F.col("quality").isNull(), "unreviewed"), (F.length(F.trim(F.coalesce("text", F.lit("")))) == 0, "empty"),
+        (F.coalesce("_n", F.lit(0)) < minimum, "few_rows"), (F.col("quality").isNull(), "unreviewed"), (F.col("_empty"), "empty"),
     ).alias("issues"))
