@@ -69,3 +69,21 @@ def test_users_and_keys_meet_once(spark, tmp_path):
     rows = [tuple(r) for r in got.collect()]
     assert set(rows) == want and len(rows) == len(want)
     assert "Aggregate [user_id" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
+def test_runs_hashed_in_numpy_are_those_of_hashing_tf(spark):
+    texts = ["", "ab", "abc", "Ab  c\nd", "é𝄞x ÄÖ ß", "x" * 5000, "日本語 text und mehr " * 40]
+    low = [re.sub(r"\s+", " ", t.lower()) for t in texts]
+    runs = [[s[i : i + n] for n in (3, 4, 5) for i in range(len(s) - n + 1)] for s in low]  # a character of four bytes begins one run of each size
+    rows = spark.createDataFrame([(i, t, t.split(), r) for i, (t, r) in enumerate(zip(texts, runs))], "id int, text string, tokens array<string>, runs array<string>")
+    want = models.HashingTF(inputCol="tokens", outputCol="w", numFeatures=64).transform(rows)
+    want = models.HashingTF(inputCol="runs", outputCol="r", numFeatures=500).transform(want)
+    got = {r.id: r.tf.toArray().tolist() for r in models.hashed(rows.drop("runs"), words=64, runs=500).collect()}
+    assert got == {r.id: [*r.w.toArray().tolist(), *r.r.toArray().tolist()] for r in want.collect()}
+
+
+def test_classifiers_share_the_weights_of_a_fold(spark, monkeypatch):
+    fits = []
+    monkeypatch.setattr(models, "scale", lambda rows, scale=models.scale: fits.append(1) or scale(rows))
+    registry.queries()["m10_text_classifiers"](spark, SF)
+    assert len(fits) == 3  # two folds and all training rows, for the three classifiers of texts together
