@@ -159,3 +159,16 @@ def test_notices_by_mode_and_once_per_session_and_key(spark, feed, tmp_path):
     got = sorted((r.session, r.key, r.detected_at) for r in job().collect())
     # key 1 was in the first run and all later ones; key 2 is new on day 1, and again on day 4, which is told once; day 2 does not count
     assert got == [("a", 2, day(1)), ("f", 2, day(1))]
+
+
+def test_more_rows_of_a_run_do_not_make_a_key_new(spark, feed, tmp_path):
+    day = lambda n, h=1: at(24 * n + h)
+    runs = spark.createDataFrame([("view", day(0, 0), None), ("view", day(1, 0), day(0, 0))], "platform string, run_at timestamp, before_at timestamp")
+    sessions = spark.createDataFrame([("a", "all")], "session string, mode string")
+    follows = spark.createDataFrame([], "session string, key long, created_at timestamp")
+    job = lambda: J.notifications(S.new_keys(feed.stream(), runs), sessions, follows, str(tmp_path / "notices"))
+    feed.more(row(1, day(0), user=1), row(2, day(1), user=1), row(3, day(1, 5), user=9))
+    job()  # key 1 is known from day 0
+    feed.more(row(4, day(1, 6), user=1), row(5, day(1, 7), user=2)).more(END)  # the stream is cut within day 1
+    assert sorted((r.key, r.detected_at) for r in job().collect()) == [(2, day(1, 7)), (9, day(1, 5))]
+    assert S.NewKeys.columns[2][0] == "key"  # keys are rows of a group and no groups of their own
