@@ -1,9 +1,12 @@
 import hashlib
+import itertools
 import random
+import re
 from collections import Counter
 
 import numpy as np
 
+from trendloom.llm import queries
 from trendloom.llm import suffix as S
 
 
@@ -64,3 +67,61 @@ def test_removal_against_brute_force(spark):
         want = plain([(t or "").encode() for t in texts], length)
         assert [got[i] for i in range(len(texts))] == want
     assert S.per_document(docs.limit(0)).count() == 0
+
+
+def plain_shared(texts, words):
+    """By all windows: words in passages that another row holds, and the longest run of them."""
+    lists = [re.findall(rb"[^\x20\x09-\x0D]+", t.lower()) for t in texts]
+    rows = {}
+    for i, w in enumerate(lists):
+        for j in range(len(w) - words + 1):
+            rows.setdefault(tuple(w[j : j + words]), set()).add(i)
+    out = []
+    for w in lists:
+        got = [False] * len(w)
+        for j in range(len(w) - words + 1):
+            if len(rows[tuple(w[j : j + words])]) > 1:
+                got[j : j + words] = [True] * words
+        size = [len(list(g)) for x, g in itertools.groupby(got) if x]
+        out.append((sum(size), max(size, default=0)))
+    return out
+
+
+def word_corpus(words):
+    rnd = random.Random(words)
+    make = lambda n: " ".join("".join(rnd.choices("abé", k=rnd.randint(1, 4))) for _ in range(n))
+    passage, line = make(3 * words).split(), make(words + 2)
+    texts = [None, "", " \n", "a " * (3 * words), "b a " * words, make(words - 1), make(words), "A\t" * words, line, line, (make(words) + "\n") * 3]
+    for i in range(40):
+        parts = [make(rnd.randint(1, 4 * words))]
+        if i % 3 == 0:
+            at = rnd.randint(0, words)
+            parts.append(rnd.choice([" ", "\n"]).join(passage[at : at + rnd.randint(words - 1, 2 * words)]))
+        if i % 4 == 0:
+            parts += [line.upper() if i % 8 else line, make(3), line]
+        if i % 5 == 0:
+            parts += parts[:1] * 2
+        texts.append("\n".join(parts))
+        if i % 7 == 0:
+            texts += [texts[-1], texts[-1] + " end"]
+    return texts
+
+
+def test_passages_shared_by_documents_against_all_windows(spark):
+    for words, gram, shard, spread in ((8, 3, 1024, 8), (8, 3, 3, 8), (8, 3, 3, 1), (8, 3, 2, 1), (51, 12, 1024, 8)):
+        texts = word_corpus(words)
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+        got = {r.doc_id: tuple(r)[1:] for r in S.per_document(docs, 40, 16, shard, spread, words, gram).collect()}
+        whole = [(t or "").encode() for t in texts]
+        assert [got[i][:4] for i in range(len(texts))] == plain(whole, 40)
+        assert [got[i][4:] for i in range(len(texts))] == plain_shared(whole, words)
+        assert 0 < sum(x > 0 for *_, x in got.values()) < len(texts)
+
+
+def test_the_query_shows_a_shared_passage_of_over_50_words_below_the_removed_length(spark, tmp_path):
+    passage = " ".join(f"w{i}" for i in range(55))
+    texts = [f"one begins {passage} and ends", f"two {passage.upper()}", "three " + " ".join(passage.split()[:50]), f"four {'again ' * 90}"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in queries.op3_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    assert [rows[i].n_removed for i in range(3)] == [0, 0, 0]
+    assert [(rows[i].n_shared_words, rows[i].longest_shared_words) for i in range(4)] == [(55, 55), (55, 55), (0, 0), (0, 0)]
