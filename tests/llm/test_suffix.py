@@ -125,3 +125,10 @@ def test_the_query_shows_a_shared_passage_of_over_50_words_below_the_removed_len
     rows = {r.doc_id: r for r in queries.op3_suffix_array_dedup(spark, str(tmp_path)).collect()}
     assert [rows[i].n_removed for i in range(3)] == [0, 0, 0]
     assert [(rows[i].n_shared_words, rows[i].longest_shared_words) for i in range(4)] == [(55, 55), (55, 55), (0, 0), (0, 0)]
+
+
+def test_stretches_of_words_taken_side_by_side_are_those_of_each_text():
+    texts = [(t or "").encode() for t in word_corpus(8)]
+    side = list(zip(*(x.tolist() for x in S.word_stretches(texts, 8, 3))))
+    assert side == [(i, *row) for i, t in enumerate(texts) for row in list(zip(*(x.tolist() for x in S.word_stretches([t], 8, 3)[1:])))]
+    assert {(i, j) for i, _, _, lo, hi in side for j in range(lo, hi + 1)} <= {(i, j) for i, t in enumerate(texts) for j in range(len(t.split()) - 7)}

@@ -26,6 +26,7 @@ from .common import keep, partitions_for, sorted_groups, utf8
 
 LENGTH, GRAM = 400, 160
 WORDS, WORD_GRAM = 51, 12
+CHUNK = 1 << 17  #: bytes of texts of which the words are taken side by side
 SHARD = 1024  #: different stretches of one anchor in a shard at most
 SPREAD = 8  #: shards of one anchor that are merged pair by pair at most
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -51,19 +52,21 @@ def running(raw: np.ndarray) -> np.ndarray:
     if len(_POWERS[0]) < n:
         _POWERS = (powers(_BASE, n), powers(_INVERSE, n))
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _POWERS[0][:n], out=sums[1:])
+    x = np.add(raw, 1, dtype=np.uint64)
+    x *= _POWERS[0][:n]
+    np.cumsum(x, out=sums[1:])
     return sums
 
 
-def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of the ``gram`` units from every place on."""
-    sums = running(raw)
-    return mixed((sums[gram:] - sums[:-gram]) * _POWERS[1][: len(raw) - gram + 1])
+def gram_hashes(sums: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of the ``gram`` units from every place on, from their running sums."""
+    h = sums[gram:] - sums[:-gram]
+    h *= _POWERS[1][: len(h)]
+    return mixed(h)
 
 
-def range_hashes(raw: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the units of each [first, end)."""
-    sums = running(raw)
+def range_hashes(sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the units of each [first, end), from their running sums."""
     return mixed((sums[end] - sums[first]) * _POWERS[1][first])
 
 
@@ -77,44 +80,76 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """The least of every ``width`` neighbours."""
-    n = len(x)
-    pad = -n % width
-    y = np.concatenate([x, np.full(pad, np.iinfo(np.uint64).max)]).reshape(-1, width)
-    left = np.minimum.accumulate(y, axis=1).ravel()
-    right = np.minimum.accumulate(y[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(right[: n - width + 1], left[width - 1 : n])
+    """The least of every ``width`` neighbours, by doubling."""
+    have = 1
+    while have * 2 <= width:
+        x = np.minimum(x[:-have], x[have:])
+        have *= 2
+    return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of every word between white space, A-Z lower-cased."""
+def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The starts of words between white space, and a 64-bit hash of every word, A-Z lower-cased."""
     raw = np.frombuffer(text.lower(), np.uint8)
     blank = np.ones(len(raw) + 2, bool)
-    blank[1:-1] = _BLANK[raw]
+    blank[1:-1] = (raw - np.uint8(9) < 5) | (raw == 32)
     edge = np.flatnonzero(blank[1:] != blank[:-1])
-    return range_hashes(raw, edge[::2], edge[1::2])
+    return edge[::2], range_hashes(running(raw), edge[::2], edge[1::2])
 
 
-def stretches(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """(anchor hash, first start, last start) of runs of starts whose windows of ``length`` have the same anchor.
+def word_hashes(text: bytes) -> np.ndarray:
+    return word_places(text)[1]
+
+
+def anchors(sums: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all grams, and the place of its anchor for each window of ``length``.
 
     A window's anchor is its gram of the least 33-bit hash, the first of equals, which depends on its units alone.
     """
-    n = len(raw) - length + 1
+    h = gram_hashes(sums, gram)
+    key = h >> np.uint64(31)
+    key <<= np.uint64(31)
+    key |= np.arange(len(h), dtype=np.uint64)
+    return h, (sliding_min(key, length - gram + 1) & np.uint64(2**31 - 1)).astype(np.int64)
+
+
+def stretches(text: bytes, length: int = LENGTH, gram: int = GRAM):
+    """(anchor hash, first start, last start) of runs of starts whose windows of ``length`` have the same anchor."""
+    n = len(text) - length + 1
     if n <= 0:
         empty = np.empty(0, np.int64)
         return empty, empty, empty
-    h = gram_hashes(raw, gram)
-    key = (h >> np.uint64(31) << np.uint64(31)) | np.arange(len(h), dtype=np.uint64)
-    chosen = (sliding_min(key, length - gram + 1) & np.uint64(2**31 - 1)).astype(np.int64)
+    h, chosen = anchors(running(np.frombuffer(text, np.uint8)), length, gram)
     first = np.concatenate([[0], np.flatnonzero(np.diff(chosen)) + 1])
     last = np.append(first[1:], n) - 1
     return h[chosen[first]].view(np.int64), first, last
 
 
+def word_stretches(texts: list[bytes], words: int = WORDS, gram: int = WORD_GRAM):
+    """(text, anchor hash, hash of all words, first start, last start) of the stretches of words of some texts, taken side by side.
+
+    Of stretches of the same words only the first in a text is given.
+    """
+    begins, units = word_places(b"\n".join(texts))
+    n = len(units) - words + 1
+    if n <= 0:
+        return (np.empty(0, np.int64),) * 5
+    bound = np.searchsorted(begins, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    of = np.repeat(np.arange(len(texts)), np.diff(bound))
+    sums = running(units)
+    h, chosen = anchors(sums, words, gram)
+    first = np.concatenate([[0], np.flatnonzero((chosen[1:] != chosen[:-1]) | (of[1:n] != of[: n - 1]) | (of[words:] != of[words - 1 : -1])) + 1])
+    last = np.append(first[1:], n) - 1
+    inside = of[first] == of[first + words - 1]  # other windows reach into the next text
+    first, last = first[inside], last[inside]
+    text, ctx = of[first], range_hashes(sums, first, last + words).view(np.int64)
+    order = np.lexsort((ctx, text))
+    t, c = text[order], ctx[order]
+    pick = order[np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])[: len(order)]]
+    text, first, last = text[pick], first[pick], last[pick]
+    return text, h[chosen[first]].view(np.int64), ctx[pick], first - bound[text], last - bound[text]
+
+
 def words_at(raw: np.ndarray) -> np.ndarray:
     """The 8 bytes from every place on as one number that sorts like them; zero bytes behind the end."""
     x = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(np.uint64)
@@ -273,37 +308,35 @@ def in_words() -> F.Column:
 
 
 def occurrences(docs: DataFrame, length: int, gram: int, words: int | None, word_gram: int) -> DataFrame:
-    """(th, a, ctx, lo, hi): the stretches of every text, with the hashes of their anchor and of all their units.
-
-    Of stretches of the same words only the first in a text is given.
-    """
+    """(th, a, ctx, lo, hi): the stretches of every text, with the hashes of their anchor and of all their units."""
     names = ["th", "a", "ctx", "lo", "hi"]
-    types = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-
-    def of(text):
-        a, lo, hi = stretches(np.frombuffer(text, np.uint8), length, gram)
-        if len(a):
-            ctx = [hashlib.blake2b(text[i : j + length], digest_size=8).digest() for i, j in zip(lo.tolist(), hi.tolist())]
-            yield a & ~1, np.frombuffer(b"".join(ctx), "<i8"), lo, hi
-        if words and len(text) >= 2 * words - 1:
-            units = word_hashes(text)
-            a, lo, hi = stretches(units, words, word_gram)
-            if len(a):
-                ctx, first = np.unique(range_hashes(units, lo, hi + words).view(np.int64), return_index=True)
-                yield a[first] | 1, ctx, lo[first], hi[first]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
+    def of_bytes(text):
+        a, lo, hi = stretches(text, length, gram)
+        ctx = [hashlib.blake2b(text[i : j + length], digest_size=8).digest() for i, j in zip(lo.tolist(), hi.tolist())]
+        return a & ~1, np.frombuffer(b"".join(ctx), "<i8"), lo, hi
+
+    def of_words(texts):
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            if len(text) >= 2 * words - 1:
+                held.append(i)
+                size += len(text)
+            if held and (size > CHUNK or i + 1 == len(texts)):
+                which, a, *rest = word_stretches([texts[j] for j in held], words, word_gram)
+                yield np.array(held)[which], a | 1, *rest
+                held, size = [], 0
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                th, parts = [], [[], [], [], []]
-                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    for found in of(text):
-                        th += [key] * len(found[0])
-                        for x, y in zip(parts, found):
-                            x.append(y)
-                cols = [np.concatenate(x) if x else np.empty(0, np.int64) for x in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(th, types[0]), *(pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(cols, types[1:]))], names)
+                texts = part.column(1).to_pylist()
+                found = [(np.full(len(x[0]), i), *x) for i, x in enumerate(map(of_bytes, texts))] + list(of_words(texts) if words else [])
+                which, *cols = (np.concatenate(c) for c in zip(*found))
+                th = part.column(0).take(pa.array(which))
+                yield pa.RecordBatch.from_arrays([th, *(pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(cols, types))], names)
 
     rows = docs.select(text_id().alias("th"), utf8("text").alias("body"))
     return rows.mapInArrow(run, "th binary, a long, ctx long, lo int, hi int")
@@ -467,7 +500,7 @@ def shared_words(text: bytes, copies: int, marks: list, words: int) -> tuple[int
     if copies > 1 or len(units) < words:
         n = len(units) if len(units) >= words else 0
         return n, n
-    windows = gram_hashes(units, words)
+    windows = gram_hashes(running(units), words)
     marked = removal(len(windows), marks, 1)
     starts = runs(np.isin(windows, windows[marked]))
     size = [j - i + 1 for i, j in runs(removal(len(units), [{"lo": i, "hi": j} for i, j in starts], words))]
