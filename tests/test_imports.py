@@ -3,10 +3,12 @@
 import hashlib
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from trendloom.operators import reviews as R
+from trendloom.plans import registry
 from trendloom.sources import artifacts, sinks
 
 
@@ -47,6 +49,21 @@ def test_sheets_keep_texts_and_tolerate_missing_optional_columns(spark, tmp_path
         sinks.write_jsonl(rows, str(tmp_path / "s"))  # an artifact is never overwritten
 
 
+def test_cells_are_those_of_the_sql_for_odd_texts_and_ids(spark, tmp_path):
+    texts = [None, "", "\\N", "\\\\N", "\\N\n", '"', '\0"', 'a\0"b', "\r\n", "a\rb", "\x0b=1", "\x0c=1", " \n=1", "\\", "'", "same", "same", "x,\"y\n"]
+    ids = [*range(len(texts) - 5), None, None, 7, 7, 7]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in zip(ids, texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, 1, 0), (7, 0, 0), (3, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    key = lambda row: [(x is None, x) for x in row]
+    want = sorted(con.execute(registry.oracle_sql()["s04_spreadsheet_cells"]).fetchall(), key=key)
+    got = registry.queries()["s04_spreadsheet_cells"](spark, str(tmp_path)).select("dataset_id", "cell", "text_md5", "n_chars")
+    assert sorted(map(tuple, got.collect()), key=key) == want
+
+
 OK = {"candidate_sha256": "h", "decision": "approve", "reviewer": "ann", "reviewed_at": "2024-01-01 00:00:00", "reviewed_leaf": "Food", "transcript_quality": "good"}
 SHEET = "id string, candidate_sha256 string, decision string, reviewer string, reviewed_at string, reviewed_leaf string, transcript_quality string"
 CANDIDATE = "id long, candidate_sha256 string, transcript_sha256 string, license string, transcript_source string, caption_type string, language string, channel string"

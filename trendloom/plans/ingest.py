@@ -62,12 +62,16 @@ def s03_review_rows(v: Views):
 
 @query(r"""SELECT dataset_id, CASE WHEN regexp_matches(text, '^\s*[-=+@]') THEN chr(39) || text ELSE text END AS cell, md5(text) AS text_md5, n_chars FROM transcripts""")
 def s04_spreadsheet_cells(v: Views):
-    """Texts written as a sheet and as JSON lines and read back: safe cells from the one, the texts themselves from the other."""
-    rows = v.transcripts.select("dataset_id", "text", "n_chars")
-    sheet = written(v, lambda p: artifacts.write_sheet(rows.select("dataset_id", "text"), p))
+    """Texts written as JSON lines and from them as a sheet, and read back: safe cells from the one, the texts themselves from the other.
+
+    Rows meet again by a number that the lines keep, so ids that are null or come twice lose and multiply nothing.
+    """
+    rows = v.transcripts.select(F.monotonically_increasing_id().alias("row"), "dataset_id", "text", "n_chars")
     lines = written(v, lambda p: sinks.write_jsonl(rows, p))
-    cells = artifacts.read_sheet(v.spark, sheet, ["dataset_id", "text"]).select(c("dataset_id").cast("long").alias("dataset_id"), c("text").alias("cell"))
-    return cells.join(v.spark.read.schema("dataset_id long, text string, n_chars long").json(lines), "dataset_id").select("dataset_id", "cell", F.md5("text").alias("text_md5"), "n_chars")
+    texts = v.spark.read.schema("row long, dataset_id long, text string, n_chars long").json(lines)
+    sheet = written(v, lambda p: artifacts.write_sheet(texts.select("row", "text"), p))
+    cells = artifacts.read_sheet(v.spark, sheet, ["row", "text"]).select(c("row").cast("long").alias("row"), c("text").alias("cell"))
+    return cells.join(texts.select("row", "dataset_id", F.md5("text").alias("text_md5"), "n_chars"), "row").drop("row")
 
 
 @query("WITH o AS (SELECT dataset_id, metric_version, views FROM content WHERE dataset_id % 3 <> 0), n AS (SELECT dataset_id, metric_version, views + 1 AS views FROM content WHERE dataset_id % 2 = 0) SELECT coalesce(o.dataset_id, n.dataset_id) AS dataset_id, coalesce(o.metric_version, n.metric_version) AS metric_version, coalesce(n.views, o.views) AS views, CASE WHEN o.dataset_id IS NULL THEN 'created' WHEN n.dataset_id IS NULL THEN 'kept' ELSE 'updated' END AS state FROM o FULL JOIN n ON o.dataset_id = n.dataset_id AND o.metric_version = n.metric_version")

@@ -11,8 +11,8 @@ from trendloom.functions.text import csv_safe
 
 BOM = "﻿"
 CORRUPT = "_corrupt"
-#: CSV that keeps every text as it is: quotes doubled, line breaks and blanks inside values kept
-SHEET = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "encoding": "UTF-8", "emptyValue": "", "nullValue": "\\N"}
+#: CSV that keeps every text as it is: quotes doubled, line breaks, blanks and zero bytes inside values kept
+SHEET = {"header": True, "quote": '"', "escape": '"', "charToEscapeQuoteEscaping": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "encoding": "UTF-8", "emptyValue": "", "nullValue": "\\N"}
 
 
 def content_hash(columns: list[str]) -> F.Column:
@@ -51,10 +51,11 @@ def split_rejects(scanned: DataFrame, path: str, count: bool = False) -> DataFra
 
 
 def write_sheet(rows: DataFrame, path: str, bom: bool = True) -> None:
-    """CSV with a header; texts that a spreadsheet would run as formulas get a leading quote."""
-    safe = [csv_safe(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in rows.schema]
-    named = rows.select(*safe)
-    (named.withColumnRenamed(rows.columns[0], BOM + rows.columns[0]) if bom else named).write.options(**SHEET).csv(path)
+    """CSV with a header; texts that a spreadsheet would run as formulas get a leading quote. An empty text is quoted, null is ``\\N``, and a text
+    of backslashes and N gets a backslash more, which ``read_sheet`` takes off."""
+    marked = lambda x: F.when(x.rlike(r"^\\+N\z"), F.concat(F.lit("\\"), x)).otherwise(csv_safe(x))
+    named = rows.select(*[marked(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in rows.schema])
+    (named.withColumnRenamed(rows.columns[0], BOM + rows.columns[0]) if bom else named).write.options(**SHEET | {"emptyValue": '""'}).csv(path)
 
 
 def read_sheet(spark: SparkSession, path: str, required: list[str], optional: tuple[str, ...] = ()) -> DataFrame:
@@ -67,4 +68,5 @@ def read_sheet(spark: SparkSession, path: str, required: list[str], optional: tu
     if missing := [c for c in required if c not in names]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     rows = rows.toDF(*names)
-    return rows.select(*required, *[F.coalesce(F.col(c), F.lit("")).alias(c) if c in names else F.lit("").alias(c) for c in optional])
+    value = lambda c: F.when(F.col(c).rlike(r"^\\{2,}N\z"), F.expr(f"substring(`{c}`, 2)")).otherwise(F.col(c))
+    return rows.select(*[value(c).alias(c) for c in required], *[F.coalesce(value(c), F.lit("")).alias(c) if c in names else F.lit("").alias(c) for c in optional])
