@@ -149,3 +149,15 @@ def test_room_that_is_used_again_does_not_change_scores():
     got = [model._log10([t], room)[0] for t in data if t]
     assert got == [model._log10([t], M.Room())[0] for t in data if t]
     assert {len(a) for a in room.held.values()} == {max(map(len, room.held.values()))}  # the largest serves all
+
+
+def test_long_texts_are_refined_as_often_as_short_ones_and_in_parts(monkeypatch):
+    assert set(np.bincount(M.step_of(100 * M.STEP)).tolist()) == {M.STEP}
+    rnd = random.Random(6)
+    data = [bytes(rnd.choices(b"abc AB", k=k)) for k in (300, 5, 0, 90, 7000, 40, M.STEP, 2 * M.STEP + 1)]
+    model, _ = built([(t, 1) for t in data[:4]], 18)
+    whole = model.log10(data)
+    monkeypatch.setattr(M, "BATCH", 4 * M.STEP)  # several parts of a text, whose weights, offsets and contexts go on
+    assert np.allclose(model.log10(data), whole, rtol=1e-9)
+    monkeypatch.setattr(M, "SIDE", 2)
+    assert np.allclose(model.log10(data), whole, rtol=1e-9)
