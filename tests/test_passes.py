@@ -1,5 +1,7 @@
 """Words and phrases counted text by text, and how often queries read the texts."""
 
+import os
+import random
 import re
 from collections import Counter
 
@@ -87,3 +89,25 @@ def test_classifiers_share_the_weights_of_a_fold(spark, monkeypatch):
     monkeypatch.setattr(models, "scale", lambda rows, scale=models.scale: fits.append(1) or scale(rows))
     registry.queries()["m10_text_classifiers"](spark, SF)
     assert len(fits) == 3  # two folds and all training rows, for the three classifiers of texts together
+
+
+def test_vectors_are_stored_once_in_columns(spark):
+    folder = models.shared_folder(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files)
+    draw, before = random.Random(3), size()
+    words = ["".join(draw.choices("abcdefghij", k=6)) for _ in range(2000)]
+    rows = [(i, " ".join(draw.choices(words, k=400))) for i in range(120)]
+    got = models.hashed(spark.createDataFrame(rows, "id int, text string").withColumn("tokens", F.split("text", " ")).coalesce(1))
+    entries = sum(len(r.tf.indices) for r in got.collect())
+    assert entries > 100_000 and size() - before < 4 * entries  # rows of vectors alone take twelve bytes an entry
+
+
+def test_many_rows_have_one_copy_at_a_time(spark, monkeypatch):
+    pools = []
+    monkeypatch.setattr(models, "ThreadPool", lambda n, pool=models.ThreadPool: pools.append(n) or pool(n))
+    data = [(f"c{i}", float(i % 2), [float(i % 2), 1.0]) for i in range(24)]
+    rows = spark.createDataFrame(data, "channel string, y double, v array<double>").select("channel", "y", learning.array_to_vector("v").alias("vector")).cache()
+    few = models.grid_search(rows, "vectors")
+    monkeypatch.setattr(models, "FEW", 10)
+    assert models.grid_search(rows, "vectors")[0] == few[0] and pools == [models.AT_ONCE, 1]
+    rows.unpersist()
