@@ -150,3 +150,12 @@ def test_query_keeps_the_ledger_of_a_corpus(spark):
     assert sorted(queries.op10_secret_ledger(spark, sf).collect()) == want
     again = spark.read.parquet(path)
     assert again.count() == kept.count() and len(again.inputFiles()) >= files
+
+
+def test_texts_are_cut_once_for_candidates_and_only_if_they_may_have_any(spark):
+    texts = ["", "plain words only", "call 123, now a@b", "x1", "\u0661\u0662 no", "a\n9 @", "\u00e9" * 50 + "7 end", "word " * 300 + "id: 77."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", pii.candidates(F.col("text")).alias("found"))
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert plan.count(pii.CANDIDATE) == 2 and "RLIKE" in plan  # once for the matches, once for what lies between
+    want = {i: [(m.start(), m.end()) for m in re.finditer(r"(?<!\S)[^\s0-9@]*[0-9@]\S*", t)] for i, t in enumerate(texts)}
+    assert {r.i: [(x.start, x.end) for x in r.found] for r in rows.collect()} == want

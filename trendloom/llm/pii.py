@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .spans import let, places, spans, written
+from .spans import between, cut, let, places, spans, written
 
 #: Fixed rules. Possessive loops and look-behinds keep matching linear and change no match.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -46,10 +46,11 @@ def base_spans(text: Column) -> dict[str, Column]:
     octet = lambda hit: F.forall(F.split(hit, "[.]"), lambda p: F.regexp_replace(p, "^0+", "").rlike("^(?:[0-9]{0,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
     size = lambda hit: F.length(digits(hit))
     none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    digit = lambda found: F.when(text.rlike("[0-9]"), found).otherwise(none)
     return {
         "email": F.when(text.contains("@"), spans(text, EMAIL)).otherwise(none),
-        "ip": F.filter(spans(text, IP), lambda s: octet(s["hit"])),
-        "card": F.filter(spans(text, CARD), lambda s: size(s["hit"]).between(16, 19) & luhn(digits(s["hit"]))),
+        "ip": F.filter(digit(spans(text, IP)), lambda s: octet(s["hit"])),
+        "card": F.filter(digit(spans(text, CARD)), lambda s: size(s["hit"]).between(16, 19) & luhn(digits(s["hit"]))),
         "phone": F.filter(F.when(text.contains("+"), spans(text, PHONE)).otherwise(none), lambda s: size(s["hit"]).between(8, 15)),
     }
 
@@ -58,18 +59,19 @@ def candidates(text: Column) -> Column:
     """array<struct<start, end, token, left, right>>: tokens with a digit or @, and the words next to them."""
     shape = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "#")
 
-    def with_context(gaps: Column) -> Column:
+    def with_context(x: Column) -> Column:
         return F.transform(
-            spans(text, CANDIDATE),
+            between(x["gaps"], x["hits"]),
             lambda s, i: F.struct(
                 s["start"].alias("start"), s["end"].alias("end"),
                 F.regexp_replace(s["hit"], r"[.,;:!?)\]}]+$", "").alias("token"),
-                shape(F.regexp_extract(F.right(F.get(gaps, i), F.lit(80)), r"((?:\S+\s+)?\S+)\s*$", 1)).alias("left"),
-                shape(F.regexp_extract(F.substring(F.get(gaps, i + 1), 1, 40), r"^\s*(\S+)", 1)).alias("right"),
+                shape(F.regexp_extract(F.right(F.get(x["gaps"], i), F.lit(80)), r"((?:\S+\s+)?\S+)\s*$", 1)).alias("left"),
+                shape(F.regexp_extract(F.substring(F.get(x["gaps"], i + 1), 1, 40), r"^\s*(\S+)", 1)).alias("right"),
             ),
         )
 
-    return let(F.split(text, CANDIDATE, -1), with_context)
+    # a text without digit or @ has none, which a search for one character tells
+    return F.when(text.rlike("[0-9@]"), let(cut(text, CANDIDATE), with_context)).otherwise(F.array())
 
 
 def hashed(found: Column) -> Column:

@@ -19,9 +19,18 @@ def spans(text: Column, pattern: str) -> Column:
 
     ``split`` by the pattern gives the gaps between matches, so adding up lengths gives every place.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(cut(text, pattern), lambda x: between(x["gaps"], x["hits"]))
+
+
+def cut(text: Column, pattern: str) -> Column:
+    """struct<gaps, hits>: the matches of a pattern and the text around them, one gap more than matches; to be used through ``let``, since each part reads the text."""
+    return F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+
+
+def between(gaps: Column, hits: Column) -> Column:
+    """The ``spans`` of matches from the text between them."""
     pairs = F.zip_with(
-        F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)),
+        F.slice(gaps, F.lit(1), F.size(hits)),
         hits,
         lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")),
     )
